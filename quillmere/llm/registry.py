@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components
+from quillmere.llm import components, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,6 +16,8 @@ def queries():
     return {
         "p1_found": lambda s, d: components.found(s, t(s, d, "file_matches")),
         "p1_groups": lambda s, d: components.groups(s, t(s, d, "file_matches")),
+        "p8_ids": lambda s, d: tokenize.encode(t(s, d, "documents")),
+        "p8_round_trip": lambda s, d: tokenize.round_trip(t(s, d, "documents")),
     }
 
 
