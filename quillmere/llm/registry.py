@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components, tokenize
+from quillmere.llm import components, language, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +18,8 @@ def queries():
         "p1_groups": lambda s, d: components.groups(s, t(s, d, "file_matches")),
         "p8_ids": lambda s, d: tokenize.encode(t(s, d, "documents")),
         "p8_round_trip": lambda s, d: tokenize.round_trip(t(s, d, "documents")),
+        "p10_found": lambda s, d: language.found(t(s, d, "documents")),
+        "p10_segments": lambda s, d: language.segments(t(s, d, "documents")),
     }
 
 
