@@ -321,7 +321,7 @@ def found(documents: DataFrame) -> DataFrame:
     whole = got.groupBy("doc_id").agg(
         F.first(F.when(F.col("seg_no") == 0, F.col("lang")), ignorenulls=True).alias("main"),
         F.first("label").alias("label"),
-        F.collect_list(F.when(F.col("seg_no") > 0, F.struct("seg_no", "lang"))).alias("parts"),
+        F.collect_set(F.when(F.col("seg_no") > 0, F.struct("seg_no", "lang"))).alias("parts"),
     )
     zero = F.when(
         F.col("label").isNull() | (F.col("label") != F.col("main")), F.array(F.struct(F.lit(0).cast("long").alias("seg_no"), F.col("main").alias("lang")))

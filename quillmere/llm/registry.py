@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components, language, tokenize
+from quillmere.llm import components, language, leaks, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,6 +20,7 @@ def queries():
         "p8_round_trip": lambda s, d: tokenize.round_trip(t(s, d, "documents")),
         "p10_found": lambda s, d: language.found(t(s, d, "documents")),
         "p10_segments": lambda s, d: language.segments(t(s, d, "documents")),
+        "p9_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
     }
 
 
