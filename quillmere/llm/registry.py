@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components, language, leaks, tokenize
+from quillmere.llm import components, language, leaks, near_duplicates, neighbours, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,9 @@ def queries():
         "p10_found": lambda s, d: language.found(t(s, d, "documents")),
         "p10_segments": lambda s, d: language.segments(t(s, d, "documents")),
         "p9_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
+        "p3_found": lambda s, d: near_duplicates.found(t(s, d, "md_files")),
+        "p3_classes": lambda s, d: near_duplicates.classes(t(s, d, "md_files")),
+        "p2_found": lambda s, d: neighbours.found(t(s, d, "embedding_cache")),
     }
 
 
