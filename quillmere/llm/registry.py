@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components, language, leaks, near_duplicates, neighbours, tokenize
+from quillmere.llm import components, language, leaks, near_duplicates, neighbours, split, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,8 @@ def queries():
         "p3_found": lambda s, d: near_duplicates.found(t(s, d, "md_files")),
         "p3_classes": lambda s, d: near_duplicates.classes(t(s, d, "md_files")),
         "p2_found": lambda s, d: neighbours.found(t(s, d, "embedding_cache")),
+        "p4_found": lambda s, d: split.found(t(s, d, "md_files")),
+        "p4_pieces": lambda s, d: split.split(t(s, d, "md_files")),
     }
 
 
