@@ -10,8 +10,8 @@ verified exactly on the whole shingle sets.
   so a class of copies, however large, costs one row, and is expanded at the end.
 * Signatures and shingle sets are made in one pass over whole texts.  The bands, the candidates and
   the exact check are equi-joins on hashes and ids, which adaptive execution may split when skewed.
-* Only band hashes and ids are joined to find candidates; signatures follow for the distinct pairs,
-  shingle sets only for the survivors.
+* Only band hashes and ids are joined to find candidates; signatures (16 bits a hash) follow for the
+  distinct pairs.  Shingle sets are never stored: they are made again from the texts of the survivors.
 
 Defined cases: null ids and null texts, and texts under ``min_words`` words, take no part; of a file
 delivered again with another text the one ingested last counts; repeated rows count once; with equal
@@ -35,6 +35,8 @@ from quillmere.plans.cut import cut
 BANDS, BAND_ROWS, BATCH = 48, 4, 32
 HASHES = BANDS * BAND_ROWS
 MISS = 1e-4
+#: Ids of survivors up to this number (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 CACHED_WORDS = 200_000
 _WORD = re.compile("[a-z0-9]+")
 _rng = np.random.default_rng(20240229)
@@ -69,12 +71,12 @@ def shingles(text: str, width: int) -> tuple[np.ndarray, int]:
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
-    """Min-hashes, as 32-bit numbers."""
+    """Min-hashes, as 16-bit numbers: different ones agree once in 65,536 times."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(keys), 2048):
         block = keys[at : at + 2048, None] * _MUL[None, :] + _ADD[None, :]
         least = np.minimum(least, block.min(0))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(48)).astype(np.uint16)
 
 
 def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
@@ -94,8 +96,14 @@ def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
     return np.array(need)
 
 
-def sketches(files: DataFrame, id_col: str, text_col: str, order_col: str | None, width: int, min_words: int) -> DataFrame:
-    """(id, ingested, set_key, signature, shingles) of every text with enough words."""
+def rows_of(files: DataFrame, id_col: str, text_col: str, order_col: str | None) -> DataFrame:
+    when = F.coalesce(F.unix_micros(F.col(order_col).cast("timestamp")), F.lit(0)) if order_col else F.lit(0)
+    rows = files.select(F.col(id_col).cast("long").alias("id"), when.cast("long").alias("ingested"), F.col(text_col).cast("string").alias("text"))
+    return rows.where("id is not null and text is not null")
+
+
+def sketches(rows: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(id, ingested, text_key, set_key, signature) of every text; the last two are null with too few words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,21 +112,29 @@ def sketches(files: DataFrame, id_col: str, text_col: str, order_col: str | None
                 text_key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
                 keys, n = shingles(text, width)
                 if n < min_words or not len(keys):
-                    out.append((file, when, text_key, None, None, None))
+                    out.append((file, when, text_key, None, None))
                     continue
                 raw = keys.tobytes()
-                out.append((file, when, text_key, xxhash.xxh3_128_hexdigest(raw), signature(keys).tobytes(), raw))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-            columns = list(zip(*out)) if out else [[]] * 6
+                out.append((file, when, text_key, xxhash.xxh3_128_digest(raw), signature(keys).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "ingested", "text_key", "set_key", "signature", "shingles"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "ingested", "text_key", "set_key", "signature"]
             )
 
-    when = F.coalesce(F.unix_micros(F.col(order_col).cast("timestamp")), F.lit(0)) if order_col else F.lit(0)
-    rows = files.select(F.col(id_col).cast("long").alias("id"), when.cast("long").alias("ingested"), F.col(text_col).cast("string").alias("text"))
-    return rows.where("id is not null and text is not null").mapInArrow(
-        run, "id bigint, ingested bigint, text_key bigint, set_key string, signature binary, shingles binary"
-    )
+    return rows.mapInArrow(run, "id bigint, ingested bigint, text_key bigint, set_key binary, signature binary")
+
+
+def sets(rows: DataFrame, width: int) -> DataFrame:
+    """(id, set_key, shingles) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [shingles(text, width)[0].tobytes() for text in batch.column(1).to_pylist()]
+            keys = pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(raw, pa.binary())], names=["id", "set_key", "shingles"])
+
+    return rows.select("id", "text").mapInArrow(run, "id bigint, set_key binary, shingles binary")
 
 
 def bands(signatures: DataFrame) -> DataFrame:
@@ -129,7 +145,7 @@ def bands(signatures: DataFrame) -> DataFrame:
             ids = np.asarray(batch.column(0))
             if not len(ids):
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), BANDS, BAND_ROWS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, BAND_ROWS).astype(np.uint64)
             key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _P2, (len(ids), 1))
             for k in range(BAND_ROWS):
                 key = (key ^ sig[:, :, k]) * _P1
@@ -150,7 +166,7 @@ def prune(pairs: DataFrame, threshold: float) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            sig = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(n, HASHES) for k in (2, 3)]
+            sig = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(n, HASHES) for k in (2, 3)]
             alive, matches = np.arange(n), np.zeros(n, np.int64)
             for k, least in enumerate(need):
                 part = slice(k * BATCH, (k + 1) * BATCH)
@@ -197,15 +213,14 @@ class NearDuplicates:
         text_col: str = "content",
         order_col: str | None = "ingested_at",
     ):
-        every = cut(sketches(files, id_col, text_col, order_col, width, min_words), "sketches")
+        rows = rows_of(files, id_col, text_col, order_col)
+        every = cut(sketches(rows, width, min_words), "sketches")
         last = every.groupBy("id").agg(F.max(F.struct("ingested", "text_key", "set_key")).alias("x"))
         current = last.select("id", F.col("x.set_key").alias("set_key")).where("set_key is not null")
         classes = current.groupBy("set_key").agg(F.min("id").alias("class"))
         self.members = cut(current.join(classes, "set_key").select("id", "class"), "members")
         kept = cut(
-            every.join(classes, (F.col("id") == F.col("class")) & (every.set_key == classes.set_key))
-            .select(F.col("class").alias("id"), "signature", "shingles")
-            .dropDuplicates(["id"]),
+            every.join(classes.withColumnRenamed("class", "id"), ["id", "set_key"]).select("id", "set_key", "signature").dropDuplicates(["id"]),
             "classes",
         )
         hashed = bands(kept)
@@ -219,8 +234,13 @@ class NearDuplicates:
         signed = kept.select("id", "signature")
         signed = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
         survivors = cut(prune(signed, threshold), "survivors")
-        sets = kept.select("id", "shingles")
-        whole = survivors.join(sets.toDF("a", "ka"), "a").join(sets.toDF("b", "kb"), "b")
+        wanted = cut(survivors.select(F.col("a").alias("id")).union(survivors.select("b")).distinct(), "wanted")
+        small = wanted.count() <= BROADCAST_IDS
+        texts = rows.select("id", "text").join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+        keys = kept.select("id", "set_key").join(wanted, "id", "left_semi")
+        known = sets(texts, width).join(keys, ["id", "set_key"]).select("id", "shingles").dropDuplicates(["id"])
+        known = cut(known, "sets")
+        whole = survivors.join(known.toDF("a", "ka"), "a").join(known.toDF("b", "kb"), "b")
         self.pairs = cut(verify(whole, threshold), "pairs")
 
 
