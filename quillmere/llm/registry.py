@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import components, language, leaks, near_duplicates, neighbours, split, tokenize
+from quillmere.llm import components, language, leaks, main_body, near_duplicates, neighbours, split, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +26,8 @@ def queries():
         "p2_found": lambda s, d: neighbours.found(t(s, d, "embedding_cache")),
         "p4_found": lambda s, d: split.found(t(s, d, "md_files")),
         "p4_pieces": lambda s, d: split.split(t(s, d, "md_files")),
+        "p5_found": lambda s, d: main_body.found(t(s, d, "html_pages")),
+        "p5_bodies": lambda s, d: main_body.bodies(t(s, d, "html_pages")),
     }
 
 
