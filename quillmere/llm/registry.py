@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import clean_markup, components, language, leaks, main_body, near_duplicates, neighbours, split, tokenize
+from quillmere.llm import clean_markup, components, language, leaks, main_body, near_duplicates, neighbours, split, subjects, tokenize
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +30,9 @@ def queries():
         "p5_bodies": lambda s, d: main_body.bodies(t(s, d, "html_pages")),
         "p6_found": lambda s, d: clean_markup.found(t(s, d, "md_files"), t(s, d, "html_pages")),
         "p6_cleaned": lambda s, d: clean_markup.cleaned(t(s, d, "md_files")),
+        "p7_found": lambda s, d: subjects.found(
+            t(s, d, "md_files"), t(s, d, "category_lines"), t(s, d, "subject_labels"), t(s, d, "subject_areas")
+        ),
     }
 
 
