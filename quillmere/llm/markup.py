@@ -15,7 +15,7 @@ KINDS = ("heading", "list_item", "code_block", "formula")
 #: Comments and code, whichever opens first; what stands inside belongs to it.
 _OPAQUE = re.compile(
     r"(?P<comment><!--.*?(?:-->|\Z))"
-    r"|^[ ]{0,3}(?:>[ ]?)*(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<fenced>.*?)(?:^[ ]{0,3}(?:>[ ]?)*(?P=fence)[`~]*[ \t]*$|\Z)"
+    r"|(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<fenced>.*?)(?:^[ ]{0,3}(?:>[ ]?)*(?P=fence)[`~]*[ \t]*$|\Z)"
     r"|<pre\b[^>]*>(?P<pre>.*?)(?:</pre\s*>|\Z)"
     r"|<(?P<high>syntaxhighlight|source)\b[^>]*>(?P<highlit>.*?)(?:</(?P=high)\s*>|\Z)"
     r"|\{code(?::[^}\n]*)?\}(?P<code>.*?)(?:\{code\}|\Z)"
@@ -24,6 +24,9 @@ _OPAQUE = re.compile(
     r"|(?P<inline>(?<![`\\])`[^`\n]+`(?!`))",
     re.S | re.M | re.I,
 )
+_LINE_START = re.compile(r"[ ]{0,3}(?:>[ ]?)*\Z")
+_OPAQUE_TRIGGER = re.compile(r"<(?=!--|pre\b|syntaxhighlight\b|source\b)|\{(?=code|noformat)|\\(?=begin\{)|`|~(?=~~)", re.I)
+_FORMULA_TRIGGER = re.compile(r"<(?=math\b|div\b|span\b)|\{(?=math)|\\(?=[\[(b])|\$", re.I)
 _FRONT = re.compile(r"\A\s*(?:---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z))", re.S)
 _MADE_BY = re.compile(r"\A\s*Created by [^\n]*(?:\n|\Z)")
 _ATTACHED = re.compile(
@@ -53,6 +56,15 @@ _HTML_H = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.S | re.I)
 _HTML_LI = re.compile(r"<li\b[^>]*>(?:(?!</?li\b|</?[uo]l\b).)*", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _RULE = re.compile(r"[ ]{0,3}(?:[-*_][ \t]*){3,}$")
+_QUOTE = re.compile(r"^[ ]{0,3}(?:>[ ]?)+")
+_BOX = re.compile(r"\[[ xX]\][ ]")
+_IN_LINE = re.compile(rf"({_TEX_H.pattern})|({_TEX_ITEM.pattern})|(<h[1-6]\b[^>]*>)|(<li\b[^>]*>)", re.I)
+_ENDS = re.compile(r"</(?:h[1-6]|li)\s*>|<li\b|<[uo]l\b|\}(?=\\label|\s*$)", re.I)
+_TEX_LAYOUT = re.compile(
+    r"\\(?:begin|end)\{[^}\n]*\}(?:\{[^}\n]*\})?|\\(?:vspace|hspace|newpage|maketitle|tableofcontents|centering)\b(?:\{[^}\n]*\})?|\\\\$"
+)
+_OPEN_H, _OPEN_LI = re.compile(r"<h[1-6]\b[^>]*>", re.I), re.compile(r"<li\b[^>]*>", re.I)
+_CELL, _ROW = re.compile(r"</t[dh]\s*>\s*(?=<t[dh]\b)", re.I), re.compile(r"</tr\s*>\s*(?=<tr\b)", re.I)
 _TEX_COMMENT = re.compile(r"(?m)^[ \t]*%[^\n]*\n?")
 
 
@@ -87,17 +99,48 @@ _ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+\-.!$%&|~])")
 
 def inline(line: str) -> str:
     """A line without inline markup."""
-    line = _MACRO.sub("", _IMAGE.sub("", line))
-    line = _LINK.sub(r"\1", line)
-    line = _MEDIA_LINK.sub(lambda m: m[1] or m[2] or "", line)
-    line = _WIKI_LINK.sub(r"\1", line)
-    line = _TEX_STYLE.sub(lambda m: "" if m[0].startswith("\\label") else m[1], line)
-    line = _STRESS.sub(lambda m: m[2] or m[4], line)
+    if "{" in line or "[" in line:
+        line = _MACRO.sub("", _IMAGE.sub("", line))
+    if "[" in line:
+        line = _LINK.sub(r"\1", line)
+        line = _MEDIA_LINK.sub(lambda m: m[1] or m[2] or "", line)
+        line = _WIKI_LINK.sub(r"\1", line)
+    if "\\" in line:
+        line = _TEX_STYLE.sub(lambda m: "" if m[0].startswith("\\label") else m[1], line)
+    if "*" in line or "_" in line or "'''" in line:
+        line = _STRESS.sub(lambda m: m[2] or m[4], line)
     if "<" in line:
         line = _TAG.sub("", line)
     if "&" in line:
         line = html.unescape(line)
-    return _ESCAPE.sub(r"\1", line).replace("\xa0", " ").strip()
+    if "\\" in line:
+        line = _ESCAPE.sub(r"\1", line)
+    return line.replace("\xa0", " ").strip()
+
+
+def _replace(text: str, triggers: re.Pattern, pattern: re.Pattern, change) -> str:
+    """``pattern.sub`` for a pattern whose matches all begin with one of ``triggers``: it is tried there only."""
+    out, at = [], 0
+    for m in triggers.finditer(text):
+        p = m.start()
+        if p < at:
+            continue
+        hit, before = None, text[at:p]
+        if pattern is _OPAQUE and text[p] in "`~":
+            start = text.rfind("\n", 0, p) + 1
+            if text.startswith(("```", "~~~"), p):
+                if _LINE_START.fullmatch(text[start:p]) and start >= at:
+                    hit, before = pattern.match(text, p), text[at:start]
+                    if hit is not None and hit["fence"] is None:
+                        hit, before = None, text[at:p]
+            elif text[p] == "`":
+                hit = pattern.match(text, p)
+        else:
+            hit = pattern.match(text, p)
+        if hit is not None:
+            out += [before, change(hit)]
+            at = hit.end()
+    return "".join([*out, text[at:]]) if out else text
 
 
 def parse(text: str, render: bool = False) -> Parsed:
@@ -123,7 +166,7 @@ def parse(text: str, render: bool = False) -> Parsed:
         return hole("code_block", content.strip("\n"), True)
 
     tex = "\\begin{" in text or bool(_TEX_H.search(text))
-    text = _OPAQUE.sub(opaque, text)
+    text = _replace(text, _OPAQUE_TRIGGER, _OPAQUE, opaque)
     if tex:
         text = _TEX_COMMENT.sub("", text)
     attached = _ATTACHED.search(text)
@@ -139,7 +182,7 @@ def parse(text: str, render: bool = False) -> Parsed:
             content = re.sub(r"^\s*(?:\$\$|\\\[|\\\(|\$)\s*|\s*(?:\$\$|\\\]|\\\)|\$)\s*$", "", content)
         return hole("formula", content.strip(), False)
 
-    text = _FORMULA.sub(formula, text)
+    text = _replace(text, _FORMULA_TRIGGER, _FORMULA, formula)
     lines = text.split("\n")
     jira = sum(1 for x in lines if _WIKI_H.match(x))
     media = sum(1 for x in lines if _EQUALS.match(x)) + 2 * text.count("{|")
@@ -151,6 +194,11 @@ def parse(text: str, render: bool = False) -> Parsed:
 
     def fill(line: str) -> str:
         """Puts code and formulas back, as elements of their own."""
+        if "\ue000" not in line:
+            shown_line = inline(line) if render else ""
+            if render:
+                prose.append(shown_line)
+            return shown_line
         shown, at, plain = [], 0, []
         for m in _HOLE.finditer(line):
             kind, content = holes[int(m[1])]
@@ -172,7 +220,7 @@ def parse(text: str, render: bool = False) -> Parsed:
     k = 0
     while k < len(lines):
         line = lines[k]
-        body = re.sub(r"^[ ]{0,3}(?:>[ ]?)+", "", line) if line.lstrip().startswith(">") else line
+        body = _QUOTE.sub("", line) if ">" in line else line
         if not body.strip():
             blank = True
             out.append("")
@@ -206,8 +254,9 @@ def parse(text: str, render: bool = False) -> Parsed:
             heading = body
             k += 1
         if heading is not None:
-            add(("heading", inline(_HOLE.sub("", heading))))
-            out += ["", "# " + fill(heading), ""]
+            shown = fill(heading)
+            add(("heading", shown))
+            out += ["", "# " + shown, ""]
             k, blank = k + 1, True
             continue
         blank = False
@@ -216,27 +265,28 @@ def parse(text: str, render: bool = False) -> Parsed:
             continue
         item = _BULLET.match(body) or _WIKI_LIST.match(body)
         if item:
-            rest = re.sub(r"^\[[ xX]\][ ]", "", body[item.end() :])
-            add(("list_item", inline(_HOLE.sub("", rest))))
-            out.append("- " + fill(rest))
+            rest = body[item.end() :]
+            if rest[:1] == "[":
+                rest = _BOX.sub("", rest)
+            shown = fill(rest)
+            add(("list_item", shown))
+            out.append("- " + shown)
             k += 1
             continue
         # elements that may stand inside a line
-        for m in re.finditer(rf"({_TEX_H.pattern})|({_TEX_ITEM.pattern})|(<h[1-6]\b[^>]*>)|(<li\b[^>]*>)", body, re.I):
-            rest = body[m.end() :]
-            stop = re.search(r"</(?:h[1-6]|li)\s*>|<li\b|<[uo]l\b|\}(?=\\label|\s*$)", rest, re.I)
-            shown = inline(_HOLE.sub("", rest[: stop.start()] if stop else rest))
-            add(("heading" if m[1] or m[3] else "list_item", shown))
-        body = _TEX_H.sub("# ", body)
-        body = re.sub(r"\\(?:begin|end)\{[^}\n]*\}(?:\{[^}\n]*\})?|\\(?:vspace|hspace|newpage|maketitle|tableofcontents|centering)\b(?:\{[^}\n]*\})?|\\\\$", "", body)
-        body = _TEX_ITEM.sub("- ", body)
-        body = re.sub(r"<h[1-6]\b[^>]*>", "# ", body, flags=re.I)
-        body = re.sub(r"</t[dh]\s*>\s*(?=<t[dh]\b)", " | ", body, flags=re.I)
-        body = re.sub(r"</tr\s*>\s*(?=<tr\b)", " / ", body, flags=re.I)
-        body = re.sub(r"<li\b[^>]*>", "- ", body, flags=re.I)
+        if "\\" in body or "<" in body:
+            for m in _IN_LINE.finditer(body):
+                rest = body[m.end() :]
+                stop = _ENDS.search(rest)
+                shown = inline(_HOLE.sub("", rest[: stop.start()] if stop else rest))
+                add(("heading" if m[1] or m[3] else "list_item", shown))
+            if render and "\\" in body:
+                body = _TEX_ITEM.sub("- ", _TEX_LAYOUT.sub("", _TEX_H.sub("# ", body)))
+            if render and "<" in body:
+                body = _ROW.sub(" / ", _CELL.sub(" | ", _OPEN_LI.sub("- ", _OPEN_H.sub("# ", body))))
         if body.lstrip().startswith("|"):
             body = re.sub(r"\s*\|+\s*", " | ", body.strip()).strip(" |")
-        shown = fill(re.sub(r"\}$", "", body) if body.startswith("# ") and tex else body)
+        shown = fill(body.removesuffix("}") if body.startswith("# ") and tex else body)
         if shown:
             out.append(shown)
         k += 1
