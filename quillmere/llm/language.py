@@ -6,8 +6,7 @@ descent in numpy, with calibrated rejection.
 The model is fitted on a bounded sample of labelled rows (``PER_LANGUAGE`` documents a language,
 each of at most ``TRAIN_CHARS`` characters, chosen by the hash of their id, so that it doesn't
 depend on the partitioning) and on a few sentences of our own for each language.  Labels are
-unreliable, so the model is fitted, drops the sample paragraphs that it contradicts, and is fitted
-again.  A held-out fifth sets the temperature and the probability below which a segment gets no
+unreliable, so a briefly trained model first drops the paragraphs that it contradicts.  A held-out fifth sets the temperature and the probability below which a segment gets no
 language.  As the model is linear in the average, each word adds a fixed vector of eight numbers; a
 worker keeps these vectors in a bounded table, so the corpus costs one look-up a word.
 
@@ -74,7 +73,7 @@ TRAIN_CHARS = 20_000
 MIN_CHARS = 60
 MIN_WORDS = 5
 MIN_LETTERS = 20
-LEAST_STEPS = 700
+LEAST_STEPS, FIRST_STEPS = 700, 400
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 CACHED_WORDS = 200_000
@@ -180,12 +179,12 @@ class Model:
         return best, float(p[best])
 
 
-def _descend(bags: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, epochs: int, rate: float = 0.7):
+def _descend(bags: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, epochs: int, steps: int = LEAST_STEPS, rate: float = 0.7):
     """Stochastic gradient descent with per-bucket step sizes."""
     emb = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out = rng.normal(0, 0.1, (DIMENSIONS, len(LANGUAGES))).astype(np.float32)
     bias, seen_e, seen_o = np.zeros(len(LANGUAGES), np.float32), np.full((BUCKETS, 1), 1e-2, np.float32), np.full_like(out, 1e-2)
-    for _ in range(max(epochs, -(-LEAST_STEPS * 32 // max(1, len(bags))))):
+    for _ in range(max(epochs, -(-steps * 32 // max(1, len(bags))))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), 32):
             pick = order[at : at + 32]
@@ -215,7 +214,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """A model from (language, text) rows with unreliable languages."""
     rng = np.random.default_rng(seed)
     texts: list[tuple[int, list[str]]] = []
+    labels: dict[str, set[str]] = {}
     for lang, text in rows:
+        labels.setdefault(text, set()).add(lang)
+    # copies count once, and not at all if their labels contradict each other
+    for lang, text in ((next(iter(x)), t) for t, x in labels.items() if len(x) == 1):
         texts += [(LANGUAGES.index(lang), w) for _, w, _ in paragraphs(text) if len(w) >= 6]
     own = [(k, running_words(s)) for k, lang in enumerate(LANGUAGES) for s in BUILT_IN[lang].split(". ")]
     table: dict[str, list[int]] = {}
@@ -224,18 +227,18 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     bags, y = [bag(w) for _, w in texts], np.array([k for k, _ in texts], np.int64)
     held = rng.random(len(bags)) < 0.2
 
-    def train(keep: np.ndarray, epochs: int):
+    def train(keep: np.ndarray, epochs: int, steps: int = LEAST_STEPS):
         chosen = [b for b, k in zip(bags, keep) if k]
-        return _descend(own_bags + chosen, np.concatenate([own_y, y[keep]]), rng, epochs)
+        return _descend(own_bags + chosen, np.concatenate([own_y, y[keep]]), rng, epochs, steps)
 
     def raw(scores: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
         return np.array([scores[bags[i]].mean(0) + bias for i in np.flatnonzero(which)]).reshape(-1, len(LANGUAGES))
 
-    scores, bias = train(~held, 3)
-    everything = np.ones(len(bags), bool)
-    agree = raw(scores, bias, everything).argmax(1) == y if len(bags) else everything
+    # a model that has seen the sample only a few times hasn't learned single wrong labels
+    scores, bias = train(np.ones(len(bags), bool), 2, FIRST_STEPS)
+    agree = raw(scores, bias, np.ones(len(bags), bool)).argmax(1) == y
     scores, bias = train(~held & agree, 5)
-    temperature, least = 1.0, 0.5
+    temperature, least = 0.35, 0.5  # where too little is held out to calibrate
     check = held & agree
     if check.sum() >= 50:
         z, t = raw(scores, bias, check), y[check]
