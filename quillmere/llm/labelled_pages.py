@@ -50,4 +50,9 @@ fi</pre>}}}}</main><p class="legal">Night wiki, build 2</p></body></html>""",
     f"""<html><body><header><ul>{_NAV2}</ul></header>{{{{<h1>How to bake the bread</h1><h2>Overview for the bakery</h2><p>When the large oven reports more than 240 degrees, open the small door and wait 5 minutes. To bake the bread, hold the heat at 210 and wait for 40 minutes. You may skip the second rise when the dough is cold. Nobody should open the door while the bread is in the oven. Since release 3 of the plan the baker can use both ovens.</p><ul><li>The flour of the mill for the rolls must be checked at the end of the week</li><li>Do not salt the dough twice, as each pinch counts</li><li>Flour 40</li></ul><p>A second oven near the window answers only before noon. As the list shows, the rolls depend on the flour. The difference between the white and the dark flour is &lt; 3 coins. The manual and the log are kept by Eva alone. In the test hall the field crew will bake again.</p><h3>Next actions for the bakery</h3><p>If the bin is empty, the baker falls back to the dark flour. Only the baker, the helper and the driver may open the store. The store was renamed to the barn last year. Later the crew found 12 more of these on the shelf.</p>}}}}<div class="promo"><p>Sign up for the Bakery newsletter</p></div><footer><p>Bakery wiki, build 6</p></footer></body></html>""",
     f"""<html><body><nav><ul>{_NAV}</ul></nav><div class="zmoss">{{{{<h1>Background for the moss garden</h1><h2>Known limits for the moss</h2><ol><li>Without the shade the moss ends with brown tips</li><li>We measured 12 litres on the stone and 9 litres on the wood</li><li>Moss bed 14.2</li></ol><p>Keep the moss apart from the lawn until the spring is over. Put <code>shade=70</code> into the plan of the garden. The gardener asked us to move the stones without notice. It took 3 days to move the stones in yard 2. Before the audit the night crew will rake the path again.</p><p>Our note explains why the path differs from the old one. Twice a week the second line will rake the gravel. Results for the stone: 8 days, 3 hours and then nothing. The price list and the quote are in the office.</p><math display="block"><annotation>x = 2</annotation></math>}}}}<div class="fb"><p>Was this page helpful?</p><ul><li>Yes</li><li>No</li></ul></div>{{{{<h2>Findings for the lawn</h2><p>Ask the gardener whether the mower still belongs to the club. Whoever finds the mower should tell the gardener about it. Write down the number of the shed (4 at last count).</p>}}}}</div><h2>Attachments:</h2><ul><li><a href="/a">moss.pdf</a></li><li><a href="/b">lawn.pdf</a></li></ul><div class="sidebar"><h3>Related</h3><p>The lawn was cut on Monday. <a href="/r">Read more</a></p></div><div class="promo"><p>New here? Take the Garden tour</p></div></body></html>""",
     f"""<html><body><div class="menu"><ul>{_NAV2}</ul></div><table class="layout"><tr><td>{{{{<h1>Scope for the ferry</h1><p>The ferry leaves at six. See <a href="/p">Pier plan</a> before you board.</p><ul><li>Ticket desk 12</li></ul>}}}}<div class="promo"><p>Join the Ferry survey, it takes two minutes</p></div>{{{{<p>For the ferry we assume <span class="math">a + b</span> at the pier.</p>}}}}</td></tr></table><h2>Attachments:</h2><ul><li><a href="/t">times.pdf</a></li></ul><p class="legal">Copies of these pages are for staff of Ferry only.</p></body></html>""",
+    f"""<html><body><div class="cfir"><h2>We value your privacy</h2><p>Accept all or choose which statistics Mill-30 may collect.</p></div><ul id="top">{_NAV}</ul>
+{{{{<h1>Mill wheel on the river</h1><p>The wheel turns when the river is high. Nobody should stop it by hand.</p>}}}}<h2>Attachments:</h2><ul><li><a href="/w">wheel.pdf</a></li></ul><div class="bottom"><p>Copies of these pages are for staff of Mill-30 only.</p></div></body></html>""",
+    f"""<html><body><div class="coak"><p>This site stores cookies</p><p>Some cookies are needed for the login, others count visits.</p></div><header><ul>{_NAV2}</ul></header><div class="zcanal">{{{{<h1>Canal lock notes</h1><ul><li>Lock gate 12</li></ul>}}}}</div><h2>Attachments:</h2><ul><li><a href="/c">canal.pdf</a></li></ul>
+<div class="kelm"><h3>Tags</h3><p>The lock gate must be checked. <a href="/t">Read more</a></p></div><p class="legal">Document generated by the CANAL9 export on day 71</p></body></html>""",
+    f"""<html><body><div id="consent"><h2>Cookies at Lantern</h2><p>Accept all or choose which statistics Lantern may collect.</p></div><nav><ul>{_NAV}</ul></nav><section role="main">{{{{<h1>Lantern repair</h1><p>Each lantern carries a label such as North-3/8.</p>}}}}<div class="promo"><p>Sign up for the Lantern newsletter</p></div></section><div class="thread"><h3>Comments</h3><p>user90: The north lantern is dark.</p></div><footer><p>Lantern wiki, build 1</p></footer></body></html>""",
 )

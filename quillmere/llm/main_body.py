@@ -31,7 +31,7 @@ from quillmere.llm.labelled_pages import PAGES
 
 #: Elements that stand in both kinds of text and say nothing about it.
 PLAIN = frozenset("html body div p li ul ol a table tr td th tbody span section b i em strong code pre blockquote h2 h3 h4 h5 h6 id=s0 class=t class=auto-cursor-target class=syntax".split())
-TAG_SCORE = -0.3
+TAG_SCORE = -0.1
 MOST_WORDS = 30
 #: Weight of an article's text against furniture in the fit: a lost paragraph is worse than a kept notice.
 MAIN_WEIGHT = 8.0
@@ -41,7 +41,7 @@ RIDGE = 0.1
 #: What every word scores of its own, in the fit and after it: unknown text is kept.
 PRIOR = 2.0
 #: The least that one text node can take from a region, so that an island doesn't cut the page in two.
-LEAST = -2.5
+LEAST = -1.0
 _KEPT = re.compile(r"\{\{(.*?)\}\}", re.S)
 _TEXT = re.compile(r">([^<]*[^<\s][^<]*)<")
 
@@ -108,7 +108,10 @@ class Weights:
             bend = (design * (share * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
             weight -= np.linalg.solve(bend, slope)
         self.words = {f[5:]: float(weight[k]) for f, k in index.items() if f.startswith("word:")}
-        self.places = {f: float(weight[k]) for f, k in index.items() if not f.startswith("word:")}
+        # a heading can mark furniture, but speaks for nothing that stands under it
+        self.places = {
+            f: min(0.0, float(weight[k])) if f.startswith("under:") else float(weight[k]) for f, k in index.items() if not f.startswith("word:")
+        }
 
 
 @cache
@@ -129,7 +132,8 @@ def scores(nodes: list[Node]) -> list[float]:
             place = known[key] = PRIOR + sum(places.get(f, 0.0) for f in features(n, whole))
         n.words = ws = [w for w in words(n.text) if w != "0"]
         k = len(ws) or 1
-        z = place if "pre" in n.path else place + sum(lexicon.get(x, 0.0) for x in ws) / k
+        opaque = "pre" in n.path or "math" in n.path or "class=math" in n.cues  # its words say nothing about it
+        z = place if opaque else place + sum(lexicon.get(x, 0.0) for x in ws) / k
         found.append(max(LEAST, min(6.0, z) * min(k, MOST_WORDS)))
     return found
 
