@@ -136,3 +136,20 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert rows(run_once(stream(), str(tmp_path / "out"), str(tmp_path / "state")).select("clean", "tier")) == [("# A", "short")]
     spark.createDataFrame([("# B",)], "text string").write.mode("append").parquet(str(source))
     assert run_once(stream(), str(tmp_path / "out"), str(tmp_path / "state")).count() == 2
+
+
+def test_jobs(spark, tmp_path):
+    from quillmere import cli
+
+    folder = tmp_path / "md"
+    folder.mkdir()
+    for name, text in {"a": "# T\nred apples and green pears", "b": "# T\ngreen pears and red apples", "c": "# U\nsomething else entirely"}.items():
+        (folder / f"{name}.md").write_text(text)
+    got = rows(cli.group(spark, str(folder), str(tmp_path / "cache")).select("report"))
+    assert len(got) == 1 and sorted(got[0][0].replace("File: ", "").replace(" is similar to:\n - ", " ").split()) == ["a.md", "b.md"]
+    assert cli.group(spark, str(folder), str(tmp_path / "cache")).count() == 1
+    cli.tag(spark, str(folder), str(tmp_path / "tags"))
+    assert spark.read.text(str(tmp_path / "tags")).count() == 3
+    (folder / "p.html").write_text('<h1>A</h1><div id="footer" role="contentinfo">x</div>')
+    cli.convert(spark, str(folder), str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("p.md", "# A\n", "short")]
