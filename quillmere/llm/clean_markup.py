@@ -113,11 +113,14 @@ def page_elements(pages: DataFrame) -> DataFrame:
     rows = cut(nodes(pages), "nodes")
     content = rows.where("inside").join(template(rows), ["host", "token"], "left_anti")
     of_page = content.groupBy("page_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"), F.sum("formulas").alias("formula")
+        F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"),
+        # by place, so that a repeated row counts once
+        F.collect_set(F.when(F.col("formulas") > 0, F.struct("place", "formulas"))).alias("f"),
     )
+    total = F.aggregate("f", F.lit(0), lambda n, x: n + x["formulas"])
     count = lambda kind: F.size(F.filter("blocks", lambda b: b % 4 == kind)).cast("long")
     return of_page.select(
-        F.col("page_id").alias("row_id"), count(0).alias("heading"), count(1).alias("list_item"), count(2).alias("code_block"), F.col("formula").cast("long")
+        F.col("page_id").alias("row_id"), count(0).alias("heading"), count(1).alias("list_item"), count(2).alias("code_block"), total.cast("long").alias("formula")
     )
 
 

@@ -240,8 +240,8 @@ def test_elements_of_pages_and_files(spark):
     import datetime as d
 
     vote = '<div class="q7"><p>Rate this</p><ul><li>Splendid</li><li>Dreadful</li></ul></div>'
-    rows = [(k, f"https://h.invalid/{k}", page(f"<h1>Page {c}</h1><p>Own words of page {c} stand here, {c * 5}.</p><ul><li>Item {c}</li></ul>", vote)) for k, c in enumerate("abcdef")]
-    rows += [(50, None, None), (51, "https://h.invalid/0", rows[0][2])]
+    rows = [(k, f"https://h.invalid/{k}", page(f"<h1>Page {c}</h1><p>Own words of page {c} stand here, {c * 5} and \\(x\\).</p><ul><li>Item {c}</li></ul>", vote)) for k, c in enumerate("abcdef")]
+    rows += [(50, None, None), (51, "https://h.invalid/0", rows[0][2]), rows[1]]
     files = spark.createDataFrame(
         [(1, MIXED, d.datetime(2020, 1, 1), 1), (1, MIXED, d.datetime(2021, 1, 1), 1), (2, None, None, 1), (None, "# x", None, 1), (3, "# a\n- b", None, 1)],
         "file_id long, content string, ingested_at timestamp, row_id long",
@@ -251,6 +251,7 @@ def test_elements_of_pages_and_files(spark):
     assert [count("md_files", 1, k) for k in markup.KINDS] == [6, 5, 5, 8] and [count("md_files", 3, k) for k in markup.KINDS] == [1, 1, 0, 0]
     # the votes are the same on every page of the host: a template class
     assert {count("html_pages", i, "list_item") for i in (0, 1, 2, 3, 4, 5, 51)} == {1}
+    assert {count("html_pages", i, "formula") for i in (0, 1, 5, 51)} == {1}
     assert len(got) == len({tuple(r) for r in got})
     assert clean_markup.found(files.limit(0), pages(spark, [])).count() == 0
 
