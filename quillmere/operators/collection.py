@@ -25,8 +25,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     the workers, each batch of vectors keeps its k best a query, and a window ranks what is left."""
     asked = queries.where("query_id is not null and embedding is not null")
     blocks = max(1, -(-asked.count() // (QUERY_BLOCK // 2)))
-    rows = vectors.where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
-    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    kind, id_kind = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "id")))
     every = None
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").toArrow()
@@ -35,7 +35,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             names, q = shipped.value
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), units(batch.column(1))
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), units(batch.column(1))
                 if not len(ids) or not len(names):
                     continue
                 order = np.argsort(ids, kind="stable")
@@ -46,7 +46,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
                     [found, pa.array(ids[best].ravel()), pa.array(np.take_along_axis(distance, best, 1).ravel())], names=["query_id", "id", "distance"]
                 )
 
-        answer = rows.mapInArrow(run, f"query_id {kind}, id bigint, distance double")
+        answer = rows.mapInArrow(run, f"query_id {kind}, id {id_kind}, distance double")
         every = answer if every is None else every.union(answer)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
@@ -97,7 +97,6 @@ class Collection:
 
     def query(self, texts: DataFrame, n_results: int = 3) -> DataFrame:
         """(query_id, rank, id, document, distance) for rows (query_id, text)."""
-        numbered = self.table().withColumn("n", F.xxhash64("id"))
         asked = texts.select("query_id", self.embedder.column(F.col("text")).alias("embedding"))
-        got = nearest(numbered.select(F.col("n").alias("id"), "embedding"), asked, n_results).withColumnRenamed("id", "n")
-        return got.join(numbered.select("n", "id", "document"), "n").select("query_id", "rank", "id", "document", "distance")
+        got = nearest(self.table(), asked, n_results)
+        return got.join(self.table().select("id", "document"), "id").select("query_id", "rank", "id", "document", "distance")

@@ -105,3 +105,16 @@ def line_machine(text, company="acme"):
 def test_line_machine(spark):
     texts = ["a\nb\n## c\n[EW-1] d\n e\n[EW-2] f", "[EW-1] a\n[EW-2] b\nc", "", "\n\n## x", "Key | Summary | T |\n[EW-3] [s](https://q) y"]
     assert apply(spark, lambda t: rn.transformed(t, "acme"), texts) == [line_machine(t) for t in texts]
+
+
+def test_exact_counter(spark):
+    import pathlib
+
+    import pytest
+
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not pathlib.Path(ranks).exists():
+        pytest.skip("no vocabulary")
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    count = tokens.exact(spark, ranks, pattern)
+    assert apply(spark, count, ["Hello world", "", None, "<|endoftext|>"]) == [2, 0, None, 7]
