@@ -75,17 +75,16 @@ def propagate(edges: DataFrame) -> Cut:
     while True:
         low = both_ways(now.df).groupBy("u").agg(F.min("v").alias("m"))
         low = low.select(F.col("u").alias("a"), F.least("u", "m").alias("m"))
-        large = now.df.join(low, "a").select(F.col("m").alias("a"), "b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
-        # each pair (a, b) links a to the smallest vertex below b; the pair (m, b) itself comes from a = m
-        small = joined.select(
-            "m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")
-        ).select(F.col("m").alias("a"), "b").distinct()
-        new = Cut(small, "stars")
+        # written, as it is read twice; repeated pairs go with those of the small stars
+        large = Cut(now.df.join(low, "a").select(F.col("m").alias("a"), "b"), "large")
+        least = large.df.groupBy("b").agg(F.min("a").alias("m"))
+        # the pair (a, b) links a to the smallest vertex below b; (m, b) itself comes from a = m
+        other = F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a"))
+        new = Cut(large.df.join(least, "b").select(F.col("m").alias("a"), other.alias("b")).distinct(), "stars")
+        large.drop()
         now.drop()
         now = new
-        total = now.df.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total = now.df.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
         if tuple(total) == state:
             return now
         state = tuple(total)
