@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
-    r"(<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\2\s*>|\Z)|<![^>]*>)"
+    r"(<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\2\s*>|\Z)|<![^>]*>)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|([^<]+|<)",
     re.S | re.I,
@@ -18,6 +18,8 @@ BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("h1 h2 h3 h4 h5 h6 p li pre ul ol div table section article main aside nav header footer blockquote".split())
+#: Elements nested deeper than this are numbered, but what they hold belongs to the enclosing one, as in browsers.
+DEPTH = 512
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+(?:\.pdf)?")
 
@@ -131,7 +133,7 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
             blocks[number] = name
             if name in HEADINGS:
                 heading = []
-        if name in VOID or attributes.endswith("/"):
+        if name in VOID or attributes.endswith("/") or len(stack) > DEPTH:
             continue
         if name == "a":
             links += 1

@@ -40,7 +40,7 @@ PLACE = 24
 MIN_HITS = 3
 
 _BROKEN = re.compile(r"([^\W_])(?:-|­)[ \t]*\r?\n[ \t>|*]*([^\W_])")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--(?:(?!<!--).)*?-->", re.S)
 _UNSEEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -16,8 +16,8 @@ KINDS = ("heading", "list_item", "code_block", "formula")
 _OPAQUE = re.compile(
     r"(?P<comment><!--.*?(?:-->|\Z))"
     r"|(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<fenced>.*?)(?:^[ ]{0,3}(?:>[ ]?)*(?P=fence)[`~]*[ \t]*$|\Z)"
-    r"|<pre\b[^>]*>(?P<pre>.*?)(?:</pre\s*>|\Z)"
-    r"|<(?P<high>syntaxhighlight|source)\b[^>]*>(?P<highlit>.*?)(?:</(?P=high)\s*>|\Z)"
+    r"|<pre\b[^<>]*>(?P<pre>.*?)(?:</pre\s*>|\Z)"
+    r"|<(?P<high>syntaxhighlight|source)\b[^<>]*>(?P<highlit>.*?)(?:</(?P=high)\s*>|\Z)"
     r"|\{code(?::[^}\n]*)?\}(?P<code>.*?)(?:\{code\}|\Z)"
     r"|\{noformat(?::[^}\n]*)?\}(?P<noformat>.*?)(?:\{noformat\}|\Z)"
     r"|\\begin\{(?P<env>verbatim|lstlisting|minted|Verbatim)\*?\}(?:\[[^\]\n]*\])?(?P<verb>.*?)(?:\\end\{(?P=env)\*?\}|\Z)"
@@ -33,8 +33,8 @@ _ATTACHED = re.compile(
     r"^[ \t]*(?:#{1,6}[ \t]+|h[1-6]\.[ \t]+|={1,6}[ \t]*|<h[1-6][^>]*>\s*|\\(?:sub)*section\*?\{)Attachments:?[^\n]*", re.M | re.I
 )
 _FORMULA = re.compile(
-    r"<(?P<tag>math)\b[^>]*>(?P<m1>.*?)</math\s*>"
-    r"|<(?P<holder>div|span)\b[^>]*\bclass=[\"']math[\"'][^>]*>(?P<m2>.*?)</(?P=holder)\s*>"
+    r"<(?P<tag>math)\b[^<>]*>(?P<m1>.*?)</math\s*>"
+    r"|<(?P<holder>div|span)\b[^<>]*\bclass=[\"']math[\"'][^<>]*>(?P<m2>.*?)</(?P=holder)\s*>"
     r"|\{(?P<macro>mathinline|mathblock|math)(?::[^}\n]*)?\}(?P<m3>.*?)\{(?P=macro)\}"
     r"|\\begin\{(?P<env>equation|align|gather|multline|eqnarray|displaymath|math)(?P<star>\*?)\}(?P<m4>.*?)\\end\{(?P=env)(?P=star)\}"
     r"|(?<!\\)\$\$(?P<m5>.+?)(?<!\\)\$\$"
@@ -52,8 +52,6 @@ _BULLET = re.compile(r"([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)")
 _WIKI_LIST = re.compile(r"[ \t]*(?:[*#]+|-+)[ \t]+(?=\S)")
 _TEX_H = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\{")
 _TEX_ITEM = re.compile(r"\\item\b[ \t]*(?:\[[^\]\n]*\])?")
-_HTML_H = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.S | re.I)
-_HTML_LI = re.compile(r"<li\b[^>]*>(?:(?!</?li\b|</?[uo]l\b).)*", re.S | re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _RULE = re.compile(r"[ ]{0,3}(?:[-*_][ \t]*){3,}$")
 _QUOTE = re.compile(r"^[ ]{0,3}(?:>[ ]?)+")
@@ -88,12 +86,12 @@ def is_attachments(line: str) -> bool:
 
 
 _TEX_STYLE = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|textsc|mbox|label|url)\{([^{}]*)\}")
-_IMAGE = re.compile(r"\[?!\[[^\]\n]*\]\([^)\n]*\)(?:\]\([^)\n]*\))?")
-_LINK = re.compile(r"\[([^\]\n|]+)\]\([^)\n]*\)")
-_WIKI_LINK = re.compile(r"\[([^\]\n|]+)\|[^\]\n]+\]")
-_MEDIA_LINK = re.compile(r"\[\[(?:[^\]\n|]*\|)?([^\]\n|]*)\]\]|\[https?://\S+[ ]([^\]\n]+)\]")
-_MACRO = re.compile(r"\{(?:toc|anchor|info|note|warning|tip|panel|color|quote|expand|section|column|status)[^}\n]*\}|\{\{[A-Z][^{}\n]*\|[^{}\n]*\}\}|\[\[Category:[^\]\n]*\]\]")
-_STRESS = re.compile(r"(\*\*|__|''')(?=\S)(.+?)(?<=\S)\1|(?<![\w*])([*_])(?=[^\s*_])([^\n*_]+?)(?<=\S)\3(?![\w*])")
+_IMAGE = re.compile(r"\[?!\[[^\[\]\n]*\]\([^()\n]*\)(?:\]\([^()\n]*\))?")
+_LINK = re.compile(r"\[([^\[\]\n|]+)\]\([^()\n]*\)")
+_WIKI_LINK = re.compile(r"\[([^\[\]\n|]+)\|[^\[\]\n]+\]")
+_MEDIA_LINK = re.compile(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n|]*)\]\]|\[https?://[^\s\[\]]+[ ]([^\[\]\n]+)\]")
+_MACRO = re.compile(r"\{(?:toc|anchor|info|note|warning|tip|panel|color|quote|expand|section|column|status)[^{}\n]*\}|\{\{[A-Z][^{}\n]*\|[^{}\n]*\}\}|\[\[Category:[^\[\]\n]*\]\]")
+_STRESS = re.compile(r"(\*\*|__|''')(?=\S)(.{1,1000}?)(?<=\S)\1|(?<![\w*])([*_])(?=[^\s*_])([^\n*_]{1,1000}?)(?<=\S)\3(?![\w*])")
 _ESCAPE = re.compile(r"\\([\\`*_{}\[\]()#+\-.!$%&|~])")
 
 
@@ -118,12 +116,30 @@ def inline(line: str) -> str:
     return line.replace("\xa0", " ").strip()
 
 
+#: What must follow an opening mark for a formula to be there at all; without it later openings needn't be tried.
+_CLOSERS = (
+    (re.compile(r"<math", re.I), "</math"), (re.compile(r"<div", re.I), "</div"), (re.compile(r"<span", re.I), "</span"), (re.compile(r"\{math", re.I), "{math"),
+    (re.compile(r"\\begin"), "\\end{"), (re.compile(r"\\\["), "\\]"), (re.compile(r"\\\("), "\\)"), (re.compile(r"\$\$"), "$$"),
+)
+
+
+def _closes(text: str, low: str, p: int, gone: set[str]) -> bool:
+    for opens, closer in _CLOSERS:
+        if opens.match(text, p):
+            if closer not in gone and low.find(closer, p + 2) < 0:
+                gone.add(closer)
+            return closer not in gone
+    return True
+
+
 def _replace(text: str, triggers: re.Pattern, pattern: re.Pattern, change) -> str:
     """``pattern.sub`` for a pattern whose matches all begin with one of ``triggers``: it is tried there only."""
-    out, at = [], 0
+    out, at, gone, low = [], 0, set(), text.lower() if pattern is _FORMULA else ""
+    if len(low) != len(text):
+        low = text  # letters whose lower case is longer
     for m in triggers.finditer(text):
         p = m.start()
-        if p < at:
+        if p < at or pattern is _FORMULA and not _closes(text, low, p, gone):
             continue
         hit, before = None, text[at:p]
         if pattern is _OPAQUE and text[p] in "`~":
@@ -275,10 +291,10 @@ def parse(text: str, render: bool = False) -> Parsed:
             continue
         # elements that may stand inside a line
         if "\\" in body or "<" in body:
-            for m in _IN_LINE.finditer(body):
-                rest = body[m.end() :]
-                stop = _ENDS.search(rest)
-                shown = inline(_HOLE.sub("", rest[: stop.start()] if stop else rest))
+            inside = list(_IN_LINE.finditer(body))
+            for m, after in zip(inside, [*(x.start() for x in inside[1:]), len(body)]):
+                stop = _ENDS.search(body, m.end(), after)
+                shown = inline(_HOLE.sub("", body[m.end() : stop.start() if stop else after]))
                 add(("heading" if m[1] or m[3] else "list_item", shown))
             if render and "\\" in body:
                 body = _TEX_ITEM.sub("- ", _TEX_LAYOUT.sub("", _TEX_H.sub("# ", body)))

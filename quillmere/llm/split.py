@@ -20,6 +20,7 @@ piece at the level ``section``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,19 +49,16 @@ def _lines(text: str) -> tuple[list[tuple[int, str]], list[bool]]:
     for k, (_, line) in enumerate(lines):
         if line[:3] in marks:
             marks[line[:3]].append(k)
-    at = 0
-    while True:
-        opening = min(((p[0], mark) for mark, ks in marks.items() if (p := [k for k in ks if k >= at][:1])), default=None)
-        if opening is None:
-            return lines, inside
-        start, mark = opening
-        closing = next((k for k in marks[mark] if k > start), None)
-        if closing is None:
-            marks[mark] = [k for k in marks[mark] if k > start]
-            continue
-        for k in range(start + 1, closing + 1):
-            inside[k] = True
-        at = closing + 1
+    k = 0
+    while k < len(lines):
+        same = marks.get(lines[k][1][:3])
+        after = bisect_right(same, k) if same else 0
+        if same and after < len(same):
+            for j in range(k + 1, same[after] + 1):
+                inside[j] = True
+            k = same[after]
+        k += 1
+    return lines, inside
 
 
 def cuts(text: str, level: str) -> list[int]:
@@ -79,9 +77,20 @@ def cuts(text: str, level: str) -> list[int]:
     return sorted(found - {0, len(text)})
 
 
+def within(text: str, a: int, b: int, limit: int) -> bool:
+    """Whether ``text[a:b]`` has at most ``limit`` code points without white space at its ends."""
+    if b - a <= limit:
+        return True
+    while a < b and text[a].isspace():
+        a += 1
+    while b - a > limit and text[b - 1].isspace():
+        b -= 1
+    return b - a <= limit
+
+
 def fits(text: str, at: list[int], limit: int) -> bool:
     ends = [0, *at, len(text)]
-    return all(b - a <= limit or len(text[a:b].strip()) <= limit for a, b in zip(ends, ends[1:]))
+    return all(within(text, a, b, limit) for a, b in zip(ends, ends[1:]))
 
 
 def boundary(text: str, limit: int = LIMIT) -> str:
@@ -133,7 +142,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str,
     found, start, cut, k, gap = [], 0, 0, 0, 0
 
     def room(a: int, b: int) -> bool:
-        return b - a <= limit or len(text[a:b].strip()) <= limit
+        return within(text, a, b, limit)
 
     while cut < len(text):
         if room(start, len(text)):
