@@ -281,3 +281,16 @@ def test_subjects(spark):
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "Categories: 1. Law Office, 2. None found"), (2, "None"), (3, "Categories:\n- A-B\n- C"), (4, " CATEGORIES : x / y, etc."), (None, "q")], "file_id long, extracted_categories string")
     assert sorted(map(tuple, subjects.phrases(df).collect())) == [(1, "law office"), (1, "none found"), (3, "a-b"), (3, "c"), (4, "x"), (4, "y")]
+
+
+def test_runs_against_brute_force():
+    import itertools
+
+    r = random.Random(3)
+    for _ in range(60):
+        units = [{s: r.choice([0, 0, 2.0, 3.5]) for s in "abc" if r.random() < 0.6} for _ in range(6)]
+        names = sorted({s for u in units for s in u})
+        if not names:
+            continue
+        worth = lambda path: sum(u.get(s, 0) for u, s in zip(units, path)) - subjects.CHANGE * sum(x != y for x, y in zip(path, path[1:]))  # noqa: B023, E731
+        assert worth(subjects.runs(units)) == max(worth(p) for p in itertools.product(names, repeat=6))
