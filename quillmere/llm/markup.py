@@ -72,7 +72,6 @@ class Parsed:
 
     elements: list[tuple[str, str]] = field(default_factory=list)
     text: str = ""
-    prose: str = ""
 
     def counts(self) -> dict[str, int]:
         found = dict.fromkeys(KINDS, 0)
@@ -159,8 +158,9 @@ def _replace(text: str, triggers: re.Pattern, pattern: re.Pattern, change) -> st
     return "".join([*out, text[at:]]) if out else text
 
 
-def parse(text: str, render: bool = False) -> Parsed:
-    """The structure of a text in any of the markups, or a mixture; ``render`` asks for the clean text too."""
+def parse(text: str, render: bool = False, words_only: bool = False) -> Parsed:
+    """The structure of a text in any of the markups, or a mixture; ``render`` asks for the clean text too, ``words_only`` for it
+    without code and formulas."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = _FRONT.sub("", text, count=1)
     text = _MADE_BY.sub("", text, count=1)
@@ -205,31 +205,24 @@ def parse(text: str, render: bool = False) -> Parsed:
     wiki = jira + media > sum(1 for x in lines if _ATX.match(x))  # where a run of # lines is a list
     parsed = Parsed()
     out: list[str] = []
-    prose: list[str] = []
     add = parsed.elements.append
 
     def fill(line: str) -> str:
-        """Puts code and formulas back, as elements of their own."""
+        """Puts code and formulas back, as elements of their own; running text goes without them."""
         if "\ue000" not in line:
-            shown_line = inline(line) if render else ""
-            if render:
-                prose.append(shown_line)
-            return shown_line
-        shown, at, plain = [], 0, []
+            return inline(line) if render else ""
+        shown, at = [], 0
         for m in _HOLE.finditer(line):
             kind, content = holes[int(m[1])]
             shown.append(inline(line[at : m.start()]))
-            plain.append(shown[-1])
             at = m.end()
-            if kind == "inline":
-                shown.append(f" `{content}` ")
-                continue
-            add((kind, content))
-            shown.append(f"\n```\n{content}\n```\n" if kind == "code_block" else f" ${content}$ ")
+            if kind != "inline":
+                add((kind, content))
+            if words_only:
+                shown.append(" ")
+            else:
+                shown.append(f"\n```\n{content}\n```\n" if kind == "code_block" else f" `{content}` " if kind == "inline" else f" ${content}$ ")
         shown.append(inline(line[at:]))
-        plain.append(shown[-1])
-        if render:
-            prose.append(" ".join(plain))
         return "".join(shown).strip(" ")
 
     blank, in_code, last_list = True, None, False
@@ -249,7 +242,8 @@ def parse(text: str, render: bool = False) -> Parsed:
                 k += 1
             back = _HOLE.sub(lambda m: holes[int(m[1])][1], "\n".join(code)).strip("\n")
             add(("code_block", back))
-            out += ["```", back, "```", ""]
+            if not words_only:
+                out += ["```", back, "```", ""]
             continue
         following = lines[k + 1] if k + 1 < len(lines) else ""
         heading = None
@@ -307,6 +301,5 @@ def parse(text: str, render: bool = False) -> Parsed:
             out.append(shown)
         k += 1
     if render:
-        parsed.text = re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
-        parsed.prose = "\n".join(prose)
+        parsed.text = "\n".join(out) if words_only else re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
     return parsed
