@@ -10,7 +10,8 @@ anti-join it away, and label the remaining components by minimum propagation.
   long chain, of which the search would take one step a round; after ``max_rounds`` the part
   reached so far is contracted into its smallest vertex instead, which keeps the result exact.
 * ``propagate`` spreads the smallest known id by alternating large-star and small-star rounds, so
-  a chain of n vertices needs a logarithmic number of rounds.
+  a chain of n vertices needs a logarithmic number of rounds; vertices that can't change any more
+  leave after each round, so that the rounds shrink.
 
 Defined cases: null ids, null and empty lists and null list elements link nothing; a file that
 lists itself isn't linked by that; repeated rows and both directions count once; a table without
@@ -69,10 +70,14 @@ def peel(edges: DataFrame, max_rounds: int = MAX_FRONTIER_ROUNDS) -> tuple[list[
     return layers, least, dry
 
 
-def propagate(edges: DataFrame) -> Cut:
-    """Stars (a, b): b belongs to the component whose smallest vertex is a."""
-    now, state = Cut(edges, "stars"), None
-    while True:
+def propagate(edges: DataFrame) -> DataFrame:
+    """(vertex, root) for each vertex that isn't the smallest of its component.
+
+    A vertex with one edge, to a smaller one, has nothing to tell the others: after each round such leaves
+    are set aside, so that only what is still open goes round again.  At the end every layer of leaves
+    takes the roots of the vertices it hangs on from the later layers."""
+    now, leaves = Cut(edges, "open"), []
+    while not now.df.isEmpty():
         low = both_ways(now.df).groupBy("u").agg(F.min("v").alias("m"))
         low = low.select(F.col("u").alias("a"), F.least("u", "m").alias("m"))
         # written, as it is read twice; repeated pairs go with those of the small stars
@@ -80,14 +85,25 @@ def propagate(edges: DataFrame) -> Cut:
         least = large.df.groupBy("b").agg(F.min("a").alias("m"))
         # the pair (a, b) links a to the smallest vertex below b; (m, b) itself comes from a = m
         other = F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a"))
-        new = Cut(large.df.join(least, "b").select(F.col("m").alias("a"), other.alias("b")).distinct(), "stars")
+        stars = Cut(large.df.join(least, "b").select(F.col("m").alias("a"), other.alias("b")).distinct(), "stars")
         large.drop()
         now.drop()
-        now = new
-        total = now.df.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(total) == state:
-            return now
-        state = tuple(total)
+        once = stars.df.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1").select("a", "b")
+        leaf = Cut(once.join(stars.df.select(F.col("a").alias("b")).distinct(), "b", "left_anti").select("a", "b"), "leaves")
+        now = Cut(stars.df.join(leaf.df.select("b"), "b", "left_anti").select("a", "b"), "open")
+        stars.drop()
+        leaves.append(leaf)
+    now.drop()
+    done: DataFrame | None = None
+    for leaf in reversed(leaves):
+        part = leaf.df.select(F.col("b").alias("vertex"), F.col("a").alias("root"))
+        if done is not None:
+            known = done.select(F.col("vertex").alias("root"), F.col("root").alias("higher"))
+            part = part.join(known, "root", "left").select("vertex", F.coalesce("higher", "root").alias("root"))
+        part = Cut(part, "roots").df
+        leaf.drop()
+        done = part if done is None else done.union(part)
+    return done if done is not None else edges.select(F.col("b").alias("vertex"), F.col("a").alias("root"))
 
 
 def components(edges: DataFrame, max_rounds: int = MAX_FRONTIER_ROUNDS) -> DataFrame:
@@ -111,17 +127,14 @@ def components(edges: DataFrame, max_rounds: int = MAX_FRONTIER_ROUNDS) -> DataF
             "a", F.when(F.col("s"), F.lit(least)).otherwise(F.col("b")).alias("b")
         )
         rest = whole.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = propagate(rest)
+    rooted = propagate(rest)
     root = least
     if not dry:
-        row = stars.df.where(F.col("b") == least).select("a").first()
-        root = min(least, row["a"]) if row else least
-    own = stars.df.select(F.col("b").alias("vertex"), F.col("a").alias("root"))
-    roots = stars.df.select(F.col("a").alias("vertex")).distinct().withColumn("root", F.col("vertex"))
-    small = own.union(roots)
+        row = rooted.where(F.col("vertex") == least).select("root").first()
+        root = row["root"] if row else least
+    small = rooted.union(rooted.select(F.col("root").alias("vertex")).distinct().select("vertex", F.col("vertex").alias("root")))
     if not dry:
-        small = small.where((F.col("vertex") != least))
-        # the contracted vertex may be the root of others; its own row comes from the peeled part
+        small = small.where(F.col("vertex") != least)  # its own row comes from the peeled part
     return small.union(giant.select("vertex", F.lit(root).cast("long").alias("root")))
 
 
