@@ -1,4 +1,6 @@
-"""Markdown cleaning as column expressions; null in, null out.  All stay inside code generation."""
+"""Markdown cleaning as column expressions; null in, null out.  All stay inside code generation.
+
+The headings, file names and repetition counts in the patterns are fixed values of the format."""
 
 from __future__ import annotations
 

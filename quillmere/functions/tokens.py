@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# Bounds of the tiers and names of the models (fixed values).
 SHORT, MEDIUM, EMBEDDABLE = 3500, 15000, 8000
 SHORT_MODEL, MEDIUM_MODEL = "gpt-3.5-turbo-1106", "gpt-3.5-turbo-16k"
 
