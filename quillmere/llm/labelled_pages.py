@@ -55,4 +55,6 @@ fi</pre>}}}}</main><p class="legal">Night wiki, build 2</p></body></html>""",
     f"""<html><body><div class="coak"><p>This site stores cookies</p><p>Some cookies are needed for the login, others count visits.</p></div><header><ul>{_NAV2}</ul></header><div class="zcanal">{{{{<h1>Canal lock notes</h1><ul><li>Lock gate 12</li></ul>}}}}</div><h2>Attachments:</h2><ul><li><a href="/c">canal.pdf</a></li></ul>
 <div class="kelm"><h3>Tags</h3><p>The lock gate must be checked. <a href="/t">Read more</a></p></div><p class="legal">Document generated by the CANAL9 export on day 71</p></body></html>""",
     f"""<html><body><div id="consent"><h2>Cookies at Lantern</h2><p>Accept all or choose which statistics Lantern may collect.</p></div><nav><ul>{_NAV}</ul></nav><section role="main">{{{{<h1>Lantern repair</h1><p>Each lantern carries a label such as North-3/8.</p>}}}}<div class="promo"><p>Sign up for the Lantern newsletter</p></div></section><div class="thread"><h3>Comments</h3><p>user90: The north lantern is dark.</p></div><footer><p>Lantern wiki, build 1</p></footer></body></html>""",
+    f"""<html><body><div class="cyew"><p>Cookies at TOWER4</p><p>By using these pages you accept that small files are kept on your device for 12 days.</p></div><nav><ul>{_NAV2}</ul></nav><div class="ztower">{{{{<h1>Tower clock</h1><p>The clock of the tower is two minutes late. Accept the delivery of the new hand before noon.</p>}}}}</div><div class="bottom"><p>TOWER4 wiki, build 40</p></div></body></html>""",
+    f"""<html><body><div class="cash"><h2>Cookies at Brook-7</h2><p>Accept all or choose which statistics Brook-7 may collect.</p></div><header><ul>{_NAV}</ul></header><main>{{{{<h1>Brook level</h1><p>We collect the level of the brook and choose the gauge for these days.</p>}}}}</main><p class="legal">Copies of these pages are for staff of Brook-7 only.</p></body></html>""",
 )
