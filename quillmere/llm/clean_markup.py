@@ -3,16 +3,21 @@
 Method: equivalence-class template deduction.  The text nodes of a host's pages are tokens; those that
 occur equally often on the same pages share an occurrence vector and form a class.  A class of at
 least two tokens on at least ``SUPPORT`` different pages is valid if its tokens come in one order on
-every page; classes nest by the pages and places of their tokens.  The valid classes are the host's
-template; what remains in its slots is content, from which the elements are extracted.  An exact
-check keeps of the remaining nodes those of the page's main body, as a template can't be deduced on a
-host with few pages and varies where furniture differs from page to page.
+every page and most of its occurrences stand outside the main body; classes nest by the pages and
+places of their tokens.  The valid classes are the host's template; what remains in its slots is
+content, from which the elements are extracted.  An exact check keeps of the remaining nodes those of
+the page's main body, as a template can't be deduced on a host with few pages and varies where
+furniture differs from page to page.
 
 * One pass reads each page and gives a row a text node with hashes only; the vectors are a bitwise
   sum of hashes over pages, so that no list of pages is ever collected and a host with a tenth of all
   pages is aggregated in parts.
 * The order is checked on the tokens of candidate classes alone.
-* Pages fetched again are one page of the template (by URL), each with its own rows in the result.
+* Pages fetched again are one page of the template (by URL), and so are pages of equal main body (by
+  hash of its tokens), each with its own rows in the result: copies under many URLs support nothing.
+* Parts that versions of an article share, and headings that many articles have, form classes too, but
+  classes of the main body; they aren't template.  A page supports a class only if the class holds at
+  most half of its main body, so that versions alone on a host don't make their article template.
 
 Markdown, wiki, LaTeX and mixed files have no host; ``markup.parse`` reads their structure.
 
@@ -24,6 +29,7 @@ hash); an element without text isn't one; code blocks and formulas may not be em
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +46,7 @@ SUPPORT = 3
 _FORMULA = re.compile(
     r"(?<!\\)\$\$.+?\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)|(?<![\\$])\$(?=[^\s$])[^$\n]*?[^\s$\\]\$(?![\d$])", re.S
 )
-NODES = "page_id bigint, host bigint, url bigint, place int, token bigint, inside boolean, blocks array<bigint>, formulas int"
+NODES = "page_id bigint, host bigint, url bigint, body bigint, main int, place int, token bigint, inside boolean, blocks array<bigint>, formulas int"
 
 
 def _hash(text: str) -> int:
@@ -58,13 +64,19 @@ def nodes(pages: DataFrame) -> DataFrame:
     ``blocks`` holds 4 x number + kind (0 heading, 1 list item, 2 code block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
         for batch in batches:
             out: list[tuple] = []
             for page, url, content in zip(*(c.to_pylist() for c in batch.columns)):
                 found, blocks = read(content)
                 host, key = _hash(_host(url)), _hash(url if url is not None else f"\0{page}")
-                for place, (n, inside) in enumerate(zip(found, article(found))):
+                kept = article(found)
+                tokens = [_hash("\1".join((*n.path[-2:], " ".join(n.words) or n.text.strip()))) for n in found]
+                # a page without main body is known by all its tokens
+                same = array("q", [t for t, inside in zip(tokens, kept) if inside] or tokens)
+                body = xxhash.xxh3_64_intdigest(same.tobytes()) - (1 << 63)
+                main = sum(kept)
+                for place, (n, token, inside) in enumerate(zip(found, tokens, kept)):
                     # a heading or an item counts by its own text, which is in its innermost block or inline in it
                     held, formulas = [], 0
                     if inside:
@@ -75,12 +87,11 @@ def nodes(pages: DataFrame) -> DataFrame:
                                 held.append(4 * b + kind)
                         if "pre" not in n.path:
                             formulas = 1 if "math" in n.path or "class=math" in n.cues else len(_FORMULA.findall(n.text))
-                    token = _hash("\1".join((*n.path[-2:], " ".join(n.words) or n.text.strip())))
-                    out.append((page, host, key, place, token, inside, held, formulas))
-            columns = list(zip(*out)) if out else [[]] * 8
+                    out.append((page, host, key, body, main, place, token, inside, held, formulas))
+            columns = list(zip(*out)) if out else [[]] * 10
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["page_id", "host", "url", "place", "token", "inside", "blocks", "formulas"],
+                names=["page_id", "host", "url", "body", "main", "place", "token", "inside", "blocks", "formulas"],
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"))
@@ -89,23 +100,30 @@ def nodes(pages: DataFrame) -> DataFrame:
 
 def template(rows: DataFrame) -> DataFrame:
     """(host, token) of the valid equivalence classes."""
-    first = rows.groupBy("host", "url").agg(F.min("page_id").alias("page_id"))  # one fetch a URL
-    once = rows.join(first.select("page_id", "host", "url"), ["page_id", "host", "url"], "left_semi")
-    seen = once.groupBy("host", "token", "url").agg(F.count("*").alias("times"), F.min("place").alias("place"))
+    fetch = rows.groupBy("host", "url").agg(F.min(F.struct("page_id", "body")).alias("x"))  # one fetch a URL
+    first = fetch.groupBy("host", F.col("x.body").alias("body")).agg(F.min(F.struct("x.page_id", "url")).alias("x"))  # one URL a main body
+    once = rows.join(first.select("host", "body", "x.page_id", "x.url"), ["host", "body", "page_id", "url"], "left_semi")
+    seen = once.groupBy("host", "token", "url").agg(
+        F.count("*").alias("times"), F.min("place").alias("place"), F.count_if("inside").alias("inside"), F.max("main").alias("main")
+    )
     vector = seen.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("url", "times")).alias("v1"),
         F.bit_xor(F.xxhash64("times", "url", F.lit(7))).alias("v2"),
-        F.count("*").alias("pages"),
+        F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("inside").alias("inside"),
     ).where(F.col("pages") >= SUPPORT)
-    sizes = vector.groupBy("host", "v1", "v2").agg(F.count("*").alias("size")).where("size >= 2").drop("size")
+    sizes = vector.groupBy("host", "v1", "v2").agg(F.count("*").alias("size"), F.sum("times").alias("times"), F.sum("inside").alias("inside"))
+    sizes = sizes.where("size >= 2 and 2 * inside < times").select("host", "v1", "v2")
     classes = cut(vector.join(sizes, ["host", "v1", "v2"]).select("host", "token", "v1", "v2"), "classes")
     placed = seen.join(classes, ["host", "token"])
     # the order of a class is that of its mean places; a page on which a token comes before one of a lower rank breaks it
     mean = placed.groupBy("host", "token").agg(F.avg("place").alias("mean"))
     line = Window.partitionBy("host", "v1", "v2", "url").orderBy("mean", "token")
     ordered = placed.join(mean, ["host", "token"]).withColumn("step", F.col("place") - F.lag("place").over(line))
-    broken = ordered.where("step < 0").select("host", "v1", "v2").distinct()
-    return classes.join(broken, ["host", "v1", "v2"], "left_anti").select("host", "token")
+    on_page = ordered.groupBy("host", "v1", "v2", "url").agg(F.min("step").alias("step"), F.sum("inside").alias("inside"), F.max("main").alias("main"))
+    # a page whose main body is mostly of the class is a version of other pages and doesn't support it
+    valid = on_page.groupBy("host", "v1", "v2").agg(F.min("step").alias("step"), F.count_if(F.expr("2 * inside <= main")).alias("pages"))
+    valid = valid.where((F.coalesce("step", F.lit(0)) >= 0) & (F.col("pages") >= SUPPORT))
+    return classes.join(valid, ["host", "v1", "v2"], "left_semi").select("host", "token")
 
 
 def page_elements(pages: DataFrame) -> DataFrame:

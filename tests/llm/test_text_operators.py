@@ -256,6 +256,23 @@ def test_elements_of_pages_and_files(spark):
     assert clean_markup.found(files.limit(0), pages(spark, [])).count() == 0
 
 
+def test_copies_and_versions_of_pages_are_no_template(spark):
+    files = spark.createDataFrame([], "file_id long, content string, ingested_at timestamp")
+    article = "<h1>Tide guide</h1><p>The harbour opens at dawn and {} boats leave.</p><h2>Before you go</h2><ul><li>Check the anchor</li><li>Ask the keeper</li></ul><pre>tide --list</pre><p>Then \\(t+1\\) hours pass.</p>"
+    own = lambda c, more="": page(f"<h1>Page {c}</h1><p>Own words of page {c} stand here, {c * 5}.</p>{more}<p>The {c * 4} was seen by nobody else.</p>")
+    h = [(k, f"https://h.invalid/{c}", own(c)) for k, c in enumerate("abcdef")]
+    h += [(10 + k, f"https://h.invalid/copy{k}", page(article.format("many"))) for k in range(4)]
+    h += [(20 + k, f"https://i.invalid/{c}", own(c)) for k, c in enumerate("abcdef")]
+    h += [(30 + k, f"https://i.invalid/v{w}", page(article.format(w))) for k, w in enumerate(("red", "blue", "green"))]
+    h += [(40 + k, f"https://j.invalid/v{w}", page(article.format(w))) for k, w in enumerate(("red", "blue", "green"))]
+    h += [(50 + k, f"https://k.invalid/{c}", own(c, "<h2>Overview of the work</h2><h2>Steps to take</h2>" if k < 3 else "")) for k, c in enumerate("abcdef")]
+    got = clean_markup.found(files, pages(spark, h)).groupBy("row_id").pivot("kind", list(markup.KINDS)).count().fillna(0).collect()
+    counts = {r["row_id"]: [r[k] for k in markup.KINDS] for r in got}
+    for i in (*range(10, 14), *range(30, 33), *range(40, 43)):
+        assert counts.get(i) == [2, 2, 1, 1], i
+    assert [counts[i][0] for i in range(50, 56)] == [3, 3, 3, 1, 1, 1]
+
+
 # ---- subjects ----
 
 
