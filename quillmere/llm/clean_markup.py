@@ -13,6 +13,8 @@ furniture differs from page to page.
   sum of hashes over pages, so that no list of pages is ever collected and a host with a tenth of all
   pages is aggregated in parts.
 * The order is checked on the tokens of candidate classes alone.
+* For the clean text the nodes of the main body carry their texts through the anti-join; what remains of a
+  page is put together in the order of its slots.
 * Pages fetched again are one page of the template (by URL), and so are pages of equal main body (by
   hash of its tokens), each with its own rows in the result: copies under many URLs support nothing.
 * Parts that versions of an article share, and headings that many articles have, form classes too, but
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.html_tokens import HEADINGS, read
@@ -47,6 +49,8 @@ _FORMULA = re.compile(
     r"(?<!\\)\$\$.+?\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)|(?<![\\$])\$(?=[^\s$])[^$\n]*?[^\s$\\]\$(?![\d$])", re.S
 )
 NODES = "page_id bigint, host bigint, url bigint, body bigint, main int, place int, token bigint, inside boolean, blocks array<bigint>, formulas int"
+#: With texts: key tells rows of other URL or content apart, block is the innermost one, and in ``blocks`` 3 marks a formula.
+TEXTS = NODES + ", key bigint, block int, before string, text string"
 
 
 def _hash(text: str) -> int:
@@ -58,16 +62,23 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def nodes(pages: DataFrame) -> DataFrame:
+def _key() -> Column:
+    return F.xxhash64(F.col("url").cast("string"), F.col("html_content").cast("string"))
+
+
+def nodes(pages: DataFrame, texts: bool = False) -> DataFrame:
     """A row for each text node of a page: its token, whether it is in the main body, and the elements it stands in.
 
-    ``blocks`` holds 4 x number + kind (0 heading, 1 list item, 2 code block)."""
+    ``blocks`` holds 4 x number + kind (0 heading, 1 list item, 2 code block).  ``texts`` asks for the columns of ``TEXTS``, for pages
+    without id too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
+        kinds: tuple = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
+        if texts:
+            kinds += (pa.int64(), pa.int32(), pa.string(), pa.string())
         for batch in batches:
             out: list[tuple] = []
-            for page, url, content in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, content, row in zip(*(c.to_pylist() for c in batch.columns)):
                 found, blocks = read(content)
                 host, key = _hash(_host(url)), _hash(url if url is not None else f"\0{page}")
                 kept = article(found)
@@ -86,16 +97,19 @@ def nodes(pages: DataFrame) -> DataFrame:
                             if kind < 3:
                                 held.append(4 * b + kind)
                         if "pre" not in n.path:
-                            formulas = 1 if "math" in n.path or "class=math" in n.cues else len(_FORMULA.findall(n.text))
-                    out.append((page, host, key, body, main, place, token, inside, held, formulas))
-            columns = list(zip(*out)) if out else [[]] * 10
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["page_id", "host", "url", "body", "main", "place", "token", "inside", "blocks", "formulas"],
-            )
+                            whole = "math" in n.path or "class=math" in n.cues
+                            formulas = 1 if whole else len(_FORMULA.findall(n.text))
+                            if texts and whole:
+                                held.append(3)
+                    at = (page, host, key, body, main, place, token, inside, held, formulas)
+                    out.append((*at, row, n.blocks[-1] if n.blocks else 0, n.before, n.text if inside else None) if texts else at)
+            columns = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"))
-    return rows.where("page_id is not null and length(html_content) > 0").mapInArrow(run, NODES)
+    names = [c.strip().split(" ")[0] for c in (TEXTS if texts else NODES).split(",")]
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"), _key().alias("key"))
+    rows = rows.where("length(html_content) > 0" if texts else "page_id is not null and length(html_content) > 0")
+    return rows.mapInArrow(run, TEXTS if texts else NODES)
 
 
 def template(rows: DataFrame) -> DataFrame:
@@ -173,12 +187,71 @@ def found(files: DataFrame, pages: DataFrame) -> DataFrame:
     return long.select("origin", "row_id", "kind", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("item_no"))
 
 
-def cleaned(files: DataFrame) -> DataFrame:
-    """(file_id, clean): the clean text of every row of ``files``."""
+def _bare(formula: str) -> str:
+    return re.sub(r"^\s*(?:\$\$|\\\[|\\\(|\$)\s*|\s*(?:\$\$|\\\]|\\\)|\$)\s*$", "", formula).strip()
+
+
+def assembled(parts: list[dict]) -> str:
+    """The text of a page's nodes in the order of their places: a line a block, marked as in the clean text of files."""
+    lines: list[str] = []
+    seen: set[int] = set()
+    k = 0
+    while k < len(parts):
+        first, e = parts[k], k + 1
+        while e < len(parts) and parts[e]["block"] == first["block"]:
+            e += 1
+        fresh = [b for b in first["blocks"] if b % 4 < 3 and b not in seen]
+        seen.update(fresh)
+        mark = "".join(("# ", "- ", "")[b % 4] for b in fresh)
+        pieces: list[tuple[bool, str]] = []  # (formula, text)
+        last = first["place"] - 1
+        for j, x in enumerate(parts[k:e]):
+            before = (x["before"] if x["place"] == last + 1 else "\n") if j else ""
+            last = x["place"]
+            formula = 3 in x["blocks"]
+            if formula and pieces and pieces[-1][0]:
+                pieces[-1] = (True, pieces[-1][1] + before + x["text"])
+            else:
+                pieces += [(False, before), (formula, x["text"])] if before else [(formula, x["text"])]
+        text = "".join(f"${' '.join(_bare(t).split())}$" if formula else t for formula, t in pieces)
+        if any(b % 4 == 2 for b in first["blocks"]):
+            lines += [mark.strip()] if mark else []
+            lines.append("```\n" + text.strip("\n") + "\n```")
+        else:
+            lines.append(mark + " ".join(text.split()))
+        k = e
+    return "\n".join(lines)
+
+
+def cleaned_pages(pages: DataFrame) -> DataFrame:
+    """(row_id, clean): the clean text of every row of ``pages``; null stays null, a page without main body is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [assembled(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "clean"])
+
+    rows = cut(nodes(pages, texts=True), "nodes")
+    content = rows.where("inside").join(template(rows.where("page_id is not null")), ["host", "token"], "left_anti")
+    # a set, so that a repeated row counts once
+    parts = F.array_sort(F.collect_set(F.struct("place", "block", "blocks", "before", "text")))
+    clean = content.groupBy("key").agg(parts.alias("parts")).mapInArrow(run, "key bigint, clean string")
+    every = pages.select(F.col("page_id").cast("long").alias("row_id"), F.col("html_content").isNotNull().alias("there"), _key().alias("key"))
+    return every.join(clean, "key", "left").select("row_id", F.when(F.col("there"), F.coalesce("clean", F.lit(""))).alias("clean"))
+
+
+def cleaned_files(files: DataFrame) -> DataFrame:
+    """(row_id, clean): the clean text of every row of ``files``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [parse(t, render=True).text if t else t for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file_id", "clean"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row_id", "clean"])
+
+    return files.select(F.col("file_id").cast("long"), F.col("content").cast("string")).mapInArrow(run, "row_id bigint, clean string")
+
 
-    return files.select(F.col("file_id").cast("long"), F.col("content").cast("string")).mapInArrow(run, "file_id bigint, clean string")
+def cleaned(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """(origin, row_id, clean): the clean text of every row of both tables."""
+    of = lambda name, df: df.select(F.lit(name).alias("origin"), "row_id", "clean")
+    return of("md_files", cleaned_files(files)).union(of("html_pages", cleaned_pages(pages)))

@@ -18,6 +18,10 @@ BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("h1 h2 h3 h4 h5 h6 p li pre ul ol div table section article main aside nav header footer blockquote".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img"
+    " math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mover munder semantics annotation".split()
+)
 #: Elements nested deeper than this are numbered, but what they hold belongs to the enclosing one, as in browsers.
 DEPTH = 512
 _DIGITS = re.compile(r"\d+")
@@ -35,6 +39,7 @@ class Node:
     link: bool
     tags: int  # tags since the last text node
     under: str = ""
+    before: str = ""  # blank text since the last text node; elements that aren't inline count as a line's end
     words: list[str] = field(default_factory=list)
 
 
@@ -65,6 +70,7 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
     blocks: dict[int, str] = {}
     stack: list[_Frame] = [_Frame("", (), 0)]
     number, links, tags = 0, 0, 0
+    blank: list[str] = []
     heading: list[str] | None = None
     cache: tuple | None = None  # (blocks, path, cues) of the stack as it stands
 
@@ -93,10 +99,12 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
             continue
         if text is not None:
             if text.isspace():
+                blank.append(text)
                 continue
             if "&" in text:
                 text = html.unescape(text)
                 if text.isspace():
+                    blank.append(text)
                     continue
             if cache is None:
                 cache = (
@@ -107,11 +115,14 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
                 )
             if heading is not None:
                 heading.append(text)
-            nodes.append(Node(text, cache[0], cache[1], cache[2], links > 0, tags, cache[3]))
+            nodes.append(Node(text, cache[0], cache[1], cache[2], links > 0, tags, cache[3], "".join(blank)))
             tags = 0
+            blank.clear()
             continue
         name = name.lower()
         tags += 1
+        if name not in INLINE:
+            blank.append("\n")
         if slash:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:

@@ -29,7 +29,7 @@ def queries():
         "p5_found": lambda s, d: main_body.found(t(s, d, "html_pages")),
         "p5_bodies": lambda s, d: main_body.bodies(t(s, d, "html_pages")),
         "p6_found": lambda s, d: clean_markup.found(t(s, d, "md_files"), t(s, d, "html_pages")),
-        "p6_cleaned": lambda s, d: clean_markup.cleaned(t(s, d, "md_files")),
+        "p6_cleaned": lambda s, d: clean_markup.cleaned(t(s, d, "md_files"), t(s, d, "html_pages")),
         "p7_found": lambda s, d: subjects.found(
             t(s, d, "md_files"), t(s, d, "category_lines"), t(s, d, "subject_labels"), t(s, d, "subject_areas")
         ),

@@ -273,6 +273,20 @@ def test_copies_and_versions_of_pages_are_no_template(spark):
     assert [counts[i][0] for i in range(50, 56)] == [3, 3, 3, 1, 1, 1]
 
 
+def test_clean_text_of_pages_and_files(spark):
+    vote = '<div class="q7"><p>Rate this</p><ul><li>Splendid</li><li>Dreadful</li></ul></div>'
+    body = "<h1>Page {0}</h1><p>Own{0} <b>{0}words</b> of{0}<i> page{0}</i> {0} stand <b>h{0}</b>ere{0} and \\(x\\).</p><ul><li>Item {0}<ul><li>Inner {0}</li></ul></li></ul><pre><span>def {0}:</span>\n<span>    {0}</span></pre><p>Then{0} <span class='math'>${0}$</span> holds for {0}.</p>"
+    rows = [(k, f"https://h.invalid/{c}", page(body.format(c), vote)) for k, c in enumerate("abcdef")]
+    rows += [(50, None, None), (51, "https://h.invalid/a", rows[0][2]), rows[1], (52, "https://h.invalid/z", ""), (None, "https://h.invalid/a", rows[0][2])]
+    files = spark.createDataFrame([(1, "# T\n\n* a"), (2, None)], "file_id long, content string")
+    got = clean_markup.cleaned(files, pages(spark, rows)).collect()
+    want = lambda c: f"# Page {c}\nOwn{c} {c}words of{c} page{c} {c} stand h{c}ere{c} and \\(x\\).\n- Item {c}\n- Inner {c}\n```\ndef {c}:\n    {c}\n```\nThen{c} ${c}$ holds for {c}."
+    of = lambda o: sorted(((r["row_id"], r["clean"]) for r in got if r["origin"] == o), key=repr)
+    assert of("md_files") == [(1, "# T\n\n- a"), (2, None)]
+    every = [(k, want(c)) for k, c in enumerate("abcdef")] + [(1, want("b")), (50, None), (51, want("a")), (52, ""), (None, want("a"))]
+    assert of("html_pages") == sorted(every, key=repr)
+
+
 # ---- subjects ----
 
 
