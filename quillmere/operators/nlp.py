@@ -123,11 +123,13 @@ def stems(words: Column) -> Column:
     return run(words)
 
 
-def topics(documents: DataFrame, k: int = 3, passes: int = 15, seed: int = 1, vocabulary: int = 2000, text_col: str = "text") -> DataFrame:
-    """(topic, term, weight): the heaviest terms of each topic."""
+def topics(documents: DataFrame, k: int = 3, passes: int = 15, seed: int = 1, text_col: str = "text") -> DataFrame:
+    """(topic, term, weight): the heaviest terms of each topic, from passes over all documents with all their terms.
+
+    The online optimizer draws its batches with replacement, at a rate of 1 too, so that a pass misses documents."""
     words = documents.where(F.col(text_col).isNotNull()).select(without_stop_words(tokens(F.col(text_col))).alias("words"))
-    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2).fit(words)
-    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counter.transform(words))
-    shown = model.describeTopics(10).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("x"))
-    names = F.array(*[F.lit(v) for v in counter.vocabulary])
-    return shown.select(F.col("topic").cast("long"), names[F.col("x.termIndices")].alias("term"), F.col("x.termWeights").alias("weight"))
+    counter = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2**31 - 1, minDF=1).fit(words)
+    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="em").fit(counter.transform(words))
+    shown = model.describeTopics(10).collect()  # k rows
+    rows = [(r["topic"], counter.vocabulary[t], w) for r in shown for t, w in zip(r["termIndices"], r["termWeights"])]
+    return documents.sparkSession.createDataFrame(rows, "topic long, term string, weight double")

@@ -109,6 +109,14 @@ def test_stems():
         assert nlp.stem(word) == want, word
 
 
+def test_topics_from_all_documents_and_terms(spark):
+    # each heavy term stands in one document only
+    texts = [" ".join([f"heavy{k}"] * 400 + [f"w{k}x{j}" for j in range(900)]) for k in range(6)] + [None, ""]
+    got = rows(nlp.topics(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert len(got) == 30 and {t for t, _, _ in got} == {0, 1, 2}
+    assert {f"heavy{k}" for k in range(6)} <= {term for _, term, _ in got}
+
+
 def test_extensions(spark):
     d = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "doc_id long, text string")
     assert rows(extensions.chunks(d, 4, 1), "doc_id", "chunk_no") == [(1, 1, "abcd"), (1, 2, "defg"), (1, 3, "ghij")]
