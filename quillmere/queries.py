@@ -13,7 +13,7 @@ from quillmere.functions import categories, markdown, tokens, vectors
 from quillmere.functions import release_notes as rn
 from quillmere.operators import cache, collection, extensions, html, nlp, similarity
 from quillmere.plans.cut import shared_dir
-from quillmere.streaming import event_counts, run_once
+from quillmere.streaming import event_counts, run_whole
 
 COMPANY = "acme"
 SIMILAR = 0.3
@@ -234,13 +234,13 @@ def nlp_stem(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_events(s: SparkSession, d: str) -> DataFrame:
-    """The events read as a stream of files and counted by hour; what the watermark holds back isn't written."""
+    """The events read as a stream of files to its end and counted by hour: every event of the table that has a time."""
     file = f"{d}/events.parquet"
     schema = s.read.parquet(file).schema
     fixed = T.StructType([T.StructField(f.name, T.TimestampType() if f.name == "ts" else f.dataType) for f in schema.fields])
     place = f"{shared_dir(s)}/quillmere/stream-{uuid.uuid4().hex}"
     stream = s.readStream.schema(fixed).format("parquet").load(file + "*")  # a pattern: the table may be one file or a folder
-    return run_once(event_counts(stream), place + "/out", place + "/state")
+    return run_whole(event_counts(stream), place + "/out", place + "/state")
 
 
 def precision_at_5(s: SparkSession, d: str) -> DataFrame:

@@ -137,6 +137,23 @@ def test_folders_and_sinks(spark, tmp_path):
     assert rows(sources.read_category_file(spark, str(tmp_path / "lines") + "/part*").select(F.trim("text"))) [0][0].startswith("Filename: f | x")
 
 
+def test_stream_counts_every_event(spark, tmp_path):
+    import datetime as d
+
+    from quillmere import queries as Q
+
+    day = d.datetime(2024, 1, 1)
+    # open windows at the end, and in a later file events far behind the watermark and events without time
+    first = [(day + d.timedelta(minutes=10 * k), "ab"[k % 2], float(k)) for k in range(60)]
+    late = [(day - d.timedelta(days=3), "a", 1.0), (None, "b", 2.0)]
+    for part in (first, late):
+        spark.createDataFrame(part, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    read = spark.read.parquet(str(tmp_path / "events.parquet"))
+    want = read.where("ts is not null").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    got = Q.stream_events(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 21
+
+
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([("intro\n# A",)], "text string").write.parquet(str(source))
