@@ -15,7 +15,9 @@ verified exactly on the whole shingle sets.
 
 Defined cases: null ids and null texts, and texts under ``min_words`` words, take no part; of a file
 delivered again with another text the one ingested last counts; repeated rows count once; with equal
-ingestion times the greater text hash counts; tables without pairs give no rows.
+ingestion times the greater text hash counts; tables without pairs give no rows.  ``classes`` has a row for
+every id: texts too short for a shingle are classed by the hash of the whole text, blank ones as one class
+and files without any text as another, all without links.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ def sketches(rows: DataFrame, width: int, min_words: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for file, when, text in zip(*(c.to_pylist() for c in batch.columns)):
-                text_key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                text_key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass") if text.strip() else b"") >> 1
                 keys, n = shingles(text, width)
                 if n < min_words or not len(keys):
                     out.append((file, when, text_key, None, None))
@@ -201,7 +203,8 @@ def verify(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 class NearDuplicates:
-    """``members`` (id, class) and ``pairs`` (a, b, similarity) between class representatives."""
+    """``members`` (id, class), ``short`` (id, text_key) of the texts that take no part, and ``pairs`` (a, b, similarity) between class
+    representatives."""
 
     def __init__(
         self,
@@ -216,6 +219,7 @@ class NearDuplicates:
         rows = rows_of(files, id_col, text_col, order_col)
         every = cut(sketches(rows, width, min_words), "sketches")
         last = every.groupBy("id").agg(F.max(F.struct("ingested", "text_key", "set_key")).alias("x"))
+        self.short = last.where("x.set_key is null").select("id", F.col("x.text_key").alias("text_key"))
         current = last.select("id", F.col("x.set_key").alias("set_key")).where("set_key is not null")
         classes = current.groupBy("set_key").agg(F.min("id").alias("class"))
         self.members = cut(current.join(classes, "set_key").select("id", "class"), "members")
@@ -258,6 +262,11 @@ def classes(files: DataFrame) -> DataFrame:
     near = NearDuplicates(files)
     ends = near.pairs.select(F.col("a").alias("class")).union(near.pairs.select("b"))
     links = ends.groupBy("class").agg(F.count("*").alias("n"))
-    return near.members.join(links, "class", "left").select(
-        F.col("id").alias("file_id"), F.col("class").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")
-    )
+    linked = near.members.join(links, "class", "left").select("id", "class", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # text hashes aren't negative
+    texts = files.select(F.col("file_id").cast("long").alias("id"), F.col("content").isNotNull().alias("there")).where("id is not null")
+    absent = texts.groupBy("id").agg(F.max("there").alias("there")).where("not there").select("id", F.lit(-1).cast("long").alias("text_key"))
+    short = near.short.union(absent)
+    least = short.groupBy("text_key").agg(F.min("id").alias("class"))
+    rest = short.join(least, "text_key").select("id", "class", F.lit(0).cast("long").alias("n"))
+    return linked.union(rest).toDF("file_id", "class_id", "n_links")

@@ -51,6 +51,18 @@ def test_defined_cases(spark):
     assert near_duplicates.found(files(spark, [])).count() == 0
 
 
+def test_short_and_null_texts_have_classes(spark):
+    import datetime as d
+
+    old, new = d.datetime(2020, 1, 1), d.datetime(2021, 1, 1)
+    rows = [
+        (1, "a stub of four", old), (2, "a stub of four", old), (2, "a stub of four", old), (3, "another stub", None), (4, None, old), (5, None, new),
+        (6, "", old), (7, " \n", old), (8, None, old), (8, "another stub", new), (9, "one two three four five six", old), (None, "a", old), (10, "–", old),
+    ]
+    got = sorted(map(tuple, near_duplicates.classes(files(spark, rows)).collect()))
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0), (7, 6, 0), (8, 3, 0), (9, 9, 0), (10, 10, 0)]
+
+
 def test_many_copies_are_one_row_in_the_bands(spark):
     text = " ".join(f"b{k}" for k in range(60))
     near = near_duplicates.NearDuplicates(files(spark, [(k, text, None) for k in range(200)]), 0.6, 3, 50)
