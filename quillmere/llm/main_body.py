@@ -4,8 +4,10 @@ Method: maximum-scoring subsequence.  A page is a sequence of tokens; words scor
 fitted on the labelled pages of ``labelled_pages`` (positive for the article, negative for furniture),
 tags score negative; a linear scan finds the contiguous region with the greatest sum.  A word's
 features are itself, the open elements with their classes, ids and roles, whether it is linked, and
-the heading it stands under.  Inside the region the same scan, with the signs turned, takes out the
-islands whose sum is negative: contents lists, votes, notices, page data, attachments, teasers.
+the heading it stands under.  As a text node can take at most ``-LEAST`` from a sum, the region reaches
+nearly from the first to the last positive node; the final choice is made per block, inside the region:
+one whose own sum isn't positive is taken out (contents lists, votes, notices, page data, attachments,
+teasers).  Furniture of unknown wording is kept, far from the article too.
 
 One pass over whole pages, without a shuffle.
 
