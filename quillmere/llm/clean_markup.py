@@ -1,27 +1,27 @@
 """Problem 6: markup residue in text documents.
 
-Method: equivalence-class template deduction.  The text nodes of a host's pages are tokens; those that
-occur equally often on the same pages share an occurrence vector and form a class.  A class of at
-least two tokens on at least ``SUPPORT`` different pages is valid if its tokens come in one order on
-every page and most of its occurrences stand outside the main body; classes nest by the pages and
-places of their tokens.  The valid classes are the host's template; what remains in its slots is
-content, from which the elements are extracted.  An exact check keeps of the remaining nodes those of
-the page's main body, as a template can't be deduced on a host with few pages and varies where
-furniture differs from page to page.
-
-* One pass reads each page and gives a row a text node with hashes only; the vectors are a bitwise
-  sum of hashes over pages, so that no list of pages is ever collected and a host with a tenth of all
-  pages is aggregated in parts.
-* The order is checked on the tokens of candidate classes alone.
-* For the clean text the nodes of the main body carry their texts through the anti-join; what remains of a
-  page is put together in the order of its slots.
-* Pages fetched again are one page of the template (by URL), and so are pages of equal main body (by
-  hash of its tokens), each with its own rows in the result: copies under many URLs support nothing.
-* Parts that versions of an article share, and headings that many articles have, form classes too, but
-  classes of the main body; they aren't template.  A page supports a class only if the class holds at
-  most half of its main body, so that versions alone on a host don't make their article template.
-
-Markdown, wiki, LaTeX and mixed files have no host; ``markup.parse`` reads their structure.
+Method: equivalence-class template deduction.  A token is what a unit of a page says: its start tag, its
+words and its end tag (``main_body.Unit``), and the words of its last link; the name of the site and
+digits are left open, as slots.  Tokens of a host's pages that occur equally often on the same pages
+share an occurrence vector and form a class.  A class is valid if it has at least ``SIZE`` tags and words,
+stands under at least ``SUPPORT`` titles and ``SHARE`` of the host's, and comes in one order on every
+page.  Valid classes nest: of two that cross on a page (neither within a slot of the other, nor beside
+it) the rarer one is dropped.  The valid classes are the host's template, what remains is in its slots.
+Of the slots those of the article are extracted: the scan of ``main_body`` runs over the units with the
+template as its only knowledge of other pages, so a slot among tokens of the template (a teaser between
+the heading and the link of a side panel) falls with them.
+
+A host under ``SUPPORT`` titles has no template; there what is repeated in the whole corpus takes its
+place.  ``without_template`` gives the share of such pages.
+
+* One pass reads each page and gives a row a page with hashes; vectors are a bitwise sum of hashes over
+  titles, so no list of pages is ever collected and a host with a third of all pages is aggregated in parts.
+* Order and nesting are checked on the tokens of candidate classes alone.
+* Copies, versions and pages fetched again count as one page of the template (by title), each with its
+  own rows in the result.
+* The clean text of a page is put together from its slots in order.
+
+Markdown, wiki, LaTeX and mixed files have no host and so no template; ``markup.parse`` reads their structure.
 
 Defined cases: null ids, null and empty contents have no elements; pages without URL form a host of
 their own; of a file delivered again the text ingested last counts (with equal times the greater text
@@ -31,129 +31,91 @@ hash); an element without text isn't one; code blocks and formulas may not be em
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.html_tokens import HEADINGS, read
-from quillmere.llm.main_body import article
+from quillmere.llm.main_body import (
+    SCANNED, SHARE, SUPPORT, corpus_tokens, host_sizes, page_key, page_rows, scan, text_hash, tokens_of, weights, with_repeated,
+)
 from quillmere.llm.markup import KINDS, parse
 from quillmere.plans.cut import cut
 
-SUPPORT = 3
-_FORMULA = re.compile(
-    r"(?<!\\)\$\$.+?\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)|(?<![\\$])\$(?=[^\s$])[^$\n]*?[^\s$\\]\$(?![\d$])", re.S
-)
-NODES = "page_id bigint, host bigint, url bigint, body bigint, main int, place int, token bigint, inside boolean, blocks array<bigint>, formulas int"
-#: With texts: key tells rows of other URL or content apart, block is the innermost one, and in ``blocks`` 3 marks a formula.
-TEXTS = NODES + ", key bigint, block int, before string, text string"
+#: Tags and words of a class.
+SIZE = 3
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
+def template(rows: DataFrame) -> DataFrame:
+    """(host, token) of the valid equivalence classes of page rows."""
+    first = rows.groupBy("host", "title").agg(F.min("key").alias("key"))  # versions and copies are one page
+    once = rows.join(first, ["host", "title", "key"], "left_semi").dropDuplicates(["key"])
+    units = F.arrays_zip("tokens", "links", "words")
+    of = once.select("host", "title", F.posexplode(units).alias("place", "u"))
+    own = of.select("host", "title", "place", F.col("u.tokens").alias("token"), (F.col("u.words") + 2).alias("size"))
+    link = of.select("host", "title", "place", F.col("u.links").alias("token"), F.lit(3).alias("size"))
+    on = own.union(link).where("token <> 0").groupBy("host", "token", "title").agg(F.count("*").alias("times"), F.min("place").alias("place"), F.max("place").alias("last"), F.max("size").alias("size"))
+    vector = on.groupBy("host", "token").agg(
+        F.bit_xor(F.xxhash64("title", "times")).alias("v1"), F.bit_xor(F.xxhash64("times", "title", F.lit(7))).alias("v2"),
+        F.count("*").alias("titles"), F.max("size").alias("size"),
+    ).where(F.col("titles") >= SUPPORT)
+    often = vector.join(host_sizes(rows), "host").where(F.col("titles") >= SHARE * F.col("of"))
+    sizes = often.groupBy("host", "v1", "v2").agg(F.sum("size").alias("size")).where(F.col("size") >= SIZE)
+    classes = cut(often.join(sizes.drop("size"), ["host", "v1", "v2"], "left_semi").select("host", "token", "v1", "v2", "titles"), "classes")
+    placed = on.join(classes, ["host", "token"])
+    # the order of a class is that of its mean places; a page on which a token comes before one of a lower rank breaks it
+    mean = placed.groupBy("host", "token").agg(F.avg("place").alias("mean"))
+    line = Window.partitionBy("host", "v1", "v2", "title").orderBy("mean", "token")
+    step = placed.join(mean, ["host", "token"]).withColumn("step", F.col("place") - F.lag("place").over(line))
+    spans = step.groupBy("host", "v1", "v2", "title").agg(
+        F.min("step").alias("step"), F.min("place").alias("lo"), F.max("last").alias("hi"), F.max("titles").alias("titles"), F.count("*").alias("n")
+    )
+    broken = spans.where("step < 0").select("host", "v1", "v2").distinct()
+    # classes of one token can't cross; a page has few of the others
+    wide = spans.where("n > 1").join(broken, ["host", "v1", "v2"], "left_anti").select("host", "title", "v1", "v2", "lo", "hi", "titles")
+    other = wide.select("host", "title", *(F.col(c).alias(f"o_{c}") for c in ("v1", "v2", "lo", "hi", "titles")))
+    pairs = wide.join(other, ["host", "title"]).where("lo < o_lo and o_lo <= hi and hi < o_hi")
+    rank = lambda p: F.struct(F.col(p + "titles"), F.col(p + "v1"), F.col(p + "v2"))
+    rarer = F.when(rank("") < rank("o_"), F.struct("v1", "v2")).otherwise(F.struct(F.col("o_v1").alias("v1"), F.col("o_v2").alias("v2")))
+    crossed = pairs.select("host", rarer.alias("x")).select("host", "x.v1", "x.v2").distinct()
+    valid = classes.join(broken, ["host", "v1", "v2"], "left_anti").join(crossed, ["host", "v1", "v2"], "left_anti")
+    return valid.select("host", "token")
 
-def _host(url: str | None) -> str:
-    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
 
+def evidence(rows: DataFrame) -> DataFrame:
+    """(key, token): the template's tokens on every page, or those of the corpus on hosts too small for a template."""
+    of = tokens_of(rows)
+    in_template = of.join(template(rows), ["host", "token"], "left_semi").select("key", "token")
+    small = host_sizes(rows).where(F.col("of") < SUPPORT).select("host")
+    in_corpus = of.join(small, "host", "left_semi").join(F.broadcast(corpus_tokens(rows)), "token", "left_semi").select("key", "token")
+    return in_template.union(in_corpus)
 
-def _key() -> Column:
-    return F.xxhash64(F.col("url").cast("string"), F.col("html_content").cast("string"))
 
+def without_template(pages: DataFrame) -> DataFrame:
+    """(pages, small): the number of pages with content, and of those whose host has too few titles for a template."""
+    rows = page_rows(pages).select("host", "title")
+    return rows.join(host_sizes(rows), "host").agg(F.count("*").alias("pages"), F.count_if(F.col("of") < SUPPORT).alias("small"))
 
-def nodes(pages: DataFrame, texts: bool = False) -> DataFrame:
-    """A row for each text node of a page: its token, whether it is in the main body, and the elements it stands in.
 
-    ``blocks`` holds 4 x number + kind (0 heading, 1 list item, 2 code block).  ``texts`` asks for the columns of ``TEXTS``, for pages
-    without id too."""
+def page_elements(pages: DataFrame) -> DataFrame:
+    """(row_id, heading, list_item, code_block, formula) of what the article's slots hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32())
-        if texts:
-            kinds += (pa.int64(), pa.int32(), pa.string(), pa.string())
+        w = weights()
         for batch in batches:
-            out: list[tuple] = []
-            for page, url, content, row in zip(*(c.to_pylist() for c in batch.columns)):
-                found, blocks = read(content)
-                host, key = _hash(_host(url)), _hash(url if url is not None else f"\0{page}")
-                kept = article(found)
-                tokens = [_hash("\1".join((*n.path[-2:], " ".join(n.words) or n.text.strip()))) for n in found]
-                # a page without main body is known by all its tokens
-                same = array("q", [t for t, inside in zip(tokens, kept) if inside] or tokens)
-                body = xxhash.xxh3_64_intdigest(same.tobytes()) - (1 << 63)
-                main = sum(kept)
-                for place, (n, token, inside) in enumerate(zip(found, tokens, kept)):
-                    # a heading or an item counts by its own text, which is in its innermost block or inline in it
-                    held, formulas = [], 0
-                    if inside:
-                        for b in n.blocks:
-                            name = blocks[b]
-                            kind = 0 if name in HEADINGS else {"li": 1, "pre": 2}.get(name, 3)
-                            if kind < 3:
-                                held.append(4 * b + kind)
-                        if "pre" not in n.path:
-                            whole = "math" in n.path or "class=math" in n.cues
-                            formulas = 1 if whole else len(_FORMULA.findall(n.text))
-                            if texts and whole:
-                                held.append(3)
-                    at = (page, host, key, body, main, place, token, inside, held, formulas)
-                    out.append((*at, row, n.blocks[-1] if n.blocks else 0, n.before, n.text if inside else None) if texts else at)
-            columns = list(zip(*out)) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    names = [c.strip().split(" ")[0] for c in (TEXTS if texts else NODES).split(",")]
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"), _key().alias("key"))
-    rows = rows.where("length(html_content) > 0" if texts else "page_id is not null and length(html_content) > 0")
-    return rows.mapInArrow(run, TEXTS if texts else NODES)
-
-
-def template(rows: DataFrame) -> DataFrame:
-    """(host, token) of the valid equivalence classes."""
-    fetch = rows.groupBy("host", "url").agg(F.min(F.struct("page_id", "body")).alias("x"))  # one fetch a URL
-    first = fetch.groupBy("host", F.col("x.body").alias("body")).agg(F.min(F.struct("x.page_id", "url")).alias("x"))  # one URL a main body
-    once = rows.join(first.select("host", "body", "x.page_id", "x.url"), ["host", "body", "page_id", "url"], "left_semi")
-    seen = once.groupBy("host", "token", "url").agg(
-        F.count("*").alias("times"), F.min("place").alias("place"), F.count_if("inside").alias("inside"), F.max("main").alias("main")
-    )
-    vector = seen.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("url", "times")).alias("v1"),
-        F.bit_xor(F.xxhash64("times", "url", F.lit(7))).alias("v2"),
-        F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("inside").alias("inside"),
-    ).where(F.col("pages") >= SUPPORT)
-    sizes = vector.groupBy("host", "v1", "v2").agg(F.count("*").alias("size"), F.sum("times").alias("times"), F.sum("inside").alias("inside"))
-    sizes = sizes.where("size >= 2 and 2 * inside < times").select("host", "v1", "v2")
-    classes = cut(vector.join(sizes, ["host", "v1", "v2"]).select("host", "token", "v1", "v2"), "classes")
-    placed = seen.join(classes, ["host", "token"])
-    # the order of a class is that of its mean places; a page on which a token comes before one of a lower rank breaks it
-    mean = placed.groupBy("host", "token").agg(F.avg("place").alias("mean"))
-    line = Window.partitionBy("host", "v1", "v2", "url").orderBy("mean", "token")
-    ordered = placed.join(mean, ["host", "token"]).withColumn("step", F.col("place") - F.lag("place").over(line))
-    on_page = ordered.groupBy("host", "v1", "v2", "url").agg(F.min("step").alias("step"), F.sum("inside").alias("inside"), F.max("main").alias("main"))
-    # a page whose main body is mostly of the class is a version of other pages and doesn't support it
-    valid = on_page.groupBy("host", "v1", "v2").agg(F.min("step").alias("step"), F.count_if(F.expr("2 * inside <= main")).alias("pages"))
-    valid = valid.where((F.coalesce("step", F.lit(0)) >= 0) & (F.col("pages") >= SUPPORT))
-    return classes.join(valid, ["host", "v1", "v2"], "left_semi").select("host", "token")
-
+            ids, blocks, formulas, *rest = (c.to_pylist() for c in batch.columns)
+            out = []
+            for page, held, n, keep in zip(ids, blocks, formulas, scan(rest, w)):
+                codes = {b for x, good in zip(held, keep) if good for b in x}
+                out.append((page, *(sum(b % 4 == kind for b in codes) for kind in range(3)), sum(k for k, good in zip(n, keep) if good)))
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_id", *KINDS])
 
-def page_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, n) of what remains in the slots."""
-    rows = cut(nodes(pages), "nodes")
-    content = rows.where("inside").join(template(rows), ["host", "token"], "left_anti")
-    of_page = content.groupBy("page_id").agg(
-        F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"),
-        # by place, so that a repeated row counts once
-        F.collect_set(F.when(F.col("formulas") > 0, F.struct("place", "formulas"))).alias("f"),
-    )
-    total = F.aggregate("f", F.lit(0), lambda n, x: n + x["formulas"])
-    count = lambda kind: F.size(F.filter("blocks", lambda b: b % 4 == kind)).cast("long")
-    return of_page.select(
-        F.col("page_id").alias("row_id"), count(0).alias("heading"), count(1).alias("list_item"), count(2).alias("code_block"), total.cast("long").alias("formula")
-    )
+    rows = cut(page_rows(pages), "pages")
+    ready = with_repeated(rows, evidence(rows)).select("page_id", "key", "blocks", "formulas", *SCANNED).dropDuplicates(["key"]).drop("key")
+    counted = ready.mapInArrow(run, "row_id bigint, " + ", ".join(f"{k} bigint" for k in KINDS))
+    return counted.groupBy("row_id").agg(*(F.max(k).alias(k) for k in KINDS))  # of rows of one id and different content the greater numbers
 
 
 def file_elements(files: DataFrame) -> DataFrame:
@@ -164,7 +126,7 @@ def file_elements(files: DataFrame) -> DataFrame:
             out = []
             for file, when, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts = parse(text).counts()
-                out.append((file, when, _hash(text), *(counts[k] for k in KINDS)))
+                out.append((file, when, text_hash(text), *(counts[k] for k in KINDS)))
             columns = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_id", "ingested", "text_key", *KINDS])
 
@@ -191,35 +153,27 @@ def _bare(formula: str) -> str:
     return re.sub(r"^\s*(?:\$\$|\\\[|\\\(|\$)\s*|\s*(?:\$\$|\\\]|\\\)|\$)\s*$", "", formula).strip()
 
 
-def assembled(parts: list[dict]) -> str:
-    """The text of a page's nodes in the order of their places: a line a block, marked as in the clean text of files."""
+def assembled(units: list[tuple[list[int], list[dict]]]) -> str:
+    """The text of a page's units, (blocks, text nodes), in order: a line a unit, marked as in the clean text of files."""
     lines: list[str] = []
     seen: set[int] = set()
-    k = 0
-    while k < len(parts):
-        first, e = parts[k], k + 1
-        while e < len(parts) and parts[e]["block"] == first["block"]:
-            e += 1
-        fresh = [b for b in first["blocks"] if b % 4 < 3 and b not in seen]
+    for blocks, nodes in units:
+        fresh = [b for b in blocks if b % 4 < 3 and b not in seen]
         seen.update(fresh)
         mark = "".join(("# ", "- ", "")[b % 4] for b in fresh)
         pieces: list[tuple[bool, str]] = []  # (formula, text)
-        last = first["place"] - 1
-        for j, x in enumerate(parts[k:e]):
-            before = (x["before"] if x["place"] == last + 1 else "\n") if j else ""
-            last = x["place"]
-            formula = 3 in x["blocks"]
-            if formula and pieces and pieces[-1][0]:
+        for j, x in enumerate(nodes):
+            before = x["before"] if j else ""
+            if x["formula"] and pieces and pieces[-1][0]:
                 pieces[-1] = (True, pieces[-1][1] + before + x["text"])
             else:
-                pieces += [(False, before), (formula, x["text"])] if before else [(formula, x["text"])]
+                pieces += [(False, before), (x["formula"], x["text"])]
         text = "".join(f"${' '.join(_bare(t).split())}$" if formula else t for formula, t in pieces)
-        if any(b % 4 == 2 for b in first["blocks"]):
+        if any(b % 4 == 2 for b in blocks):
             lines += [mark.strip()] if mark else []
             lines.append("```\n" + text.strip("\n") + "\n```")
         else:
             lines.append(mark + " ".join(text.split()))
-        k = e
     return "\n".join(lines)
 
 
@@ -227,16 +181,16 @@ def cleaned_pages(pages: DataFrame) -> DataFrame:
     """(row_id, clean): the clean text of every row of ``pages``; null stays null, a page without main body is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights()
         for batch in batches:
-            texts = [assembled(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "clean"])
-
-    rows = cut(nodes(pages, texts=True), "nodes")
-    content = rows.where("inside").join(template(rows.where("page_id is not null")), ["host", "token"], "left_anti")
-    # a set, so that a repeated row counts once
-    parts = F.array_sort(F.collect_set(F.struct("place", "block", "blocks", "before", "text")))
-    clean = content.groupBy("key").agg(parts.alias("parts")).mapInArrow(run, "key bigint, clean string")
-    every = pages.select(F.col("page_id").cast("long").alias("row_id"), F.col("html_content").isNotNull().alias("there"), _key().alias("key"))
+            keys, blocks, parts, *rest = (c.to_pylist() for c in batch.columns)
+            texts = [assembled([u for u, good in zip(zip(held, unit), keep) if good]) for held, unit, keep in zip(blocks, parts, scan(rest, w))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["key", "clean"])
+
+    rows = cut(page_rows(pages, texts=True, with_null_ids=True), "pages")
+    ready = with_repeated(rows.dropDuplicates(["key"]), evidence(rows.where("page_id is not null"))).select("key", "blocks", "parts", *SCANNED)
+    clean = ready.mapInArrow(run, "key bigint, clean string")
+    every = pages.select(F.col("page_id").cast("long").alias("row_id"), F.col("html_content").isNotNull().alias("there"), page_key().alias("key"))
     return every.join(clean, "key", "left").select("row_id", F.when(F.col("there"), F.coalesce("clean", F.lit(""))).alias("clean"))
 
 

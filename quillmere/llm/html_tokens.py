@@ -13,6 +13,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+_IN_PAGE = re.compile(r"\bhref\s*=\s*[\"']?#", re.I)
 VOID = frozenset("br img hr meta input link area base col embed source track wbr".split())
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -22,15 +23,25 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img"
     " math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mover munder semantics annotation".split()
 )
-#: Elements nested deeper than this are numbered, but what they hold belongs to the enclosing one, as in browsers.
-DEPTH = 512
+#: So many open elements; at the limit the innermost one ends where the next begins, so that every element still holds its own text.
+DEPTH = 256
+#: Elements that set a part of a page apart.
+BOXES = frozenset("div section article main aside nav header footer form".split())
+#: Kinds of blocks: heading, list item, code block; else 3.
+KIND = dict.fromkeys(HEADINGS, 0) | {"li": 1, "pre": 2}
+FORMULA = re.compile(
+    r"(?<!\\)\$\$.+?\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)|(?<![\\$])\$(?=[^\s$])[^$\n]*?[^\s$\\]\$(?![\d$])", re.S
+)
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+(?:\.pdf)?")
 
 
 @dataclass(slots=True)
 class Node:
-    """A text node: its text, the numbers of the open blocks (innermost last), the names of the open elements and the cues of its place."""
+    """A text node: its text, the numbers of the open blocks (innermost last), the names of the open elements and the cues of its place.
+
+    ``holder`` numbers the innermost element that isn't inline, ``boxes`` the open boxes; ``under`` is the place of the heading before it
+    in an enclosing element (-1: none), ``anchor`` tells a link to a place of the same page."""
 
     text: str
     blocks: tuple[int, ...]
@@ -38,17 +49,26 @@ class Node:
     cues: tuple[str, ...]
     link: bool
     tags: int  # tags since the last text node
-    under: str = ""
+    under: int = -1
     before: str = ""  # blank text since the last text node; elements that aren't inline count as a line's end
+    holder: int = 0
+    boxes: tuple[int, ...] = ()
+    anchor: bool = False
     words: list[str] = field(default_factory=list)
 
 
 @dataclass(slots=True)
 class _Frame:
+    """An open element, with what it and the elements round it say about a text node."""
+
     name: str
-    cues: tuple[str, ...]
-    block: int
-    under: str = ""
+    blocks: tuple[int, ...] = ()
+    path: tuple[str, ...] = ()
+    cues: tuple[str, ...] = ()
+    boxes: tuple[int, ...] = ()
+    holder: int = 0
+    under: int = -1
+    anchor: bool = False
 
 
 def words(text: str) -> list[str]:
@@ -68,22 +88,21 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
     """The text nodes of a page, and the name of each numbered block (h1 to h6, p, li and pre, from 1)."""
     nodes: list[Node] = []
     blocks: dict[int, str] = {}
-    stack: list[_Frame] = [_Frame("", (), 0)]
+    stack: list[_Frame] = [_Frame("")]
     number, links, tags = 0, 0, 0
     blank: list[str] = []
-    heading: list[str] | None = None
-    cache: tuple | None = None  # (blocks, path, cues) of the stack as it stands
+    heading = -1  # place of the open heading's first text
+    elements = 0
 
     def close(k: int) -> None:
-        nonlocal links, heading, cache
+        nonlocal links, heading
         for frame in stack[k:]:
             if frame.name == "a":
                 links -= 1
-            elif frame.name in HEADINGS and heading is not None:
-                stack[k - 1].under = " ".join(words(" ".join(heading))[:2])
-                heading = None
+            elif frame.name in HEADINGS and heading >= 0:
+                stack[k - 1].under = heading
+                heading = -1
         del stack[k:]
-        cache = None
 
     def nearest(names: frozenset[str] | set[str], stops: frozenset[str] | set[str]) -> int:
         for k in range(len(stack) - 1, 0, -1):
@@ -106,16 +125,10 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
                 if text.isspace():
                     blank.append(text)
                     continue
-            if cache is None:
-                cache = (
-                    tuple(f.block for f in stack if f.block),
-                    tuple(f.name for f in stack[1:]),
-                    tuple(c for f in stack for c in f.cues),
-                    next((f.under for f in reversed(stack) if f.under), ""),
-                )
-            if heading is not None:
-                heading.append(text)
-            nodes.append(Node(text, cache[0], cache[1], cache[2], links > 0, tags, cache[3], "".join(blank)))
+            f = stack[-1]
+            if heading < 0 and not HEADINGS.isdisjoint(f.path[-4:]):
+                heading = len(nodes)
+            nodes.append(Node(text, f.blocks, f.path, f.cues, links > 0, tags, f.under, "".join(blank), f.holder, f.boxes, f.anchor))
             tags = 0
             blank.clear()
             continue
@@ -137,17 +150,27 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
             k = nearest({"li"}, {"ul", "ol"})
             if k:
                 close(k)
-        block = 0
         if name in BLOCKS:
             number += 1
-            block = number
             blocks[number] = name
-            if name in HEADINGS:
-                heading = []
-        if name in VOID or attributes.endswith("/") or len(stack) > DEPTH:
+        if name in VOID or attributes.endswith("/"):
             continue
         if name == "a":
             links += 1
-        stack.append(_Frame(name, cues_of(name, attributes), block))
-        cache = None
+        if len(stack) > DEPTH:
+            close(DEPTH)
+        elements += 1
+        f = stack[-1]
+        stack.append(
+            _Frame(
+                name,
+                (*f.blocks, number) if name in BLOCKS else f.blocks,
+                (*f.path, name),
+                f.cues + cues_of(name, attributes),
+                (*f.boxes, elements) if name in BOXES else f.boxes,
+                f.holder if name in INLINE else elements,
+                f.under,
+                f.anchor or (name == "a" and _IN_PAGE.search(attributes) is not None),
+            )
+        )
     return nodes, blocks

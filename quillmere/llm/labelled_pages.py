@@ -1,60 +1,124 @@
-"""Pages written and labelled by hand for the body extractor: what stands in {{ }} is the page's own article.
+"""Pages written and labelled for the body extractor: what stands in {{ }} is the page's own article.
 
-The pages are invented; they show the kinds of furniture that wiki exports carry.
+Four invented sites with several pages each, so that what a site repeats can be counted.  Their furniture follows the layouts of common
+publishing software; the wording is our own.  No weight is given to any word: see ``main_body``.
 """
 
-_NAV = '<li class="nav-item"><a href="/a">Spaces</a></li><li><a href="/b">Home</a></li><li><a href="/c">Help</a></li><li><a href="/d">People</a></li><li><a href="/e">Log in</a></li><li><a href="/f">Print view</a></li><li><a href="/g">Create page</a></li>'
-_NAV2 = '<li><a href="/a">Feedback</a></li><li class="nav-item"><a href="/b">Imprint</a></li><li><a href="/c">Drafts</a></li><li><a href="/d">Calendars</a></li><li><a href="/e">Favourites</a></li><li><a href="/f">All updates</a></li><li><a href="/g">Recent changes</a></li><li><a href="/h">Service desk</a></li><li><a href="/i">Export</a></li>'
-
-PAGES = (
-    f"""<html><head><title>Winter tyres - Harbour</title></head><body><nav><ul>{_NAV}</ul></nav>
-<ol class="breadcrumb"><li><a href="/x">FLEET</a></li><li><a href="/y">Garage</a></li></ol>
-<div class="sidebar"><h3>Latest in FLEET</h3><ul><li><a href="/p">Spare keys on Monday</a></li><li><a href="/q">How to wash the vans</a></li></ul><h3>Tags</h3><p>The vans must be washed before noon. <a href="/r">Read more</a></p></div>
-<article>{{{{<h1 id="s1">Winter tyres</h1><h2>When to change the tyres</h2><p>The workshop changes the tyres of all vans in October. Nobody should drive to the hills before that, as <a href="/z">the road rules</a> forbid it.</p><ul><li>Four tyres for each van</li><li>Two spare wheels in building 7<ul><li>The small jack belongs to the north gate</li></ul></li></ul><pre>tyre --list 40
-echo done</pre>}}}}<div class="vote"><p>Was this page helpful?</p><ul><li>Yes</li><li>No</li></ul></div>{{{{<h2>Where the old tyres go</h2><p>They are kept on the rack for 12 months &amp; then sold.</p>}}}}</article>
-<div class="comments"><h3>Comments</h3><p>user12: The rack in the yard is full, we need the second one.</p><p>user931: Ask the gate crew before you leave the van there.</p></div>
-<footer><p>Harbour wiki, build 11</p></footer><script>track('a');</script></body></html>""",
-    f"""<html><body><div class="cab"><h2>This site stores cookies</h2><p>Some cookies are needed for the login, others count visits.</p></div><header><ul>{_NAV2}</ul></header>
-<p><a href="/h">Home</a> &gt; <a href="/i">LIBRARY</a></p>
-<p class="page-metadata">Created by crew reading, last modified in week 9</p><main>{{{{<h1>How to lend a book</h1><p>Every reader may keep three books for 20 days. If the card is empty, the desk falls back to the paper list.</p>}}}}<div role="doc-toc"><ul><li><a href="#a">How to lend a book</a></li><li><a href="#b">Late books</a></li></ul></div>{{{{<h2 class='t'>Late books</h2><p>The fee is 2.5 coins for each week. Whoever finds a lost book should tell the desk.</p><ol><li>Write the name on the list</li><li>Send the letter after 14 days</li></ol><table><tr><td>Fee</td><td>Desk 4</td></tr></table>}}}}</main>
-<div id="rail"><h3>Most read</h3><ul><li><a href="/1">Opening hours of the hall</a></li><li><a href="/2">Lost cards</a></li></ul><h3>Your tasks</h3><p>Write down the number of the reading room (7 at last count). <a href="/3">Read more</a></p></div>
-<div id="footer" role="contentinfo"><section><p>Document generated by the Town export on day 44</p></section></div></body></html>""",
-    f"""<html><body><ul id="top">{_NAV}</ul><div id="consent"><p>We value your privacy</p><p>By using these pages you accept that small files are kept on your device for 90 days.</p></div>
-<table class="layout"><tr><td><ul class="page-info"><li>Version 3</li><li>512 views</li></ul>{{{{<h1 class='t'>Kitchen plan</h1><p class="auto-cursor-target">The kitchen of the east hall opens at six. Put <code>soup.max=40</code> into the plan of <b>Anna</b>. There is no oven in the west hall, only a plate.</p><blockquote><p>Check the oven first, then the plate.</p></blockquote><h3>Soup</h3><p>For the soup the limit is 40 portions; for the stew it is 25.</p>}}}}<div class="promo"><p>Sign up for the Kitchen newsletter</p></div>{{{{<p>Without the large pot the evening shift ends at nine.</p>}}}}<h2>Attachments:</h2><ul><li><a href="/m">menu.pdf</a></li><li><a href="/n">plan.pdf</a></li></ul></td></tr></table>
-<p class="legal">Copies of these pages are for staff of the hall only.</p></body></html>""",
-    f"""<html><body><div class="menu"><ul>{_NAV2}</ul></div>
-<div class="col-4"><h3>Related</h3><p>Only the night shift may open the gate of the yard. <a href="/a">Read more</a></p><p>Results for the pump: 12 litres and then nothing. <a href="/b">Read more</a></p><h3>Latest in GARDEN</h3><ul><li><a href="/c">Rose bed notes</a></li></ul></div>
-<div class="zrose">{{{{<h1>Rose bed notes</h1><h2 id="s2">Scope for the south bed</h2><p>Do not water the roses twice, as each visit counts. See <a href="/w">Water plan</a> before you open the valve.</p><div class="math">\\[a + 1\\]</div>}}}}<aside><h4>Related pages</h4><ul><li><a href="/d">Hedge cutting in spring</a></li><li><a href="/e">How to sharpen the shears</a></li></ul></aside>{{{{<p>It took 30 minutes to cut the hedge in row 5.</p><pre class="syntax"><code>SELECT bed FROM roses;
-if [ dry -gt 3 ]; then</code></pre>}}}}</div>
-<div class="thread"><h3>Comments</h3><p>user7: The hedge in row 6 is still wet.</p></div><div class="bottom"><p>Garden wiki, build 530</p></div></body></html>""",
-    f"""<html><body><div class="cpine"><p>Cookies at Pinewood</p><p>Accept all or choose which statistics Pinewood may collect.</p></div><nav><ul>{_NAV2}</ul></nav>
-<section role="main">{{{{<h1>Fire drill</h1><p>&nbsp;</p><p>The drill starts when the bell rings three times. All groups meet at the old oak. The duty desk keeps a list of every person older than 60 years.</p><h2>Open points for the oak</h2><ul><li>Paint the sign again</li><li>The bell of the north wing was moved to room 9 because the hall got too warm</li></ul>}}}}</section><h2>Attachments:</h2><ul><li><a href="/a">oak.pdf</a></li></ul>
-<div class="kash"><h3>Comments</h3><p>user55: When does the bell ring on Sunday?</p><p>user1044: The oak is gone, use the gate.</p></div>
-<div class="sidebar"><h3>Tags</h3><ul><li><a href="/t">Bell notes</a></li></ul><h3>Most read</h3><p>The bell shows a value below 4 tones &amp; stays there. <a href="/v">Read more</a></p></div>
-<p class="legal">Document generated by the Pinewood export on day 300</p></body></html>""",
-    f"""<html><body><header><ul>{_NAV}</ul></header><ol class="breadcrumb"><li><a href="/x">BOATS</a></li><li><a href="/y">Pier</a></li></ol>
-<p class="page-metadata">Created by crew pier, last modified in week 51</p><div class="content-body">{{{{<h1>Boat list</h1><h2 class='t'>How to moor the boat</h2><p>Before the storm the harbour team will moor the boats again. Rows from the pier mention the blue boat and file_7_old.</p><p>Set rope.length to 12 before you leave. The rope is <strong>always</strong> needed for the blue boat.</p>}}}}<div class="fb"><p>Was this page helpful?</p><ul><li>Yes</li><li>No</li></ul></div>{{{{<h3>Steps for the blue boat</h3><ol><li>Rope 12.5</li><li>Anchor chain 30</li><li>Later the pier crew found 4 more of these in the shed</li></ol>}}}}</div><div class="x4"><p>New here? Take the Boats tour</p></div>
-<div class="thread"><h3>Comments</h3><p>user801: You may skip the rope when the lake is frozen.</p></div><footer><p>Copies of these pages are for staff of Boats only.</p></footer></body></html>""",
-    f"""<html><body><div id="consent"><h2>Cookies at Orchard</h2><p>Some cookies are needed for the login, others count visits.</p></div><ul id="top">{_NAV2}</ul>
-<div id="rail"><h3>Your tasks</h3><ul><li><a href="/a">Apple press notes</a></li></ul><h3>Latest in APPLES</h3><p>Each crate carries a label such as Red-4/9. <a href="/b">Read more</a></p></div><p><a href="/h">Home</a> &gt; <a href="/i">APPLES</a></p>
-<div id="main-content" class="wiki-content group"><ul class="page-info"><li>Version 21</li><li>77 views</li></ul>{{{{<h1>Apple press notes</h1><p>A price of $5 per crate was quoted and $7 was paid in autumn. Our note explains why the press differs from the mill.</p>}}}}<nav><ul><li><a href="#a">Apple press notes</a></li><li><a href="#b">Mill</a></li></ul></nav>{{{{<h2>Mill</h2><p>The mill and the press are handled by Tom alone.</p><ul><li>Crate Red 40</li></ul>}}}}<div class="promo"><p>Join the Orchard survey, it takes two minutes</p></div></div><h2>Attachments:</h2><ul><li><a href="/q">press.pdf</a></li><li><a href="/r">mill.pdf</a></li></ul>
-<div class="bottom"><p>Orchard wiki, build 8</p></div></body></html>""",
-    f"""<html><body><div class="menu"><ul>{_NAV}</ul></div><div class="cows"><h2>We value your privacy</h2><p>By using these pages you accept that small files are kept on your device for 300 days.</p></div>
-<article><p class="page-metadata">Created by crew barn, last modified in week 2</p>{{{{<h1>Barn roof</h1><h2>Findings for the roof</h2><p>The usual reason is the ladder with 3 steps of slack. In the note the shift lead describes how the ladder was lost.</p><pre><code>roof = 50 * 2
-# check ladder first</code></pre>}}}}<aside><h4>Related pages</h4><ul><li><a href="/1">Ladder on the barn</a></li></ul></aside>{{{{<p>We measured 24 metres on the north side and 26 metres on the south side.</p><h3>Rollback for the roof</h3><ul><li>Ask the barn crew whether the ladder still belongs to them</li><li>Nail box 19</li></ul>}}}}</article>
-<div class="col-2"><h3>Most read</h3><ul><li><a href="/2">Milk tank notes</a></li><li><a href="/3">How to mend the fence</a></li></ul><h3>Related</h3><p>The fence must be checked before noon. <a href="/4">Read more</a></p></div>
-<div class="comments"><h3>Comments</h3><p>user3: There is no ladder in the barn, only a rope.</p></div><div id="footer" role="contentinfo"><section><p>Barn wiki, build 77</p></section></div></body></html>""",
-    f"""<html><body><nav><ul>{_NAV2}</ul></nav><div class="zlake">{{{{<h1>Lake survey</h1><p>The survey of the lake starts in May.</p><ul><li>Two boats</li></ul>}}}}</div><div class="vote"><p>Was this page helpful?</p><ul><li>Yes</li><li>No</li></ul></div><footer><p>Document generated by the Lake export on day 8</p></footer></body></html>""",
-    f"""<html><body><ul id="top">{_NAV}</ul><main>{{{{<h1>Night bus</h1><pre>bus.night = 3
-fi</pre>}}}}</main><p class="legal">Night wiki, build 2</p></body></html>""",
-    f"""<html><body><header><ul>{_NAV2}</ul></header>{{{{<h1>How to bake the bread</h1><h2>Overview for the bakery</h2><p>When the large oven reports more than 240 degrees, open the small door and wait 5 minutes. To bake the bread, hold the heat at 210 and wait for 40 minutes. You may skip the second rise when the dough is cold. Nobody should open the door while the bread is in the oven. Since release 3 of the plan the baker can use both ovens.</p><ul><li>The flour of the mill for the rolls must be checked at the end of the week</li><li>Do not salt the dough twice, as each pinch counts</li><li>Flour 40</li></ul><p>A second oven near the window answers only before noon. As the list shows, the rolls depend on the flour. The difference between the white and the dark flour is &lt; 3 coins. The manual and the log are kept by Eva alone. In the test hall the field crew will bake again.</p><h3>Next actions for the bakery</h3><p>If the bin is empty, the baker falls back to the dark flour. Only the baker, the helper and the driver may open the store. The store was renamed to the barn last year. Later the crew found 12 more of these on the shelf.</p>}}}}<div class="promo"><p>Sign up for the Bakery newsletter</p></div><footer><p>Bakery wiki, build 6</p></footer></body></html>""",
-    f"""<html><body><nav><ul>{_NAV}</ul></nav><div class="zmoss">{{{{<h1>Background for the moss garden</h1><h2>Known limits for the moss</h2><ol><li>Without the shade the moss ends with brown tips</li><li>We measured 12 litres on the stone and 9 litres on the wood</li><li>Moss bed 14.2</li></ol><p>Keep the moss apart from the lawn until the spring is over. Put <code>shade=70</code> into the plan of the garden. The gardener asked us to move the stones without notice. It took 3 days to move the stones in yard 2. Before the audit the night crew will rake the path again.</p><p>Our note explains why the path differs from the old one. Twice a week the second line will rake the gravel. Results for the stone: 8 days, 3 hours and then nothing. The price list and the quote are in the office.</p><math display="block"><annotation>x = 2</annotation></math>}}}}<div class="fb"><p>Was this page helpful?</p><ul><li>Yes</li><li>No</li></ul></div>{{{{<h2>Findings for the lawn</h2><p>Ask the gardener whether the mower still belongs to the club. Whoever finds the mower should tell the gardener about it. Write down the number of the shed (4 at last count).</p>}}}}</div><h2>Attachments:</h2><ul><li><a href="/a">moss.pdf</a></li><li><a href="/b">lawn.pdf</a></li></ul><div class="sidebar"><h3>Related</h3><p>The lawn was cut on Monday. <a href="/r">Read more</a></p></div><div class="promo"><p>New here? Take the Garden tour</p></div></body></html>""",
-    f"""<html><body><div class="menu"><ul>{_NAV2}</ul></div><table class="layout"><tr><td>{{{{<h1>Scope for the ferry</h1><p>The ferry leaves at six. See <a href="/p">Pier plan</a> before you board.</p><ul><li>Ticket desk 12</li></ul>}}}}<div class="promo"><p>Join the Ferry survey, it takes two minutes</p></div>{{{{<p>For the ferry we assume <span class="math">a + b</span> at the pier.</p>}}}}</td></tr></table><h2>Attachments:</h2><ul><li><a href="/t">times.pdf</a></li></ul><p class="legal">Copies of these pages are for staff of Ferry only.</p></body></html>""",
-    f"""<html><body><div class="cfir"><h2>We value your privacy</h2><p>Accept all or choose which statistics Mill-30 may collect.</p></div><ul id="top">{_NAV}</ul>
-{{{{<h1>Mill wheel on the river</h1><p>The wheel turns when the river is high. Nobody should stop it by hand.</p>}}}}<h2>Attachments:</h2><ul><li><a href="/w">wheel.pdf</a></li></ul><div class="bottom"><p>Copies of these pages are for staff of Mill-30 only.</p></div></body></html>""",
-    f"""<html><body><div class="coak"><p>This site stores cookies</p><p>Some cookies are needed for the login, others count visits.</p></div><header><ul>{_NAV2}</ul></header><div class="zcanal">{{{{<h1>Canal lock notes</h1><ul><li>Lock gate 12</li></ul>}}}}</div><h2>Attachments:</h2><ul><li><a href="/c">canal.pdf</a></li></ul>
-<div class="kelm"><h3>Tags</h3><p>The lock gate must be checked. <a href="/t">Read more</a></p></div><p class="legal">Document generated by the CANAL9 export on day 71</p></body></html>""",
-    f"""<html><body><div id="consent"><h2>Cookies at Lantern</h2><p>Accept all or choose which statistics Lantern may collect.</p></div><nav><ul>{_NAV}</ul></nav><section role="main">{{{{<h1>Lantern repair</h1><p>Each lantern carries a label such as North-3/8.</p>}}}}<div class="promo"><p>Sign up for the Lantern newsletter</p></div></section><div class="thread"><h3>Comments</h3><p>user90: The north lantern is dark.</p></div><footer><p>Lantern wiki, build 1</p></footer></body></html>""",
-    f"""<html><body><div class="cyew"><p>Cookies at TOWER4</p><p>By using these pages you accept that small files are kept on your device for 12 days.</p></div><nav><ul>{_NAV2}</ul></nav><div class="ztower">{{{{<h1>Tower clock</h1><p>The clock of the tower is two minutes late. Accept the delivery of the new hand before noon.</p>}}}}</div><div class="bottom"><p>TOWER4 wiki, build 40</p></div></body></html>""",
-    f"""<html><body><div class="cash"><h2>Cookies at Brook-7</h2><p>Accept all or choose which statistics Brook-7 may collect.</p></div><header><ul>{_NAV}</ul></header><main>{{{{<h1>Brook level</h1><p>We collect the level of the brook and choose the gauge for these days.</p>}}}}</main><p class="legal">Copies of these pages are for staff of Brook-7 only.</p></body></html>""",
+
+def _wiki(title: str, article: str, after: str = "", box: str = "") -> str:
+    """A team wiki that exports its pages."""
+    return (
+        f'<html><head><title>{title} - Gannet Works</title></head><body><div id="page"><div id="main-header"><div id="breadcrumb-section"><ol id="breadcrumbs">'
+        f'<li><span><a href="index.html">Gannet Works</a></span></li><li><span><a href="team.html">Crew handbook</a></span></li></ol></div></div>'
+        f'<div id="content" class="view"><div class="page-metadata">Started by <span class="author">m{len(title)} hale</span>, edited in May 20{len(article) % 30}</div>{{{{<h1 id="title-text">{title}</h1>{article}}}}}'
+        f'{box}{after}</div></div><div id="footer" role="contentinfo"><section class="footer-body"><p>Exported by the archive job of Gannet Works at 7:{len(title)}</p></section></div></body></html>'
+    )
+
+
+_FILES = '<div class="pageSection group"><h2 id="attachments">Files on this page</h2><div class="greybox"><a href="a/{0}.odt">{0}.odt</a> <br/><a href="a/{0}-2.png">{0}-2.png</a></div></div>'
+_ASK = '<div class="rating-box"><p>Did you find your answer here?</p><ul><li>It helped</li><li>It did not</li></ul></div>'
+_TALK = '<div class="pageSection"><h3>Discussion</h3><p>{0} wrote: {1}</p><p>{2} wrote: {3}</p></div>'
+
+
+def _lexicon(title: str, article: str, links: str, more: str = "") -> str:
+    """An open lexicon with side panels."""
+    return (
+        f'<html><head><title>{title} - Peat Lexicon</title></head><body class="mediawiki"><div id="mw-panel"><h3>Wander</h3><ul><li><a href="/m">Front door</a></li><li><a href="/l">Surprise article</a></li>'
+        f'<li><a href="/d">Give money</a></li></ul><h3>Workbench</h3><ul><li><a href="/u">Send a picture</a></li><li><a href="/s">Odd pages</a></li></ul></div><div id="siteNotice"><p>The Peat Lexicon asks its readers for '
+        f'help with old maps until winter comes.</p></div><div id="content" class="mw-body" role="main">{{{{<h1 id="firstHeading">{title}</h1>{article}}}}}<h2>Elsewhere in the lexicon</h2><ul>{links}</ul>{more}'
+        f'<div id="catlinks" class="catlinks"><a href="/c">Shelves</a>: <ul><li><a href="/c/{title[:3]}">{title[:3]} lists</a></li></ul></div></div>'
+        f'<p class="printfooter">Text may be reused under the open meadow licence; some rules on top of it apply.</p><p>Peat Lexicon, copy number {len(article)}</p></body></html>'
+    )
+
+
+_CONTENTS = '}}}}<div id="toc" class="toc" role="navigation"><h2>In brief</h2><ul><li><a href="#p1">{0}</a></li><li><a href="#p2">{1}</a></li></ul></div>{{{{'
+
+
+def _magazine(title: str, article: str, teasers: str, said: str = "") -> str:
+    """A magazine with teasers, sharing buttons and remarks of readers."""
+    return (
+        f'<html><head><title>{title} | Tin Kettle</title></head><body><div class="q7"><p>Tin Kettle and 31 partners store data in your browser.</p><p>You can pick what is stored, today and later, under the '
+        f'gear sign.</p></div><header><nav><ul class="menu"><li><a href="/n">Newest</a></li><li><a href="/w">Workshop</a></li><li><a href="/g">Garden</a></li><li><a href="/a">Write for us</a></li></ul></nav></header>'
+        f'<main><article class="post"><p class="byline">By <a href="/who">our staff</a>, four minutes to read</p>{{{{<h1>{title}</h1>{article}}}}}</article></main>'
+        f'<aside class="widget"><h4>Others also opened</h4>{teasers}</aside>{said}'
+        f'<footer><ul><li><a href="/t">Terms</a></li><li><a href="/j">Jobs</a></li></ul><p>All rights with Tin Kettle, printed on screens since 19{len(title)}</p></footer></body></html>'
+    )
+
+
+_SHARE = '}}}}<div class="z5"><p>Pass it on</p><ul><li>By letter</li><li>By pigeon</li></ul></div>{{{{'
+_LETTER = '}}}}<div class="box9"><p>Get the Tin Kettle letter every Friday</p></div>{{{{'
+
+
+def _manual(title: str, article: str, side: str) -> str:
+    """A manual made of plain tables."""
+    return (
+        f'<html><head><title>{title} - Rake manual</title></head><body><ul id="t1"><li><a href="/i">Index</a></li><li><a href="/x">Modules</a></li><li><a href="/p">Go back</a></li><li><a href="/q">Go on</a></li></ul>'
+        f'<p><a href="/">Rake</a> / <a href="/2">Volume 2</a></p><table><tr><td>{{{{<h1>{title}</h1>{article}}}}}</td></tr></table><div class="r3"><h3>Shortcuts</h3><ul>{side}</ul><h3>Lately changed</h3>'
+        f'<p>The handle of the rake is now listed with the other spare parts, as many had asked for it. <a href="/z">Go there</a></p><p>{title} is open for notes of the night crew again. <a href="/y">Go there</a></p></div>'
+        f'<p>Rake manual, made with Drum 4.{len(title)}</p></body></html>'
+    )
+
+
+def _plain(title: str, article: str, before: str = "", after: str = "") -> str:
+    """A site whose pages have no boxes at all."""
+    return (
+        f'<html><head><title>Loom guild: {title}</title></head><body><p><a href="/">Loom guild</a> - <a href="/up">Looms</a></p><ul><li><a href="/n1">Notices</a></li><li><a href="/n2">Shop</a></li><li><a href="/n3">Members</a></li></ul>{before}'
+        f'{{{{<h1>{title}</h1>{article}}}}}{after}<p class="fine">The guild asks all members to send corrections by the first of the month.</p></body></html>'
+    )
+
+
+_PAPERS = '<h2>Papers:</h2><ul><li><a href="/f/{0}">{0}.doc</a></li><li><a href="/f/{0}2">{0}-plan.doc</a></li></ul>'
+_STATE = '<ul class="t2"><li>Draft {0}</li><li>read {1} times</li></ul>'
+_JOIN = '}}}}<p class="y1">Become a member of the guild and bring your own yarn to the meetings.</p>{{{{'
+
+SITES = (
+    (
+        _plain("Warping", "<p>Warp the loom from left to right. Count the threads twice</p><h2>Warping the small loom</h2><p>It takes 240 threads <b>and one more</b></p><ul><li>Blue thread 120</li><li>Threads that slip must be tied again, since they never hold by themselves</li></ul>"
+               "<h2>Warping: notes for winter</h2><div>\\[ n = 4 w \\]</div><p>Cold wool breaks.</p>", _STATE.format(3, 90), _PAPERS.format("warp")),
+        _plain("Shuttle", "<h2>Summary for the crew</h2><p>A shuttle carries the weft. Ask the smith whether he has <code>shuttle 4</code> in stock</p>" + _JOIN + "<h2>Shuttle in oak</h2><ol><li>Cut the oak</li><li>Oil it</li></ol><h3>Shuttle in ash</h3><p>Ash is lighter but wears out sooner</p>", _STATE.format(12, 4411), _PAPERS.format("shuttle")),
+        _plain("How to dye with onion skins", "<h2>Onion skins for the small pot</h2><p>Boil the skins for an hour; take them out: the water is brown now</p><table><tr><td>Wool</td><td>100</td></tr><tr><td>Skins of ten red onions</td><td>50</td></tr></table><p>See <a href='/w'>Washing wool</a> first.</p><div class='display'>$$d = m / 2$$</div>", after=_PAPERS.format("onion")),
+        _plain("Washing wool", "<p>Use rain water.</p><h2>Summary for the crew</h2><p>Never wring it. Lay it on a cloth in the shade and leave it there for as long as it takes to dry</p>" + _JOIN + "<pre>wash 40\nrinse 20</pre>", _STATE.format(1, 7)),
+        _plain("Loom of the north room", "<h2>Parts of the north room</h2><ul><li>Beam 1</li><li>Treadle<ul><li>Left treadle</li><li>Right treadle of the second loom</li></ul></li></ul><h2>Next steps for the beam</h2><p>It must be turned</p>", _STATE.format(40, 512)),
+        _plain("Prices", "<p>A metre of linen costs $12 and a metre of wool costs $19.</p><h2>Linen</h2><p>See <a href='/l'>Linen</a>, <a href='/m'>Flax</a> and the <i>old list</i> before you buy some from anyone else than <b>Ruth</b>.</p>" + _JOIN + "<p>Prices rise in May.</p>", after=_PAPERS.format("prices")),
+        _plain("Linen", "<h2>Summary for the crew</h2><p>Linen is made of flax</p>", _STATE.format(5, 33), _PAPERS.format("linen")),
+    ),
+    (
+        _wiki("Tuning the pumps", "<p>The two pumps of the dock hall run at different speeds. Mark keeps the values in a table, which he checks on Fridays.</p><h2>Summary for the crew</h2><p>Turn the left valve first. "
+              "When the needle rests, open the right one.</p><ul><li>Left pump: 40 strokes</li><li>Right pump: 38 strokes</li></ul>", _FILES.format("pumps")),
+        _wiki("Who opens the gate", "<p>The early shift opens the gate.</p><p>On holidays the guard has the key. Ring twice and wait until she comes, for the bell is far from her room.</p>", _FILES.format("gate"), _ASK),
+        _wiki("Paint stock", "<h2>Summary for the crew</h2><p>We have blue, grey and red paint. The red one is for the boats only.</p><table><tr><th>Colour</th><th>Litres</th></tr><tr><td>Blue</td><td>31</td></tr>"
+              "<tr><td>Grey</td><td>12</td></tr></table><p>Order more when one of them falls below ten litres.</p>", _TALK.format("olga", "I counted nine litres of the grey one this morning, so somebody has to order", "finn", "done")),
+        _wiki("Code of the crane", "<p>The crane runs this small program at night:</p><pre>lift 4\nturn 90\ndrop 4</pre><p>Do not change the second line unless the yard is empty.</p>", _TALK.format("bo", "Why not the third line", "olga", "Because the load would hang over the road all night, and that isn't allowed"), _ASK),
+        _wiki("Summer party", "<h1>Summer party again</h1><p>It takes place behind the sheds.</p><h2>Summary for the crew</h2><ol><li>Bring a chair</li><li>Bring a cup<ul><li>not of glass</li></ul></li></ol>", _FILES.format("party"), _ASK),
+        _wiki("Bolts", "<p>See <a href='nuts.html'>the list of nuts</a> for what goes with which bolt.</p><blockquote><p>Never force a bolt.</p></blockquote><div class='display'>$$k_1 = 8$$</div>", _ASK + _TALK.format("finn", "The long ones are out", "bo", "I put a box of them on the upper shelf below the window")),
+    ),
+    (
+        _lexicon("Bog oak", _CONTENTS.format("Age", "Use") + "<p>Bog oak is wood that lay in a bog for a very long time. It is dark and hard, and carvers like it.</p><h2 id='p1'>Age</h2><p>Some trunks are older than 5000 years.</p>"
+                 "<h2 id='p2'>Use</h2><ul><li>Pipes</li><li>Knife handles</li></ul>", '<li><a href="/1">Oak</a></li><li><a href="/2">Carving</a></li>'),
+        _lexicon("Sphagnum", "<p>Sphagnum is a kind of moss. It holds up to twenty times its weight of water.</p><h2>Use</h2><div class='eq'>\\[ w = 20 m \\]</div><p>Gardeners put it into hanging baskets.</p>", '<li><a href="/3">Moss</a></li>'),
+        _lexicon("Turf spade", _CONTENTS.format("Shape", "Makers") + "<p>A turf spade has a wing on its blade.</p><h2 id='p1'>Shape</h2><p>The wing cuts the second side of the block. With it one stroke is enough where others need two.</p>"
+                 "<h2 id='p2'>Makers</h2><ol><li>Forge of Clon</li><li>Dunn and son</li></ol>", '<li><a href="/4">Spade</a></li><li><a href="/5">Turf cutting in the north</a></li>'),
+        _lexicon("Bog cotton", "<p>Bog cotton grows on wet ground.</p><p>Its white heads carry the seeds.</p>", '<li><a href="/6">Cotton</a></li><li><a href="/7">Seeds that fly</a></li>'),
+        _lexicon("Peat fire", "<p>A peat fire may burn for weeks below the ground, and rain does not put it out.</p><p>Its heat <i>h</i> follows <code>h = 3 * m</code>, where m is the mass.</p>", '<li><a href="/8">Fire</a></li>'),
+        _lexicon("Drain", "<p>Drains lower the water level.</p><h2>Use</h2><p>They made room for fields, and the bog went dry within thirty years.</p>", '<li><a href="/9">Ditch</a></li>'),
+    ),
+    (
+        _magazine("A shelf from one plank", "<p>You need a saw, a drill and an hour of time.</p>" + _SHARE + "<p>Saw the plank into three parts of 50 centimetres. Sand their edges until nothing catches on a cloth.</p><ul><li>4 hooks</li><li>1 plank</li></ul>",
+                  '<p>The oil that saved our table was the cheapest of all. <a href="/b1">Open it</a></p><p>Nails or screws? We hung two doors to find out. <a href="/b2">Open it</a></p>'),
+        _magazine("The slow tomato", "<p>Most people water their tomatoes too often.</p>" + _LETTER + "<p>Let the upper soil dry first. Then water the roots, not the leaves.</p><blockquote><p>My best plants had a bad summer.</p></blockquote>",
+                  '<ul><li><a href="/b3">Seven beds for a small yard</a></li><li><a href="/b4">What snails avoid</a></li></ul>', '<div class="w2"><h3>Voices</h3><p>reader 52: Mine get water once a week and they are fine</p></div>'),
+        _magazine("Why the kettle sings", "<h2>Bubbles</h2><p>Small bubbles form at the hot floor and break in the cold water above it. Each of them makes a tiny knock.</p>" + _SHARE + "<h2>Lime</h2><p>A crust of lime makes the kettle louder.</p>",
+                  '<p>Tea from rain water, a test with four cups. <a href="/b5">Open it</a></p>', '<div class="w2"><h3>Voices</h3><p>reader 9: Ours has sung for years</p><p>reader 710: The crust goes away with vinegar, but you have to wait a night and rinse it well</p></div>'),
+        _magazine("Knots for parcels", "<p>Three knots are enough for all parcels of a year.</p><pre>over, under, through</pre>" + _LETTER + "<p>Pull the free end and the whole thing comes loose.</p>",
+                  '<ul><li><a href="/b6">Rope that does not swell</a></li></ul>'),
+        _magazine("Old chairs", "<p>Turn the chair over and look at the joints.</p><ol><li>Loose joints get glue</li><li>Open cracks get a wedge</li></ol>" + _SHARE + _LETTER + "<p>Leave it alone for two days before anybody sits on it again.</p>",
+                  '<p>Our reader built a bench from a door. <a href="/b7">Open it</a></p>', '<div class="w2"><h3>Voices</h3><p>reader 77: Two days was not enough for mine</p></div>'),
+    ),
+    (
+        _manual("Setting the teeth", "<p>Set the teeth at 20 degrees.</p><h2>Steps to follow in order</h2><ol><li>Loosen screw 4</li><li>Bend the first tooth</li></ol><p>After that the rake pulls evenly on both sides.</p>", '<li><a href="/m1">Handle of ash</a></li><li><a href="/m2">Storing in winter</a></li>'),
+        _manual("rake.conf", "<p>The file <code>rake.conf</code> is read once at the start. Write one value a line.</p><pre>teeth = 14\nangle = 20</pre><h2>Steps to follow in order</h2><p>Run the check before you save it.</p>", '<li><a href="/m3">Setting the teeth</a></li>'),
+        _manual("Leaves and moss", "<div class='panel'><p>For moss use the short teeth.</p></div><p>Leaves need the long ones, and no force at all. Whoever pulls hard tears the lawn, and next year there will be more moss.</p>", '<li><a href="/m4">Lawn in spring</a></li><li><a href="/m5">Work order 7</a></li>'),
+        _manual("Parts", "<table><tr><td>Tooth</td><td>14</td></tr><tr><td>Screw</td><td>28</td></tr></table><p>Parts are sold in packs of seven.</p>", '<li><a href="/m6">How to bend a tooth</a></li>'),
+        _manual("Noise", "<h2>Steps to follow in order</h2><p>If the rake rattles, tighten every screw by a quarter turn.</p><p>For the force we have <span>\\(f = 2 t\\)</span> per tooth.</p>", '<li><a href="/m7">Parts</a></li>'),
+    ),
 )

@@ -1,119 +1,265 @@
 """Problem 5: page boilerplate mixed with main content.
 
-Method: maximum-scoring subsequence.  A page is a sequence of tokens; words score by a linear model,
-fitted on the labelled pages of ``labelled_pages`` (positive for the article, negative for furniture),
-tags score negative; a linear scan finds the contiguous region with the greatest sum.  A word's
-features are itself, the open elements with their classes, ids and roles, whether it is linked, and
-the heading it stands under.  As a text node can take at most ``-LEAST`` from a sum, the region reaches
-nearly from the first to the last positive node; the final choice is made per block, inside the region:
-one whose own sum isn't positive is taken out (contents lists, votes, notices, page data, attachments,
-teasers).  Furniture of unknown wording is kept, far from the article too.
+Method: maximum-scoring subsequence.  A page is a sequence of words and tags; words score by a linear
+model, fitted on the labelled pages of ``labelled_pages`` (positive for the article, negative for
+furniture), tags score negative.  The scan is the exact form for several segments: of all choices of
+contiguous segments it finds the one with the greatest sum less ``CUT`` for every segment after the
+first, in one pass.  Nothing else decides: an island is taken out of the article if what its words and
+tags lose is more than the cut costs, furniture at both ends if its sum isn't positive.
 
-One pass over whole pages, without a shuffle.
+The model knows no wording, only signals that carry over from page to page and from site to site:
+whether a unit (the text of one element) is linked, or linked to a place of its own page; whether it
+stands before the title, or in a box that doesn't hold the title; its element; names of classes, ids
+and roles that publishing software uses; whether it is a sentence; and repetition: whether the unit,
+a link in it or the heading above it stands on many pages of the host, or on many pages of the corpus.
+
+* One pass over whole pages gives a row a page: hashes of its units and their scores without repetition.
+* Hashes are counted by host over distinct titles, so that copies, versions and pages fetched again
+  count once; counts are exact and over all pages.  A text is repeated if it stands under at least
+  ``SUPPORT`` titles and ``SHARE`` of those of the host, or of the corpus.
+* Only repeated hashes go back to their pages; the scan runs on the rows, not on the pages again.
 
 Defined cases: null ids and null, empty or unreadable pages give no row; unclosed elements end with
-the enclosing one; a block counts if it, or a block inside it, has text in the region; ties in the
-sum go to the earlier and shorter region; a page fetched again is a page of its own.
+the enclosing one; a block counts if it, or a block inside it, has text in a segment; ties in the sum go
+to the earlier and shorter choice; a page fetched again is a page of its own; a page without first-level
+heading has no signals of place; pages without URL form a host of their own.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.html_tokens import Node, read, words
-from quillmere.llm.labelled_pages import PAGES
-
-#: Elements that stand in both kinds of text and say nothing about it.
-PLAIN = frozenset("html body div p li ul ol a table tr td th tbody span section b i em strong code pre blockquote h2 h3 h4 h5 h6 id=s0 class=t class=auto-cursor-target class=syntax".split())
-TAG_SCORE = -0.1
-MOST_WORDS = 30
-#: Weight of an article's text against furniture in the fit: a lost paragraph is worse than a kept notice.
-MAIN_WEIGHT = 8.0
-#: Weight of furniture without its elements' names: its words must be known, as names vary.
-BARE_WEIGHT = 2.0
-RIDGE = 0.1
-#: What every word scores of its own, in the fit and after it: unknown text is kept.
-PRIOR = 2.0
-#: The least that one text node can take from a region, so that an island doesn't cut the page in two.
-LEAST = -1.0
+from quillmere.llm.html_tokens import FORMULA, HEADINGS, KIND, Node, read, words
+from quillmere.llm.labelled_pages import SITES
+from quillmere.plans.cut import cut
+
+SUPPORT = 3
+SHARE = 0.05
+#: What every segment after the first costs.
+CUT = 6.0
+RIDGE = 0.3
+#: The least that a tag costs, whatever the labelled pages say.
+TAG_SCORE = -0.05
+#: Parts of class names, ids and roles that publishing software gives to furniture and to articles.
+FURNITURE = re.compile(r"nav|menu|crumb|side|foot|head(?!ing)|banner|comment|discuss|disqus|relat|promo|advert|sponsor|social|share|cookie|consent|meta|byline|attach|copyright|licen[cs]e|printfooter|catlinks|toc|widget|rating|contentinfo|complementary|search|login|pager")
+ARTICLE = re.compile(r"article|content(?!info)|body|entry|post|story|main|text")
+LANDMARKS = frozenset("nav aside header footer main article form".split())
+#: Signals that need the other pages.
+REPEATED, LINK_REPEATED, UNDER_REPEATED, BOXED_UNDER_REPEATED = "repeated", "link repeated", "under repeated", "boxed under repeated"
+REPEATED_OPENING = "repeated opening"
+#: Where a unit stands: in a box without the title; or as a heading outside of such boxes that opens text which isn't linked.
+BOXED, OPENING = 1, 2
 _KEPT = re.compile(r"\{\{(.*?)\}\}", re.S)
 _TEXT = re.compile(r">([^<]*[^<\s][^<]*)<")
+_SENTENCE = re.compile(r"\w\W{0,3}[.!?。！？][\"'”»)\]]*\s*$")
+#: So many words of one unit make running text, with a full stop or without.
+RUNNING = 9
+
+
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def host_of(url: str | None) -> str:
+    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", url or "")
+    return m[1].lower() if m else ""
+
+
+@dataclass(slots=True)
+class Unit:
+    """The text of one element that isn't inline, without that of elements in it that aren't inline either."""
+
+    first: int
+    end: int  # its nodes, half-open
+    signals: tuple[str, ...]
+    words: int
+    tags: int
+    token: int  # hash of its element and its words without the site's name; 0 without a word
+    link: int  # the same of its last link
+    under: int  # the unit that is the heading above it, or -1
+    place: int
+
+
+@cache
+def names_say(cue: str) -> tuple[str, ...]:
+    """Signals of an element's name, class, id or role."""
+    if "=" not in cue:
+        return (f"in {cue}",) if cue in LANDMARKS else ()
+    value = cue.split("=", 1)[1]
+    return ("furniture name",) if FURNITURE.search(value) else ("article name",) if ARTICLE.search(value) else ()
+
+
+def is_formula(n: Node) -> bool:
+    return "math" in n.path or "class=math" in n.cues
+
+
+def units(nodes: list[Node]) -> tuple[int, list[Unit]]:
+    """Hash of the page's title (0: none), and its units in order."""
+    title = words(" ".join(n.text for n in nodes if "title" in n.path[-1:]))
+    spans: list[tuple[int, int]] = []
+    k = 0
+    while k < len(nodes):
+        e, holder = k + 1, nodes[k].holder
+        while e < len(nodes) and nodes[e].holder == holder:
+            e += 1
+        if "head" not in nodes[k].path and "title" not in nodes[k].path[-1:]:
+            spans.append((k, e))
+        k = e
+    heads = [(a, b) for a, b in spans if "h1" in nodes[a].path]
+    named = [words(" ".join(n.text for n in nodes[a:b])) for a, b in heads]
+    at = next((i for i, w in enumerate(named) if w and " ".join(w) in " ".join(title)), 0)
+    head = heads[at][0] if heads else -1
+    site = set(title) - set(named[at]) if heads and named[at] and " ".join(named[at]) in " ".join(title) else set()
+    index = {a: i for i, (a, _) in enumerate(spans)}
+    home = nodes[head].boxes if head >= 0 else ()
+    found, known = [], {}
+    for a, b in spans:
+        n = nodes[a]
+        key = (n.path, n.cues, n.boxes, a < head)
+        fixed = known.get(key)
+        if fixed is None:
+            s = {x for c in n.cues for x in names_say(c)}
+            boxed = False
+            if head >= 0:
+                common = 0
+                while common < min(len(home), len(n.boxes)) and home[common] == n.boxes[common]:
+                    common += 1
+                boxed = len(n.boxes) > common
+                s |= {x for x, yes in (("before title", a < head), ("boxed", boxed), ("beside title", common < len(home))) if yes}
+            if n.path:
+                s |= {x for x, yes in (("heading", n.path[-1] in HEADINGS), ("list", "li" in n.path), ("cell", n.path[-1] in ("td", "th")), ("code", "pre" in n.path)) if yes}
+            fixed = known[key] = (tuple(sorted(s)), boxed)
+        ws, plain, link, anchor, tags, text, alone = [], False, 0, False, 0, "", ""
+        for n in nodes[a:b]:
+            own = words(n.text)
+            n.words = [w for w in own if w != "0"]
+            ws += own
+            tags += n.tags
+            if n.link:
+                anchor = anchor or n.anchor
+                alone = n.text
+            elif own:
+                plain = True
+            text += n.text
+        more = []
+        if (alone or any(n.link for n in nodes[a:b])) and not plain:
+            more.append("in-page link" if anchor else "linked")
+        elif any(map(is_formula, nodes[a:b])) or FORMULA.fullmatch(text.strip()):
+            more.append("formula")
+        elif "heading" not in fixed[0]:
+            if _SENTENCE.search(text[-20:]):
+                more.append("sentence")
+            if len(ws) >= RUNNING:
+                more.append("running text")
+        if head == a:
+            more.append("title")
+        kind = nodes[a].path[-1] if nodes[a].path else ""
+        cover = lambda ws: " ".join("*" if w in site else w for w in ws)  # noqa: B023, E731
+        exact = "pre" in nodes[a].path or "formula" in more  # their numbers aren't slots
+        token = text_hash(f"{kind}\1{text if exact else cover(ws)}") if any(w.strip("0") for w in ws) else 0
+        if alone and plain:
+            link = text_hash("a\1" + cover(words(alone)))
+        under = nodes[a].under
+        found.append(Unit(a, b, (*fixed[0], *more), max(1, sum(len(n.words) for n in nodes[a:b])), tags, token, link, index.get(under, -1), BOXED if fixed[1] else 0))
+    for k, u in enumerate(found):
+        if u.under == k:
+            u.under = -1
+        if not u.place and "heading" in u.signals and k + 1 < len(found):
+            after = found[k + 1]
+            if after.place != BOXED and not {"linked", "in-page link"} & set(after.signals):
+                u.place = OPENING
+    key = " ".join(n.text for n in nodes if "title" in n.path[-1:]).lower() + "\1" + " ".join(n.text for a, b in heads[at : at + 1] for n in nodes[a:b]).lower()
+    return text_hash(key) if len(key) > 1 else 0, found
 
 
-def features(node: Node, whole_block_linked: bool) -> list[str]:
-    found = [f"in:{c}" for c in node.cues if c not in PLAIN]
-    if node.under:
-        first = node.under.split(" ")[0]
-        found += [f"under:{first}", f"under:{node.under}"]
-    if node.link:
-        found.append("link")
-    if whole_block_linked:
-        found.append("linked block")
+def repetition(tokens: list[int], links: list[int], under: list[int], places: list[int], repeated: set[int]) -> list[list[str]]:
+    """The signals of each unit that need the other pages."""
+    own = [t in repeated for t in tokens]
+    found = []
+    for r, link, at, place in zip(own, links, under, places):
+        s = [REPEATED] if r else []
+        if r and place == OPENING:
+            s.append(REPEATED_OPENING)
+        if link in repeated:
+            s.append(LINK_REPEATED)
+        if at >= 0 and own[at]:
+            s += [UNDER_REPEATED, BOXED_UNDER_REPEATED] if place == BOXED else [UNDER_REPEATED]
+        found.append(s)
     return found
 
 
-def linked_blocks(nodes: list[Node]) -> set[int]:
-    """Innermost blocks of which all words are linked; breadcrumbs count too."""
-    plain: dict[int, bool] = {}
-    for n in nodes:
-        b = n.blocks[-1] if n.blocks else 0
-        plain[b] = plain.get(b, False) or (not n.link and any(c.isalnum() for c in n.text))
-    return {b for b, p in plain.items() if b and not p}
+def columns(us: list[Unit]) -> tuple[list, list, list, list]:
+    return [u.token for u in us], [u.link for u in us], [u.under for u in us], [u.place for u in us]
+
+
+def is_repeated(titles: int, of: int) -> bool:
+    return titles >= SUPPORT and titles >= SHARE * of
 
 
 class Weights:
     """A logistic model of the labelled pages."""
 
     def __init__(self) -> None:
-        rows: list[tuple[dict[str, float], int, float]] = []
-        own_cues: list[set[str]] = []
-        for page in PAGES:
-            marked = _KEPT.sub(lambda m: _TEXT.sub(r">¤\1<", m[1]), page)
-            nodes, _ = read(marked)
-            own_cues.append({c for n in nodes for c in n.cues})
-            linked = linked_blocks(nodes)
-            for n in nodes:
-                inside = n.text.startswith("¤")
-                n.text = n.text.lstrip("¤")
-                ws = [w for w in words(n.text) if w != "0"] or ["0"]
-                x: dict[str, float] = {f: 1.0 for f in features(n, bool(n.blocks) and n.blocks[-1] in linked)}
-                for w in ws:
-                    x[f"word:{w}"] = x.get(f"word:{w}", 0.0) + 1 / len(ws)
-                rows.append((x, int(inside), MAIN_WEIGHT if inside else 1.0))
-                # the same text in an element of unknown name: the words must tell
-                bare = {f: v for f, v in x.items() if not f.startswith("in:") or f == "in:h1"}
-                rows.append((bare, int(inside), MAIN_WEIGHT if inside else BARE_WEIGHT))
-        support = Counter(f for x, _, _ in rows for f in x)
-        pages = Counter(f"in:{c}" for cues in own_cues for c in cues)
-        names = sorted(f for f, n in support.items() if n > 2 and pages.get(f, 2) > 1)
-        index = {f: k for k, f in enumerate(names)}
-        design = np.zeros((len(rows), len(names)))
+        rows: list[tuple[dict[str, float], bool, float]] = []
+        for site in SITES:
+            read_pages, on = [], defaultdict(set)
+            for k, page in enumerate(site):
+                nodes, _ = read(_KEPT.sub(lambda m: _TEXT.sub(r">¤\1<", m[0]), page).replace("{{", "").replace("}}", ""))
+                inside = [n.text.startswith("¤") for n in nodes]
+                for n in nodes:
+                    n.text = n.text.lstrip("¤")
+                us = units(nodes)[1]
+                read_pages.append((us, inside))
+                for u in us:
+                    on[u.token].add(k)
+                    on[u.link].add(k)
+            repeated = {t for t, x in on.items() if t and is_repeated(len(x), len(site))}
+            for us, inside in read_pages:
+                for known, share in ((repeated, 1.0), (set(), 0.3)):  # hosts of few pages show no repetition
+                    for u, more in zip(us, repetition(*columns(us), known)):
+                        x = dict.fromkeys((*u.signals, *more), 1.0)
+                        x["tags"] = u.tags / u.words
+                        rows.append((x, inside[u.first], share * u.words**0.5))
+        names = sorted({s for x, _, _ in rows for s in x})
+        index = {s: k for k, s in enumerate(names)}
+        design = np.zeros((len(rows), len(names) + 1))
+        design[:, -1] = 1
         for k, (x, _, _) in enumerate(rows):
-            for f, v in x.items():
-                if f in index:
-                    design[k, index[f]] = v
-        y = np.array([label for _, label, _ in rows], float)
-        share = np.array([n for _, _, n in rows], float)
-        ridge = np.full(len(names), RIDGE)
-        weight = np.zeros(len(names))
-        for _ in range(12):  # Newton steps
-            p = 1 / (1 + np.exp(-PRIOR - design @ weight))
+            for s, v in x.items():
+                design[k, index[s]] = v
+        y, share = np.array([i for _, i, _ in rows], float), np.array([w for _, _, w in rows])
+        ridge = np.full(len(names) + 1, RIDGE)
+        ridge[-1] = 1e-3
+        weight = np.zeros(len(names) + 1)
+        for _ in range(15):  # Newton steps
+            p = 1 / (1 + np.exp(-design @ weight))
             slope = design.T @ (share * (p - y)) + ridge * weight
             bend = (design * (share * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
             weight -= np.linalg.solve(bend, slope)
-        self.words = {f[5:]: float(weight[k]) for f, k in index.items() if f.startswith("word:")}
-        # a heading can mark furniture, but speaks for nothing that stands under it
-        self.places = {
-            f: min(0.0, float(weight[k])) if f.startswith("under:") else float(weight[k]) for f, k in index.items() if not f.startswith("word:")
-        }
+        self.signal = {s: float(weight[k]) for s, k in index.items() if s != "tags"}
+        self.word = float(weight[-1])
+        self.tag = min(TAG_SCORE, float(weight[index["tags"]]))
+
+    def base(self, u: Unit) -> float:
+        """Sum of the scores of a unit's words and tags, as far as its own page tells."""
+        return u.words * (self.word + sum(self.signal.get(s, 0.0) for s in u.signals)) + u.tags * self.tag
+
+    def values(self, base: list[float], words: list[int], tokens: list[int], links: list[int], under: list[int], places: list[int], repeated: set[int]) -> list[float]:
+        """The sums of a page's units, by what is known to be repeated."""
+        if not repeated:
+            return base
+        more = repetition(tokens, links, under, places, repeated)
+        return [v + k * sum(self.signal.get(s, 0.0) for s in signals) if signals else v for v, k, signals in zip(base, words, more)]
 
 
 @cache
@@ -121,93 +267,173 @@ def weights() -> Weights:
     return Weights()
 
 
-def scores(nodes: list[Node]) -> list[float]:
-    """Sum of the scores of each text node's words."""
-    w = weights()
-    linked, places, lexicon, known = linked_blocks(nodes), w.places, w.words, {}
-    found = []
-    for n in nodes:
-        whole = bool(n.blocks) and n.blocks[-1] in linked
-        key = (n.cues, n.under, n.link, whole)
-        place = known.get(key)
-        if place is None:
-            place = known[key] = PRIOR + sum(places.get(f, 0.0) for f in features(n, whole))
-        n.words = ws = [w for w in words(n.text) if w != "0"]
-        k = len(ws) or 1
-        opaque = "pre" in n.path or "math" in n.path or "class=math" in n.cues  # its words say nothing about it
-        z = place if opaque else place + sum(lexicon.get(x, 0.0) for x in ws) / k
-        found.append(max(LEAST, min(6.0, z) * min(k, MOST_WORDS)))
-    return found
-
-
-def best_region(values: list[float]) -> tuple[int, int]:
-    """Half-open range with the greatest sum."""
-    best, at, sum_, start = 0.0, (0, 0), 0.0, 0
+def best_segments(values: list[float], cost: float = CUT) -> list[bool]:
+    """Which values are in the segments of greatest sum, less ``cost`` for each segment after the first."""
+    inside, after = -1.0, -1e300  # sums of the best choices that end inside a segment, or after one
+    came: list[tuple[bool, int]] = []  # (a segment goes on or ended here, whence the inside came: 0 new, 1 inside, 2 after)
+    best, at = 0.0, -1
+    started = False
     for k, v in enumerate(values):
-        if sum_ <= 0:
-            sum_, start = 0.0, k
-        sum_ += v
-        if sum_ > best + 1e-12:
-            best, at = sum_, (start, k + 1)
-    return at
-
-
-def article(nodes: list[Node]) -> list[bool]:
-    """Whether each text node belongs to the main body."""
-    own = scores(nodes)
-    tags = [v + TAG_SCORE * n.tags for v, n in zip(own, nodes)]
-    a, b = best_region(tags)
-    keep = [False] * len(nodes)
-    # inside, runs of text of the same element and place are kept or taken out together
-    k = a
-    while k < b:
-        e, n = k + 1, nodes[k]
-        block = n.blocks[-1] if n.blocks else 0
-        while e < b and block and nodes[e].blocks and nodes[e].blocks[-1] == block:
-            e += 1
-        if sum(own[k:e]) > 0:
-            keep[k:e] = [True] * (e - k)
-        k = e
+        options = [(0.0, 0)]
+        if started:
+            options += [(inside, 1), (after - cost, 2)]
+        top, whence = max(options, key=lambda o: o[0] + 1e-12 * (o[1] == 0))
+        later = max(after, inside) if started else -1e300
+        came.append((started and inside > after, whence))
+        inside, after, started = top + v, later, True
+        if inside > best + 1e-12:
+            best, at = inside, k
+    keep = [False] * len(values)
+    k, state = at, True
+    while k >= 0:
+        ended, whence = came[k]
+        if state:
+            keep[k] = True
+            if whence == 0:
+                break
+            state = whence == 1
+        else:
+            state = ended
+        k -= 1
     return keep
 
 
-def body(page: str) -> tuple[list[int], str]:
-    """Numbers of the blocks that belong to the main body, and its text."""
-    nodes, _ = read(page)
-    keep = article(nodes)
-    kept: set[int] = set()
-    parts: list[str] = []
-    last = None
-    for n, good in zip(nodes, keep):
-        if not good:
-            continue
-        kept.update(n.blocks)
-        here = n.blocks[-1] if n.blocks else 0
-        if parts and here != last:
-            parts.append("\n")
-        parts.append(n.text if "pre" in n.path else " ".join(n.text.split()) if here == last or not parts else n.text.strip())
-        last = here
-    return sorted(kept), "".join(p if p == "\n" else p + " " for p in parts).replace(" \n", "\n").strip()
-
-
-def bodies(pages: DataFrame, id_col: str = "page_id", html_col: str = "html_content") -> DataFrame:
-    """(page_id, blocks, main_text) of every page that has a main body."""
+#: A row a page, with arrays of a value a unit.  ``blocks`` holds 4 x number + kind (0 heading, 1 list item, 2 code block, 3 paragraph).
+ROWS = (
+    "page_id bigint, key bigint, host bigint, title bigint, tokens array<bigint>, links array<bigint>, base array<double>, words array<int>, under array<int>, "
+    "places array<int>, blocks array<array<bigint>>, formulas array<int>"
+)
+#: The text nodes of each unit: what stands before them, their text, and whether they are a formula.
+PARTS = ", parts array<array<struct<before:string,text:string,formula:boolean>>>"
+_PART = pa.struct([("before", pa.string()), ("text", pa.string()), ("formula", pa.bool_())])
+_KINDS = (pa.int64(),) * 4 + (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
+
+
+def formulas(nodes: list[Node]) -> int:
+    return 0 if "pre" in nodes[0].path else sum(1 if is_formula(n) else len(FORMULA.findall(n.text)) for n in nodes)
+
+
+def page_rows(pages: DataFrame, texts: bool = False, with_null_ids: bool = False) -> DataFrame:
+    """``ROWS`` of the pages with content, with ``PARTS`` if texts are asked for."""
+    schema = ROWS + (PARTS if texts else "")
+    kinds = _KINDS + ((pa.list_(pa.list_(_PART)),) if texts else ())
+    names = [c.split(" ")[0] for c in schema.replace("struct<before:string,text:string,formula:boolean>", "").split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for page, url, content, key in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    nodes, names_of = read(content)
+                    title, us = units(nodes)
+                    title = title or (text_hash(url) if url else key)
+                    blocks = [sorted({4 * b + KIND.get(names_of[b], 3) for n in nodes[u.first : u.end] for b in n.blocks}) for u in us]
+                    row = (page, key, text_hash(host_of(url)), title, *columns(us)[:2], [w.base(u) for u in us], [u.words for u in us], *columns(us)[2:], blocks)
+                    row += ([formulas(nodes[u.first : u.end]) for u in us],)
+                    if texts:
+                        row += ([[{"before": n.before, "text": n.text, "formula": is_formula(n)} for n in nodes[u.first : u.end]] for u in us],)
+                    out.append(row)
+                values = list(zip(*out)) if out else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds)], names=names)
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"), page_key().alias("key"))
+    return rows.where("length(html_content) > 0" if with_null_ids else "page_id is not null and length(html_content) > 0").mapInArrow(run, schema)
+
+
+def page_key() -> Column:
+    """Tells rows of other id, URL or content apart."""
+    return F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"))
+
+
+def seen(rows: DataFrame) -> DataFrame:
+    """(host, title, token), distinct."""
+    return rows.select("host", "title", F.explode(F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)).alias("token")).distinct()
+
+
+def host_sizes(rows: DataFrame) -> DataFrame:
+    """(host, of): its number of titles."""
+    return rows.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("of"))
+
+
+def enough(titles: Column, of: Column) -> Column:
+    return (titles >= SUPPORT) & (titles >= SHARE * of)
+
+
+def corpus_tokens(rows: DataFrame) -> DataFrame:
+    """Tokens repeated in the corpus.  At most the mean number of units of a page, divided by ``SHARE``."""
+    total = rows.select("title").distinct().count()
+    marks = seen(rows)
+    # a title may stand on several hosts: sums over hosts bound the number of titles from above, so that few tokens are counted exactly
+    some = marks.groupBy("token").agg(F.count("*").alias("n")).where(enough(F.col("n"), F.lit(total))).select("token")
+    exact = marks.join(F.broadcast(some), "token").select("token", "title").distinct().groupBy("token").agg(F.count("*").alias("n"))
+    return exact.where(enough(F.col("n"), F.lit(total))).select("token")
+
+
+def host_tokens(rows: DataFrame) -> DataFrame:
+    """(host, token) repeated on a host."""
+    on = seen(rows).groupBy("host", "token").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    return on.join(host_sizes(rows), "host").where(enough(F.col("n"), F.col("of"))).select("host", "token")
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """(key, host, token) of the pages."""
+    return rows.select("key", "host", F.explode(F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)).alias("token"))
+
+
+def with_repeated(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows with the tokens of (key, token) rows of their page, at most all of its own."""
+    return rows.join(hits.groupBy("key").agg(F.collect_set("token").alias("repeated")), "key", "left")
+
+
+def repeated_of(rows: DataFrame) -> DataFrame:
+    """(key, token): the repeated tokens of every page."""
+    of = tokens_of(rows)
+    on_host = of.join(host_tokens(rows), ["host", "token"], "left_semi").select("key", "token")
+    return on_host.union(of.join(F.broadcast(corpus_tokens(rows)), "token", "left_semi").select("key", "token"))
+
+
+def scan(columns: list[list], w: Weights) -> Iterator[list[bool]]:
+    """Which units of each page the segments hold; the columns are those of ``SCANNED``."""
+    for tokens, links, base, words, under, places, repeated in zip(*columns):
+        yield best_segments(w.values(base, words, tokens, links, under, places, set(repeated or ())))
+
+
+SCANNED = ["tokens", "links", "base", "words", "under", "places", "repeated"]
+
+
+def joined(parts: list[list[dict]], codes: list[list[int]]) -> str:
+    """The text of units: a line each, code as it stands."""
+    lines = []
+    for unit, held in zip(parts, codes):
+        text = "".join(p["before"] + p["text"] if k else p["text"] for k, p in enumerate(unit))
+        lines.append(text if any(c % 4 == 2 for c in held) else " ".join(text.split()))
+    return "\n".join(lines).strip()
+
+
+def bodies(pages: DataFrame, texts: bool = True) -> DataFrame:
+    """(page_id, blocks, main_text) of every page that has a main body; without texts ``main_text`` is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights()
         for batch in batches:
             out = []
-            for page, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks, text = body(content)
-                if text:
-                    out.append((page, blocks, text))
+            ids, codes, *rest = (c.to_pylist() for c in batch.columns)
+            parts = rest.pop() if texts else codes
+            for page, held, unit, keep in zip(ids, codes, parts, scan(rest, w)):
+                if any(keep):
+                    kept = [k for k, good in enumerate(keep) if good]
+                    text = joined([unit[k] for k in kept], [held[k] for k in kept]) if texts else None
+                    out.append((page, sorted({b >> 2 for k in kept for b in held[k]}), text))
             columns = list(zip(*out)) if out else [[]] * 3
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "blocks", "main_text"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.where("page_id is not null and length(html) > 0").mapInArrow(run, "page_id bigint, blocks array<bigint>, main_text string")
+    rows = cut(page_rows(pages, texts), "pages")
+    ready = with_repeated(rows, repeated_of(rows)).select("page_id", "blocks", *SCANNED, *(["parts"] if texts else []))
+    return ready.mapInArrow(run, "page_id bigint, blocks array<bigint>, main_text string")
 
 
 def found(pages: DataFrame) -> DataFrame:
     """(page_id, block_no) of the blocks of the main body."""
-    return bodies(pages).select("page_id", F.explode("blocks").alias("block_no")).distinct()
+    return bodies(pages, texts=False).select("page_id", F.explode("blocks").alias("block_no")).distinct()

@@ -5,6 +5,7 @@ import time
 import pytest
 
 from quillmere.llm import language, leaks, main_body, markup, near_duplicates, split
+from quillmere.llm.html_tokens import read
 
 MARKS = (
     "\\[", "\\(", "<div ", "<math>", "$$x", "[", "![", "**a ", "_a ", "`a", "{code", "{toc", "<pre", "<!--", "\\begin{equation}", "<li>a", "<div>a", "<script",
@@ -17,7 +18,7 @@ def test_long(mark):
     text = mark * (100_000 // len(mark))
     began = time.process_time()
     markup.parse(text, render=True)
-    main_body.body(text)
+    main_body.units(read(text)[0])
     split.pieces(text)
     language.paragraphs(text)
     leaks.words(text)

@@ -155,20 +155,57 @@ def test_main_body(spark):
 
 def test_labelled_pages_are_learned():
     right = wrong = 0
-    for text in main_body.PAGES:
-        nodes, _ = read(main_body._KEPT.sub(lambda m: main_body._TEXT.sub(r">¤\1<", m[1]), text))
-        keep = main_body.article(nodes)
-        for n, k in zip(nodes, keep):
-            right, wrong = (right + 1, wrong) if n.text.startswith("¤") == k else (right, wrong + 1)
+    w = main_body.weights()
+    for site in main_body.SITES:
+        marked = []
+        for text in site:
+            nodes, _ = read(main_body._KEPT.sub(lambda m: main_body._TEXT.sub(r">¤\1<", m[0]), text).replace("{{", "").replace("}}", ""))
+            marks = [n.text.startswith("¤") for n in nodes]
+            for n in nodes:
+                n.text = n.text.lstrip("¤")
+            us = main_body.units(nodes)[1]
+            marked.append((us, [marks[u.first] for u in us]))
+        on = [x for us, _ in marked for x in {x for u in us for x in (u.token, u.link) if x}]
+        repeated = {x for x in on if main_body.is_repeated(on.count(x), len(site))}
+        for us, inside in marked:
+            values = w.values([w.base(u) for u in us], [u.words for u in us], *main_body.columns(us), repeated)
+            for good, k in zip(inside, main_body.best_segments(values)):
+                right, wrong = (right + 1, wrong) if good == k else (right, wrong + 1)
     assert wrong <= 0.02 * right
 
 
-def test_best_region_against_brute_force():
+def test_best_segments_against_brute_force():
     r = random.Random(2)
-    for _ in range(200):
-        v = [r.randint(-5, 5) for _ in range(r.randint(1, 12))]
-        a, b = main_body.best_region(v)
-        assert sum(v[a:b]) == max([0, *(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, len(v) + 1))])
+    for _ in range(300):
+        v = [r.randint(-6, 6) for _ in range(r.randint(0, 10))]
+        cost = r.choice([0.0, 1.0, 3.0, 6.0])
+
+        def worth(keep):
+            starts = sum(k and not (i and keep[i - 1]) for i, k in enumerate(keep))
+            return sum(x for x, k in zip(v, keep) if k) - cost * max(0, starts - 1)
+
+        best = max(worth([n >> i & 1 for i in range(len(v))]) for n in range(1 << len(v)))
+        assert worth(main_body.best_segments(v, cost)) == max(best, 0)
+    assert main_body.best_segments([5, -20, 2, -1, 7, -20], 4) == [True, False, True, True, True, False]
+
+
+def test_the_scan_decides_and_wording_does_not(spark):
+    # furniture in words that no labelled page has, in boxes without names, and a line that stands flat below the article
+    box = "<div><p>Zorb flim quast derra moli nanti.</p><ul><li>Flimmo</li><li>Quastel</li></ul></div>"
+    text = lambda c: f"<h1>Gate {c}</h1><p>The gate of {c} opens when the guard of {c} has come.</p>{box}<p>Then {c} may enter the yard and go to the hall.</p>"
+    rows = [(k, f"https://h.invalid/{k}", f"<html><body>{box}{text('abcdef'[k] * 4)}<p>Velu ram situ folka dren pasti.</p></body></html>") for k in range(6)]
+    got = {(r["page_id"], r["block_no"]) for r in main_body.found(pages(spark, rows)).collect()}
+    assert got == {(k, b) for k in range(6) for b in (4, 5, 9)}  # neither the boxes nor the last line
+    nodes, _ = read(rows[0][2])
+    us = main_body.units(nodes)[1]
+    values = [main_body.weights().base(u) for u in us]
+    assert all(main_body.best_segments(values, 1e9)[k] for k, u in enumerate(us) if 4 <= nodes[u.first].blocks[-1] <= 9)  # one segment would keep the island
+
+
+def test_copies_are_not_repetition(spark):
+    text = "<h1>Tide guide</h1><h2>Before you go</h2><p>Check the anchor and ask the keeper for the key.</p>"
+    rows = [(k, f"https://h{k % 3}.invalid/{k}", page(text)) for k in range(30)]
+    assert {(r["page_id"], r["block_no"]) for r in main_body.found(pages(spark, rows)).collect()} == {(k, b) for k in range(30) for b in (5, 6, 7)}
 
 
 # ---- markup ----
@@ -256,6 +293,31 @@ def test_elements_of_pages_and_files(spark):
     assert clean_markup.found(files.limit(0), pages(spark, [])).count() == 0
 
 
+def test_the_template_decides(spark, monkeypatch):
+    files = spark.createDataFrame([], "file_id long, content string, ingested_at timestamp")
+    tail = "<h2>Tokens of trade:</h2><ul><li><a href='/1'>Zorb</a></li></ul><p>Zorb flim quast derra moli nanti.</p>"
+    rows = [(k, f"https://h.invalid/{k}", f"<html><body><h1>Gate {k * 'x'}</h1><p>The gate {k * 'x'} opens when the guard has come.</p>{tail}</body></html>") for k in range(1, 7)]
+    rows += [(20, "https://small.invalid/1", rows[0][2].replace("Gate", "Door"))]
+    headings = lambda: [r["heading"] for r in clean_markup.page_elements(pages(spark, rows)).orderBy("row_id").collect()]
+    with_template = headings()
+    assert with_template == [1] * 7  # the small host by what the corpus repeats
+    assert tuple(clean_markup.without_template(pages(spark, rows)).first()) == (7, 1)
+    real = clean_markup.template
+    monkeypatch.setattr(clean_markup, "template", lambda rows: real(rows).where("false"))
+    assert headings() == [2] * 6 + [1]
+
+
+def test_classes_in_changing_order_or_crossing_are_no_template(spark):
+    p = lambda words: "".join(f"<p>{w} fixed words</p>" for w in words)
+    same = [(k, f"https://a.invalid/{k}", f"<h1>T{k * 'x'}</h1>{p(['one', 'two'])}") for k in range(1, 6)]
+    mixed = [(k, f"https://b.invalid/{k}", f"<h1>T{k * 'x'}</h1>{p(['one', 'two'] if k % 2 else ['two', 'one'])}") for k in range(11, 16)]
+    crossing = [(k, f"https://c.invalid/{k}", f"<h1>T{k * 'x'}</h1>{p(['a1', 'b1', 'a2', 'b2'] if k < 24 else ['b1', 'b2'])}") for k in range(21, 28)]
+    rows = main_body.page_rows(pages(spark, same + mixed + crossing))
+    got = clean_markup.template(rows).groupBy("host").count().collect()
+    host = lambda h: main_body.text_hash(f"{h}.invalid")
+    assert {r["host"]: r["count"] for r in got} == {host("a"): 2, host("c"): 2}
+
+
 def test_copies_and_versions_of_pages_are_no_template(spark):
     files = spark.createDataFrame([], "file_id long, content string, ingested_at timestamp")
     article = "<h1>Tide guide</h1><p>The harbour opens at dawn and {} boats leave.</p><h2>Before you go</h2><ul><li>Check the anchor</li><li>Ask the keeper</li></ul><pre>tide --list</pre><p>Then \\(t+1\\) hours pass.</p>"
