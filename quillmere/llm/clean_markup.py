@@ -11,7 +11,7 @@ Of the slots those of the article are extracted: the scan of ``main_body`` runs
 template as its only knowledge of other pages, so a slot among tokens of the template (a teaser between
 the heading and the link of a side panel) falls with them.
 
-A host under ``SUPPORT`` titles has no template; there what is repeated in the whole corpus takes its
+A host under ``SUPPORT`` titles has no template; there what small hosts repeat, taken together, takes its
 place.  ``without_template`` gives the share of such pages.
 
 * One pass reads each page and gives a row a page with hashes; vectors are a bitwise sum of hashes over
@@ -37,9 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.main_body import (
-    SCANNED, SHARE, SUPPORT, corpus_tokens, host_sizes, page_key, page_rows, scan, text_hash, tokens_of, weights, with_repeated,
-)
+from quillmere.llm.main_body import SHARE, SUPPORT, candidates, host_sizes, page_key, page_rows, pooled, scanned, text_hash
 from quillmere.llm.markup import KINDS, parse
 from quillmere.plans.cut import cut
 
@@ -50,12 +48,11 @@ SIZE = 3
 def template(rows: DataFrame) -> DataFrame:
     """(host, token) of the valid equivalence classes of page rows."""
     first = rows.groupBy("host", "title").agg(F.min("key").alias("key"))  # versions and copies are one page
-    once = rows.join(first, ["host", "title", "key"], "left_semi").dropDuplicates(["key"])
-    units = F.arrays_zip("tokens", "links", "words")
-    of = once.select("host", "title", F.posexplode(units).alias("place", "u"))
-    own = of.select("host", "title", "place", F.col("u.tokens").alias("token"), (F.col("u.words") + 2).alias("size"))
-    link = of.select("host", "title", "place", F.col("u.links").alias("token"), F.lit(3).alias("size"))
-    on = own.union(link).where("token <> 0").groupBy("host", "token", "title").agg(F.count("*").alias("times"), F.min("place").alias("place"), F.max("place").alias("last"), F.max("size").alias("size"))
+    once = rows.select("host", "title", "key", "tokens", "links", "words").join(first, ["host", "title", "key"], "left_semi").dropDuplicates(["key"])
+    on = candidates(once).groupBy("host", "token", "title").agg(
+        F.count("*").alias("times"), F.min("place").alias("place"), F.max("place").alias("last"), (F.max("words") + 2).alias("size")
+    )
+    on = cut(on, "on")
     vector = on.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("title", "times")).alias("v1"), F.bit_xor(F.xxhash64("times", "title", F.lit(7))).alias("v2"),
         F.count("*").alias("titles"), F.max("size").alias("size"),
@@ -84,12 +81,9 @@ def template(rows: DataFrame) -> DataFrame:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """(key, token): the template's tokens on every page, or those of the corpus on hosts too small for a template."""
-    of = tokens_of(rows)
-    in_template = of.join(template(rows), ["host", "token"], "left_semi").select("key", "token")
+    """(host, token): the templates; hosts too small for one have what small hosts repeat, taken together."""
     small = host_sizes(rows).where(F.col("of") < SUPPORT).select("host")
-    in_corpus = of.join(small, "host", "left_semi").join(F.broadcast(corpus_tokens(rows)), "token", "left_semi").select("key", "token")
-    return in_template.union(in_corpus)
+    return template(rows).union(pooled(rows).join(small, "host", "left_semi"))
 
 
 def without_template(pages: DataFrame) -> DataFrame:
@@ -101,20 +95,13 @@ def without_template(pages: DataFrame) -> DataFrame:
 def page_elements(pages: DataFrame) -> DataFrame:
     """(row_id, heading, list_item, code_block, formula) of what the article's slots hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights()
-        for batch in batches:
-            ids, blocks, formulas, *rest = (c.to_pylist() for c in batch.columns)
-            out = []
-            for page, held, n, keep in zip(ids, blocks, formulas, scan(rest, w)):
-                codes = {b for x, good in zip(held, keep) if good for b in x}
-                out.append((page, *(sum(b % 4 == kind for b in codes) for kind in range(3)), sum(k for k, good in zip(n, keep) if good)))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_id", *KINDS])
+    def handle(keep: list[bool], page: int, held: list[list[int]], formulas: list[int]) -> tuple:
+        codes = {b for x, good in zip(held, keep) if good for b in x}
+        return (page, *(sum(b % 4 == kind for b in codes) for kind in range(3)), sum(k for k, good in zip(formulas, keep) if good))
 
     rows = cut(page_rows(pages), "pages")
-    ready = with_repeated(rows, evidence(rows)).select("page_id", "key", "blocks", "formulas", *SCANNED).dropDuplicates(["key"]).drop("key")
-    counted = ready.mapInArrow(run, "row_id bigint, " + ", ".join(f"{k} bigint" for k in KINDS))
+    schema = "row_id bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
+    counted = scanned(rows, evidence(rows), ["page_id", "blocks", "formulas"], handle, schema, (pa.int64(),) * 5)
     return counted.groupBy("row_id").agg(*(F.max(k).alias(k) for k in KINDS))  # of rows of one id and different content the greater numbers
 
 
@@ -180,16 +167,12 @@ def assembled(units: list[tuple[list[int], list[dict]]]) -> str:
 def cleaned_pages(pages: DataFrame) -> DataFrame:
     """(row_id, clean): the clean text of every row of ``pages``; null stays null, a page without main body is empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights()
-        for batch in batches:
-            keys, blocks, parts, *rest = (c.to_pylist() for c in batch.columns)
-            texts = [assembled([u for u, good in zip(zip(held, unit), keep) if good]) for held, unit, keep in zip(blocks, parts, scan(rest, w))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["key", "clean"])
+    def handle(keep: list[bool], key: int, held: list[list[int]], parts: list[list[dict]]) -> tuple:
+        return key, assembled([u for u, good in zip(zip(held, parts), keep) if good])
 
     rows = cut(page_rows(pages, texts=True, with_null_ids=True), "pages")
-    ready = with_repeated(rows.dropDuplicates(["key"]), evidence(rows.where("page_id is not null"))).select("key", "blocks", "parts", *SCANNED)
-    clean = ready.mapInArrow(run, "key bigint, clean string")
+    repeated = evidence(rows.where("page_id is not null"))
+    clean = scanned(rows.dropDuplicates(["key"]), repeated, ["key", "blocks", "parts"], handle, "key bigint, clean string", (pa.int64(), pa.string()))
     every = pages.select(F.col("page_id").cast("long").alias("row_id"), F.col("html_content").isNotNull().alias("there"), page_key().alias("key"))
     return every.join(clean, "key", "left").select("row_id", F.when(F.col("there"), F.coalesce("clean", F.lit(""))).alias("clean"))
 

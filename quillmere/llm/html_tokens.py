@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
 
 _TOKEN = re.compile(
     r"(<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\2\s*>|\Z)|<![^>]*>)"
@@ -19,6 +21,8 @@ BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p li pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("h1 h2 h3 h4 h5 h6 p li pre ul ol div table section article main aside nav header footer blockquote".split())
+_LINES, _HOLD_LINES = HEADINGS | {"p"}, frozenset("td th li div blockquote section article main aside".split())
+_ITEMS, _HOLD_ITEMS = frozenset(("li",)), frozenset(("ul", "ol"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img"
     " math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mover munder semantics annotation".split()
@@ -38,7 +42,7 @@ _WORD = re.compile(r"[^\W_]+(?:\.pdf)?")
 
 @dataclass(slots=True)
 class Node:
-    """A text node: its text, the numbers of the open blocks (innermost last), the names of the open elements and the cues of its place.
+    """A text node: its text, the numbers of the open blocks (innermost last), and the names of the open elements.
 
     ``holder`` numbers the innermost element that isn't inline, ``boxes`` the open boxes; ``under`` is the place of the heading before it
     in an enclosing element (-1: none), ``anchor`` tells a link to a place of the same page."""
@@ -46,7 +50,6 @@ class Node:
     text: str
     blocks: tuple[int, ...]
     path: tuple[str, ...]
-    cues: tuple[str, ...]
     link: bool
     tags: int  # tags since the last text node
     under: int = -1
@@ -54,7 +57,8 @@ class Node:
     holder: int = 0
     boxes: tuple[int, ...] = ()
     anchor: bool = False
-    words: list[str] = field(default_factory=list)
+    math: bool = False
+    says: frozenset[str] = frozenset()  # what names say about the place, by the function given to ``read``
 
 
 @dataclass(slots=True)
@@ -64,17 +68,19 @@ class _Frame:
     name: str
     blocks: tuple[int, ...] = ()
     path: tuple[str, ...] = ()
-    cues: tuple[str, ...] = ()
     boxes: tuple[int, ...] = ()
     holder: int = 0
     under: int = -1
     anchor: bool = False
+    math: bool = False
+    says: frozenset[str] = frozenset()
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("0", text.lower()))
 
 
+@lru_cache(20_000)
 def cues_of(name: str, attributes: str) -> tuple[str, ...]:
     found = [name]
     if attributes:
@@ -84,8 +90,10 @@ def cues_of(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def read(page: str) -> tuple[list[Node], dict[int, str]]:
-    """The text nodes of a page, and the name of each numbered block (h1 to h6, p, li and pre, from 1)."""
+def read(page: str, say: Callable[[tuple[str, ...]], frozenset[str]] = lambda cues: frozenset()) -> tuple[list[Node], dict[int, str]]:
+    """The text nodes of a page, and the name of each numbered block (h1 to h6, p, li and pre, from 1).
+
+    ``say`` tells what the cues of one element say about all text in it."""
     nodes: list[Node] = []
     blocks: dict[int, str] = {}
     stack: list[_Frame] = [_Frame("")]
@@ -104,7 +112,7 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
                 heading = -1
         del stack[k:]
 
-    def nearest(names: frozenset[str] | set[str], stops: frozenset[str] | set[str]) -> int:
+    def nearest(names: frozenset[str], stops: frozenset[str]) -> int:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 return k
@@ -128,7 +136,7 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
             f = stack[-1]
             if heading < 0 and not HEADINGS.isdisjoint(f.path[-4:]):
                 heading = len(nodes)
-            nodes.append(Node(text, f.blocks, f.path, f.cues, links > 0, tags, f.under, "".join(blank), f.holder, f.boxes, f.anchor))
+            nodes.append(Node(text, f.blocks, f.path, links > 0, tags, f.under, "".join(blank), f.holder, f.boxes, f.anchor, f.math, f.says))
             tags = 0
             blank.clear()
             continue
@@ -143,11 +151,11 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
                     break
             continue
         if name in ENDS_P:
-            k = nearest({"p", *HEADINGS}, {"td", "th", "li", "div", "blockquote", "section", "article", "main", "aside"})
+            k = nearest(_LINES, _HOLD_LINES)
             if k:
                 close(k)
         if name == "li":
-            k = nearest({"li"}, {"ul", "ol"})
+            k = nearest(_ITEMS, _HOLD_ITEMS)
             if k:
                 close(k)
         if name in BLOCKS:
@@ -161,16 +169,19 @@ def read(page: str) -> tuple[list[Node], dict[int, str]]:
             close(DEPTH)
         elements += 1
         f = stack[-1]
+        cues = cues_of(name, attributes)
+        more = say(cues)
         stack.append(
             _Frame(
                 name,
                 (*f.blocks, number) if name in BLOCKS else f.blocks,
                 (*f.path, name),
-                f.cues + cues_of(name, attributes),
                 (*f.boxes, elements) if name in BOXES else f.boxes,
                 f.holder if name in INLINE else elements,
                 f.under,
                 f.anchor or (name == "a" and _IN_PAGE.search(attributes) is not None),
+                f.math or name == "math" or "class=math" in cues,
+                f.says if more <= f.says else f.says | more,
             )
         )
     return nodes, blocks

@@ -11,13 +11,14 @@ The model knows no wording, only signals that carry over from page to page and f
 whether a unit (the text of one element) is linked, or linked to a place of its own page; whether it
 stands before the title, or in a box that doesn't hold the title; its element; names of classes, ids
 and roles that publishing software uses; whether it is a sentence; and repetition: whether the unit,
-a link in it or the heading above it stands on many pages of the host, or on many pages of the corpus.
+a link in it or the heading above it stands on many pages of the host.
 
 * One pass over whole pages gives a row a page: hashes of its units and their scores without repetition.
-* Hashes are counted by host over distinct titles, so that copies, versions and pages fetched again
-  count once; counts are exact and over all pages.  A text is repeated if it stands under at least
-  ``SUPPORT`` titles and ``SHARE`` of those of the host, or of the corpus.
-* Only repeated hashes go back to their pages; the scan runs on the rows, not on the pages again.
+* Hashes are counted by host, first by pages, which ends most of them, then by distinct titles, so that
+  copies, versions and pages fetched again count once; counts are exact and over all pages.  A text is
+  repeated if it stands under at least ``SUPPORT`` titles and ``SHARE`` of the host's; hosts with fewer
+  than ``SMALL`` titles are also counted together.
+* The scan runs on the rows, where they lie.
 
 Defined cases: null ids and null, empty or unreadable pages give no row; unclosed elements end with
 the enclosing one; a block counts if it, or a block inside it, has text in a segment; ties in the sum go
@@ -29,9 +30,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ from quillmere.plans.cut import cut
 
 SUPPORT = 3
 SHARE = 0.05
+#: Hosts with fewer titles are taken together, as they show little repetition of their own.
+SMALL = 20
+#: Beyond it repeated tokens are joined to their pages, not sent to the workers.
+BROADCAST_TOKENS = 500_000
 #: What every segment after the first costs.
 CUT = 6.0
 RIDGE = 0.3
@@ -61,6 +66,7 @@ REPEATED_OPENING = "repeated opening"
 BOXED, OPENING = 1, 2
 _KEPT = re.compile(r"\{\{(.*?)\}\}", re.S)
 _TEXT = re.compile(r">([^<]*[^<\s][^<]*)<")
+_MARK = re.compile(r"[$\\]")
 _SENTENCE = re.compile(r"\w\W{0,3}[.!?。！？][\"'”»)\]]*\s*$")
 #: So many words of one unit make running text, with a full stop or without.
 RUNNING = 9
@@ -90,45 +96,56 @@ class Unit:
     place: int
 
 
-@cache
-def names_say(cue: str) -> tuple[str, ...]:
-    """Signals of an element's name, class, id or role."""
-    if "=" not in cue:
-        return (f"in {cue}",) if cue in LANDMARKS else ()
-    value = cue.split("=", 1)[1]
-    return ("furniture name",) if FURNITURE.search(value) else ("article name",) if ARTICLE.search(value) else ()
+@lru_cache(20_000)
+def names_say(cues: tuple[str, ...]) -> frozenset[str]:
+    """Signals of an element's name, classes, id and role."""
+    found = {f"in {c}" for c in cues if c in LANDMARKS}
+    for c in cues:
+        if "=" in c:
+            value = c.split("=", 1)[1]
+            if FURNITURE.search(value):
+                found.add("furniture name")
+            elif ARTICLE.search(value):
+                found.add("article name")
+    return frozenset(found)
 
 
-def is_formula(n: Node) -> bool:
-    return "math" in n.path or "class=math" in n.cues
+def _covered(ws: list[str], site: set[str]) -> str:
+    return " ".join(ws) if site.isdisjoint(ws) else " ".join(["*" if w in site else w for w in ws])
 
 
 def units(nodes: list[Node]) -> tuple[int, list[Unit]]:
     """Hash of the page's title (0: none), and its units in order."""
-    title = words(" ".join(n.text for n in nodes if "title" in n.path[-1:]))
     spans: list[tuple[int, int]] = []
+    named_title: list[str] = []
     k = 0
     while k < len(nodes):
-        e, holder = k + 1, nodes[k].holder
-        while e < len(nodes) and nodes[e].holder == holder:
+        e, n = k + 1, nodes[k]
+        while e < len(nodes) and nodes[e].holder == n.holder:
             e += 1
-        if "head" not in nodes[k].path and "title" not in nodes[k].path[-1:]:
+        if n.path[-1:] == ("title",):
+            named_title += [x.text for x in nodes[k:e]]
+        elif n.path[1:2] != ("head",):
             spans.append((k, e))
         k = e
+    title = words(" ".join(named_title))
+    line = " ".join(title)
     heads = [(a, b) for a, b in spans if "h1" in nodes[a].path]
     named = [words(" ".join(n.text for n in nodes[a:b])) for a, b in heads]
-    at = next((i for i, w in enumerate(named) if w and " ".join(w) in " ".join(title)), 0)
+    at = next((i for i, w in enumerate(named) if w and " ".join(w) in line), 0)
     head = heads[at][0] if heads else -1
-    site = set(title) - set(named[at]) if heads and named[at] and " ".join(named[at]) in " ".join(title) else set()
+    site = set(title) - set(named[at]) if heads and named[at] and " ".join(named[at]) in line else set()
     index = {a: i for i, (a, _) in enumerate(spans)}
     home = nodes[head].boxes if head >= 0 else ()
-    found, known = [], {}
+    found: list[Unit] = []
+    known: dict[tuple, tuple[tuple[str, ...], int, bool]] = {}
     for a, b in spans:
         n = nodes[a]
-        key = (n.path, n.cues, n.boxes, a < head)
+        last = n.path[-1] if n.path else ""
+        key = (n.says, n.boxes, a < head, n.path[-3:], len(n.blocks))
         fixed = known.get(key)
         if fixed is None:
-            s = {x for c in n.cues for x in names_say(c)}
+            s = set(n.says)
             boxed = False
             if head >= 0:
                 common = 0
@@ -136,41 +153,41 @@ def units(nodes: list[Node]) -> tuple[int, list[Unit]]:
                     common += 1
                 boxed = len(n.boxes) > common
                 s |= {x for x, yes in (("before title", a < head), ("boxed", boxed), ("beside title", common < len(home))) if yes}
-            if n.path:
-                s |= {x for x, yes in (("heading", n.path[-1] in HEADINGS), ("list", "li" in n.path), ("cell", n.path[-1] in ("td", "th")), ("code", "pre" in n.path)) if yes}
-            fixed = known[key] = (tuple(sorted(s)), boxed)
-        ws, plain, link, anchor, tags, text, alone = [], False, 0, False, 0, "", ""
-        for n in nodes[a:b]:
-            own = words(n.text)
-            n.words = [w for w in own if w != "0"]
-            ws += own
-            tags += n.tags
-            if n.link:
-                anchor = anchor or n.anchor
-                alone = n.text
-            elif own:
-                plain = True
-            text += n.text
-        more = []
-        if (alone or any(n.link for n in nodes[a:b])) and not plain:
-            more.append("in-page link" if anchor else "linked")
-        elif any(map(is_formula, nodes[a:b])) or FORMULA.fullmatch(text.strip()):
-            more.append("formula")
-        elif "heading" not in fixed[0]:
+            s |= {x for x, yes in (("heading", last in HEADINGS), ("list", "li" in n.path), ("cell", last in ("td", "th")), ("code", "pre" in n.path)) if yes}
+            fixed = known[key] = (tuple(sorted(s)), BOXED if boxed else 0, "pre" in n.path)
+        signals, place, exact = fixed
+        if b == a + 1:
+            text, tags, ws, linked, alone, plain = n.text, n.tags, words(n.text), n.link, "", not n.link
+        else:
+            part = nodes[a:b]
+            text, tags, linked, alone, plain = "".join([x.text for x in part]), sum([x.tags for x in part]), False, "", False
+            ws = []
+            for x in part:
+                own = words(x.text)
+                ws += own
+                if x.link:
+                    linked, alone = True, x.text
+                elif own:
+                    plain = True
+        more = signals
+        if linked and not plain:
+            more = (*signals, "in-page link" if any([x.anchor for x in nodes[a:b]]) else "linked")
+        elif any([x.math for x in nodes[a:b]]) or (_MARK.search(text) and FORMULA.fullmatch(text.strip())):
+            more, exact = (*signals, "formula"), True  # its numbers aren't slots, nor are those of code
+        elif last not in HEADINGS:
             if _SENTENCE.search(text[-20:]):
-                more.append("sentence")
+                more = (*more, "sentence")
             if len(ws) >= RUNNING:
-                more.append("running text")
+                more = (*more, "running text")
         if head == a:
-            more.append("title")
-        kind = nodes[a].path[-1] if nodes[a].path else ""
-        cover = lambda ws: " ".join("*" if w in site else w for w in ws)  # noqa: B023, E731
-        exact = "pre" in nodes[a].path or "formula" in more  # their numbers aren't slots
-        token = text_hash(f"{kind}\1{text if exact else cover(ws)}") if any(w.strip("0") for w in ws) else 0
-        if alone and plain:
-            link = text_hash("a\1" + cover(words(alone)))
-        under = nodes[a].under
-        found.append(Unit(a, b, (*fixed[0], *more), max(1, sum(len(n.words) for n in nodes[a:b])), tags, token, link, index.get(under, -1), BOXED if fixed[1] else 0))
+            more = (*more, "title")
+        plain_words = [w for w in ws if w != "0"]
+        token = link = 0
+        if plain_words:
+            token = text_hash(f"{last}\1{text if exact else _covered(ws, site)}")
+            if alone and plain:
+                link = text_hash("a\1" + _covered(words(alone), site))
+        found.append(Unit(a, b, more, len(plain_words) or 1, tags, token, link, index.get(n.under, -1), place))
     for k, u in enumerate(found):
         if u.under == k:
             u.under = -1
@@ -178,7 +195,7 @@ def units(nodes: list[Node]) -> tuple[int, list[Unit]]:
             after = found[k + 1]
             if after.place != BOXED and not {"linked", "in-page link"} & set(after.signals):
                 u.place = OPENING
-    key = " ".join(n.text for n in nodes if "title" in n.path[-1:]).lower() + "\1" + " ".join(n.text for a, b in heads[at : at + 1] for n in nodes[a:b]).lower()
+    key = " ".join(named_title).lower() + "\1" + " ".join(n.text for a, b in heads[at : at + 1] for n in nodes[a:b]).lower()
     return text_hash(key) if len(key) > 1 else 0, found
 
 
@@ -214,7 +231,7 @@ class Weights:
         for site in SITES:
             read_pages, on = [], defaultdict(set)
             for k, page in enumerate(site):
-                nodes, _ = read(_KEPT.sub(lambda m: _TEXT.sub(r">¤\1<", m[0]), page).replace("{{", "").replace("}}", ""))
+                nodes, _ = read(_KEPT.sub(lambda m: _TEXT.sub(r">¤\1<", m[0]), page).replace("{{", "").replace("}}", ""), names_say)
                 inside = [n.text.startswith("¤") for n in nodes]
                 for n in nodes:
                     n.text = n.text.lstrip("¤")
@@ -310,7 +327,7 @@ _KINDS = (pa.int64(),) * 4 + (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.lis
 
 
 def formulas(nodes: list[Node]) -> int:
-    return 0 if "pre" in nodes[0].path else sum(1 if is_formula(n) else len(FORMULA.findall(n.text)) for n in nodes)
+    return 0 if "pre" in nodes[0].path else sum([1 if n.math else len(FORMULA.findall(n.text)) if _MARK.search(n.text) else 0 for n in nodes])
 
 
 def page_rows(pages: DataFrame, texts: bool = False, with_null_ids: bool = False) -> DataFrame:
@@ -325,14 +342,14 @@ def page_rows(pages: DataFrame, texts: bool = False, with_null_ids: bool = False
             for at in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
                 for page, url, content, key in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    nodes, names_of = read(content)
+                    nodes, names_of = read(content, names_say)
                     title, us = units(nodes)
                     title = title or (text_hash(url) if url else key)
                     blocks = [sorted({4 * b + KIND.get(names_of[b], 3) for n in nodes[u.first : u.end] for b in n.blocks}) for u in us]
                     row = (page, key, text_hash(host_of(url)), title, *columns(us)[:2], [w.base(u) for u in us], [u.words for u in us], *columns(us)[2:], blocks)
                     row += ([formulas(nodes[u.first : u.end]) for u in us],)
                     if texts:
-                        row += ([[{"before": n.before, "text": n.text, "formula": is_formula(n)} for n in nodes[u.first : u.end]] for u in us],)
+                        row += ([[{"before": n.before, "text": n.text, "formula": n.math} for n in nodes[u.first : u.end]] for u in us],)
                     out.append(row)
                 values = list(zip(*out)) if out else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds)], names=names)
@@ -346,60 +363,76 @@ def page_key() -> Column:
     return F.xxhash64(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html_content").cast("string"))
 
 
-def seen(rows: DataFrame) -> DataFrame:
-    """(host, title, token), distinct."""
-    return rows.select("host", "title", F.explode(F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)).alias("token")).distinct()
-
-
 def host_sizes(rows: DataFrame) -> DataFrame:
     """(host, of): its number of titles."""
     return rows.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("of"))
 
 
-def enough(titles: Column, of: Column) -> Column:
-    return (titles >= SUPPORT) & (titles >= SHARE * of)
-
-
-def corpus_tokens(rows: DataFrame) -> DataFrame:
-    """Tokens repeated in the corpus.  At most the mean number of units of a page, divided by ``SHARE``."""
-    total = rows.select("title").distinct().count()
-    marks = seen(rows)
-    # a title may stand on several hosts: sums over hosts bound the number of titles from above, so that few tokens are counted exactly
-    some = marks.groupBy("token").agg(F.count("*").alias("n")).where(enough(F.col("n"), F.lit(total))).select("token")
-    exact = marks.join(F.broadcast(some), "token").select("token", "title").distinct().groupBy("token").agg(F.count("*").alias("n"))
-    return exact.where(enough(F.col("n"), F.lit(total))).select("token")
-
-
-def host_tokens(rows: DataFrame) -> DataFrame:
-    """(host, token) repeated on a host."""
-    on = seen(rows).groupBy("host", "token").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    return on.join(host_sizes(rows), "host").where(enough(F.col("n"), F.col("of"))).select("host", "token")
-
-
-def tokens_of(rows: DataFrame) -> DataFrame:
-    """(key, host, token) of the pages."""
-    return rows.select("key", "host", F.explode(F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)).alias("token"))
-
-
-def with_repeated(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows with the tokens of (key, token) rows of their page, at most all of its own."""
-    return rows.join(hits.groupBy("key").agg(F.collect_set("token").alias("repeated")), "key", "left")
-
-
-def repeated_of(rows: DataFrame) -> DataFrame:
-    """(key, token): the repeated tokens of every page."""
-    of = tokens_of(rows)
-    on_host = of.join(host_tokens(rows), ["host", "token"], "left_semi").select("key", "token")
-    return on_host.union(of.join(F.broadcast(corpus_tokens(rows)), "token", "left_semi").select("key", "token"))
-
-
-def scan(columns: list[list], w: Weights) -> Iterator[list[bool]]:
-    """Which units of each page the segments hold; the columns are those of ``SCANNED``."""
-    for tokens, links, base, words, under, places, repeated in zip(*columns):
-        yield best_segments(w.values(base, words, tokens, links, under, places, set(repeated or ())))
+def candidates(rows: DataFrame) -> DataFrame:
+    """(host, title, place, token, words): where tokens stand that have ``SUPPORT`` pages of their host, or whose host is small; links have no words."""
+    of_page = F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)
+    often = rows.select("host", F.explode(of_page).alias("token")).groupBy("host", "token").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    often = cut(often.select("host", "token"), "often")  # the bulk of all tokens stands on one page and ends here
+    units = rows.select("host", "title", F.posexplode(F.arrays_zip("tokens", "links", "words")).alias("place", "u"))
+    own = units.select("host", "title", "place", F.col("u.tokens").alias("token"), F.col("u.words").alias("words"))
+    link = units.select("host", "title", "place", F.col("u.links").alias("token"), F.lit(0).alias("words")).where("token <> 0")
+    return own.union(link).join(often, ["host", "token"], "left_semi")
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """(host, token): what the pages of small hosts repeat, taken together; for each such host its own tokens of these."""
+    small = host_sizes(rows).where(F.col("of") < SMALL).select("host")
+    of_page = F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)
+    on = cut(rows.join(small, "host", "left_semi").select("host", "title", F.explode(of_page).alias("token")).distinct(), "pooled")
+    total = on.select("title").distinct().agg(F.count("*").alias("of"))
+    counts = on.select("token", "title").distinct().groupBy("token").agg(F.count("*").alias("n"))
+    limit = total.first()["of"]
+    return on.join(counts.where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.lit(limit))), "token", "left_semi").select("host", "token").distinct()
+
+
+def repeated_on_hosts(rows: DataFrame) -> DataFrame:
+    """(host, token) repeated on a host, or on small hosts taken together."""
+    on = candidates(rows).select("host", "token", "title").distinct().groupBy("host", "token").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    return on.join(host_sizes(rows), "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "token").union(pooled(rows))
+
+
+SCANNED = ["host", "tokens", "links", "base", "words", "under", "places"]
+
+
+def scanned(rows: DataFrame, repeated: DataFrame, columns: list[str], handle: Callable, schema: str, kinds: tuple) -> DataFrame:
+    """The scan over page rows, given the repeated (host, token); ``handle(keep, *columns)`` gives a page's row of the result, or None.
+
+    Up to ``BROADCAST_TOKENS`` repeated tokens go to the workers, so that page rows never move; more of them are joined to the pages."""
+    repeated = cut(repeated.distinct(), "repeated")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    small = repeated.count() <= BROADCAST_TOKENS
+    if small:
+        table: dict[int, set[int]] = defaultdict(set)
+        for r in repeated.collect():  # at most BROADCAST_TOKENS pairs of numbers
+            table[r["host"]].add(r["token"])
+        shipped = rows.sparkSession.sparkContext.broadcast(dict(table))
+        ready = rows.select(*SCANNED, *columns)
+    else:
+        of_page = F.filter(F.array_distinct(F.concat("tokens", "links")), lambda x: x != 0)
+        hits = rows.select("key", "host", F.explode(of_page).alias("token")).join(repeated, ["host", "token"], "left_semi")
+        hits = hits.groupBy("key").agg(F.collect_set("token").alias("repeated"))  # at most a page's own tokens
+        ready = rows.join(hits, "key", "left").select(*SCANNED, "repeated", *columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights()
+        nothing: set[int] = set()
+        for batch in batches:
+            host, tokens, links, base, words, under, places, *more = (c.to_pylist() for c in batch.columns)
+            known = [shipped.value.get(h, nothing) for h in host] if small else [set(x or ()) for x in more.pop(0)]
+            out = []
+            for t, link, v, k, u, p, r, *x in zip(tokens, links, base, words, under, places, known, *more):
+                row = handle(best_segments(w.values(v, k, t, link, u, p, r)), *x)
+                if row is not None:
+                    out.append(row)
+            values = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, kinds)], names=names)
 
-SCANNED = ["tokens", "links", "base", "words", "under", "places", "repeated"]
+    return ready.mapInArrow(run, schema)
 
 
 def joined(parts: list[list[dict]], codes: list[list[int]]) -> str:
@@ -414,24 +447,15 @@ def joined(parts: list[list[dict]], codes: list[list[int]]) -> str:
 def bodies(pages: DataFrame, texts: bool = True) -> DataFrame:
     """(page_id, blocks, main_text) of every page that has a main body; without texts ``main_text`` is null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights()
-        for batch in batches:
-            out = []
-            ids, codes, *rest = (c.to_pylist() for c in batch.columns)
-            parts = rest.pop() if texts else codes
-            for page, held, unit, keep in zip(ids, codes, parts, scan(rest, w)):
-                if any(keep):
-                    kept = [k for k, good in enumerate(keep) if good]
-                    text = joined([unit[k] for k in kept], [held[k] for k in kept]) if texts else None
-                    out.append((page, sorted({b >> 2 for k in kept for b in held[k]}), text))
-            columns = list(zip(*out)) if out else [[]] * 3
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "blocks", "main_text"])
+    def handle(keep: list[bool], page: int, codes: list[list[int]], parts: list | None = None) -> tuple | None:
+        kept = [k for k, good in enumerate(keep) if good]
+        text = joined([parts[k] for k in kept], [codes[k] for k in kept]) if parts is not None else None
+        return (page, sorted({b >> 2 for k in kept for b in codes[k]}), text) if kept else None
 
     rows = cut(page_rows(pages, texts), "pages")
-    ready = with_repeated(rows, repeated_of(rows)).select("page_id", "blocks", *SCANNED, *(["parts"] if texts else []))
-    return ready.mapInArrow(run, "page_id bigint, blocks array<bigint>, main_text string")
+    columns = ["page_id", "blocks", *(["parts"] if texts else [])]
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.string())
+    return scanned(rows, repeated_on_hosts(rows), columns, handle, "page_id bigint, blocks array<bigint>, main_text string", kinds)
 
 
 def found(pages: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def test_labelled_pages_are_learned():
     for site in main_body.SITES:
         marked = []
         for text in site:
-            nodes, _ = read(main_body._KEPT.sub(lambda m: main_body._TEXT.sub(r">¤\1<", m[0]), text).replace("{{", "").replace("}}", ""))
+            nodes, _ = read(main_body._KEPT.sub(lambda m: main_body._TEXT.sub(r">¤\1<", m[0]), text).replace("{{", "").replace("}}", ""), main_body.names_say)
             marks = [n.text.startswith("¤") for n in nodes]
             for n in nodes:
                 n.text = n.text.lstrip("¤")
@@ -196,12 +196,20 @@ def test_the_scan_decides_and_wording_does_not(spark):
     rows = [(k, f"https://h.invalid/{k}", f"<html><body>{box}{text('abcdef'[k] * 4)}<p>Velu ram situ folka dren pasti.</p></body></html>") for k in range(6)]
     got = {(r["page_id"], r["block_no"]) for r in main_body.found(pages(spark, rows)).collect()}
     assert got == {(k, b) for k in range(6) for b in (4, 5, 9)}  # neither the boxes nor the last line
-    nodes, _ = read(rows[0][2])
+    nodes, _ = read(rows[0][2], main_body.names_say)
     us = main_body.units(nodes)[1]
     values = [main_body.weights().base(u) for u in us]
     assert all(main_body.best_segments(values, 1e9)[k] for k, u in enumerate(us) if 4 <= nodes[u.first].blocks[-1] <= 9)  # one segment would keep the island
 
 
+def test_many_repeated_tokens_are_joined(spark, monkeypatch):
+    body = lambda k: f"<h1>Lot {'abcdef'[k] * 3}</h1><p>About lot {'abcdef'[k] * 3} nothing is known yet.</p>"
+    rows = [(k, f"https://h.invalid/{k}", f"<html><body><p>Velu ram situ folka dren pasti.</p>{body(k)}<p>Zorb flim quast derra moli nanti.</p></body></html>") for k in range(6)]
+    few = sorted(map(tuple, main_body.found(pages(spark, rows)).collect()))
+    monkeypatch.setattr(main_body, "BROADCAST_TOKENS", 0)
+    assert sorted(map(tuple, main_body.found(pages(spark, rows)).collect())) == few == [(k, b) for k in range(6) for b in (2, 3)]
+
+
 def test_copies_are_not_repetition(spark):
     text = "<h1>Tide guide</h1><h2>Before you go</h2><p>Check the anchor and ask the keeper for the key.</p>"
     rows = [(k, f"https://h{k % 3}.invalid/{k}", page(text)) for k in range(30)]
