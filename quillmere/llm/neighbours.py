@@ -5,15 +5,17 @@ reranking of leaf candidates.
 
 * The trees are fitted on a sample of at most ``SAMPLE`` distinct vectors (chosen by the hash of
   their key); a node is split by the direction between two centroids of its sample, at the median.
-  Dense places get more splits, so leaves stay small whatever the distribution.  Every vector is
-  indexed: it belongs to one leaf of each tree.
+  Dense places get more splits.  Every vector is indexed: it belongs to one leaf of each tree.
+* A sample of fixed size can't split a growing table for ever: a leaf of more than ``INNER`` vectors is
+  split further by a tree of its own, fitted where its vectors lie, and each query searches the best
+  ``INNER_LEAVES`` parts of it, so that the work for a vector stays the same however many there are.
 * A query starts with the roots of all trees in one queue.  The best entry is taken, followed to its
   leaf, and the branches not taken enter the queue by the distance to their planes; this goes on
   until ``LEAVES`` leaves of the whole forest are found.  Batches of queries advance together.
 * One shuffle by leaf brings a leaf's vectors, in bytes a value, together with the queries that
-  reached it.  A leaf is handled in blocks of bounded size.  Within it every query keeps the
-  candidates whose approximate cosine isn't under ``min_cosine`` by more than the rounding, or, without
-  that, its best ones; only ids of candidates leave.
+  reached it.  A leaf is handled in blocks of bounded size.  Within it every query keeps its best
+  ``SPARE`` x k candidates by approximate cosine, with ``min_cosine`` only those that aren't under it by
+  more than the rounding; only ids of candidates leave.
 * Exact cosines of the distinct candidates rerank them.
 
 Equal vectors are one point of the index, whatever the number of their keys; at most k + 1 of these
@@ -21,8 +23,8 @@ keys stand as neighbours of others, the rest have the same neighbours, so a grou
 holds a third of all rows costs k rows a key and never meets in one task.
 
 Defined cases: null vectors, vectors of another length, all zero, with NaN, infinite or null values
-and null keys take no part; keys that are repeated count once (with different vectors: the greatest
-array); ties in cosine go to the smaller key; fewer than two valid keys give no rows.
+and null keys take no part; keys that are repeated count once (with different vectors: the one of the
+greatest hash; the others aren't neighbours of anything); ties in cosine go to the smaller key; fewer than two valid keys give no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ LEAF = 128
 BLOCK = 2048
 #: What rounding to bytes may change in a cosine of 64 values, with a margin.
 ROUNDING = 0.02
+#: Candidates of a query in a leaf, as a multiple of k.
+SPARE = 3
+#: Vectors of a leaf beyond which it is split further, the size of its parts, and how many of them a query searches.
+INNER, INNER_LEAF, INNER_LEAVES = 4096, 512, 4
 
 
 class Forest:
@@ -202,60 +208,80 @@ def postings(vectors: DataFrame, forest: Forest, width: int, leaves: int) -> Dat
     return vectors.select("id", "vector").mapInArrow(run, "leaf bigint, tag bigint, short binary")
 
 
-def _leaf_pairs(tags: np.ndarray, short: np.ndarray, k: int, min_cosine: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    own = tags & 1 == 1
-    ids, index = tags >> 1, tags[own] >> 1
-    x = short.astype(np.float32)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    y = x[own]
+def _best(ids: np.ndarray, x: np.ndarray, index: np.ndarray, y: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) ids of the best ``most`` candidates of each query, by the rows of x and y."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in range(0, len(ids), BLOCK):
         best_value, best_id = None, None
         for b in range(0, len(index), BLOCK):
             s = x[a : a + BLOCK] @ y[b : b + BLOCK].T
             s[ids[a : a + BLOCK, None] == index[None, b : b + BLOCK]] = -np.inf
-            if min_cosine is not None:
-                i, j = np.nonzero(s >= min_cosine - ROUNDING)
-                yield ids[a + i], index[b + j]
-                continue
             names = np.broadcast_to(index[b : b + BLOCK], s.shape)
+            keep = np.argpartition(-s, most - 1, 1)[:, :most] if s.shape[1] > most else None
+            if keep is not None:
+                s, names = np.take_along_axis(s, keep, 1), np.take_along_axis(names, keep, 1)
             if best_value is not None:
                 s, names = np.concatenate([best_value, s], 1), np.concatenate([best_id, names], 1)
-            most = min(2 * k, s.shape[1])
-            keep = np.argpartition(-s, most - 1, 1)[:, :most]
-            best_value, best_id = np.take_along_axis(s, keep, 1), np.take_along_axis(names, keep, 1)
+                if s.shape[1] > most:
+                    keep = np.argpartition(-s, most - 1, 1)[:, :most]
+                    s, names = np.take_along_axis(s, keep, 1), np.take_along_axis(names, keep, 1)
+            best_value, best_id = s, names
         if best_value is not None:
-            i, j = np.nonzero(best_value > -np.inf)
-            yield ids[a + i], best_id[i, j]
+            i, j = np.nonzero(best_value >= least)
+            left.append(ids[a + i])
+            right.append(best_id[i, j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _leaf_pairs(tags: np.ndarray, short: np.ndarray, k: int, min_cosine: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    own = tags & 1 == 1
+    ids, index = tags >> 1, tags[own] >> 1
+    least = -2.0 if min_cosine is None else min_cosine - ROUNDING
+    x = short.astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x[own]
+    if len(index) <= INNER:
+        yield _best(ids, x, index, y, SPARE * k, least)
+        return
+    inner = Forest.fit(y, len(y), 1, INNER_LEAF)
+    where = np.concatenate([inner.search(y[a : a + BLOCK], 1)[:, 0] for a in range(0, len(y), BLOCK)])
+    asked = np.concatenate([inner.search(x[a : a + BLOCK], INNER_LEAVES) for a in range(0, len(x), BLOCK)])
+    row, turn = np.nonzero(asked)
+    part = asked[row, turn]
+    order, there = np.argsort(part, kind="stable"), np.argsort(where, kind="stable")
+    row, part = row[order], part[order]
+    names, first = np.unique(where[there], return_index=True)
+    ends = np.append(first[1:], len(there))
+    for name, a, b in zip(names, first, ends):
+        q = row[np.searchsorted(part, name) : np.searchsorted(part, name, side="right")]
+        yield _best(ids[q], x[q], index[there[a:b]], y[there[a:b]], SPARE * k, least)
 
 
 def candidates(posted: DataFrame, width: int, k: int, min_cosine: float | None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that meet in a leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple | None = None
-
         def handle(leaf: np.ndarray, tags: np.ndarray, short: np.ndarray) -> Iterator[pa.RecordBatch]:
             edges = np.concatenate([[0], np.flatnonzero(np.diff(leaf)) + 1, [len(leaf)]])
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for p, q in zip(edges[:-1], edges[1:]):
                 for x, y in _leaf_pairs(tags[p:q], short[p:q], k, min_cosine):
-                    left.append(np.minimum(x, y))
-                    right.append(np.maximum(x, y))
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        rest: list[tuple] = []  # of the last leaf, which may go on in the next batch
         for batch in batches:
             now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), width, np.int8))
-            if rest is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(rest, now))
             if not len(now[0]):
                 continue
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last leaf may go on in the next batch
-            if last:
-                yield from handle(*(x[:last] for x in now))
-            rest = tuple(x[last:] for x in now)
-        if rest is not None and len(rest[0]):
-            yield from handle(*rest)
+            if rest and rest[-1][0][-1] == now[0][-1]:
+                rest.append(now)
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if rest or last:
+                yield from handle(*(np.concatenate(x) for x in zip(*rest, tuple(x[:last] for x in now))))
+            rest = [tuple(x[last:] for x in now)]
+        if rest:
+            yield from handle(*(np.concatenate(x) for x in zip(*rest)))
 
     spread = posted.repartition(partitions(posted), "leaf").sortWithinPartitions("leaf")
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -294,7 +320,8 @@ def neighbours(
     valid = points(cache, key_col, vector_col, width)
     keys = cut(valid.groupBy("key").agg(F.max("code").alias("code")), "keys")
     vectors = cut(
-        valid.groupBy("code").agg(F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()), "vectors"
+        valid.groupBy("code").agg(F.first("vector").alias("vector")).join(keys.select("code"), "code", "left_semi").withColumn("id", F.monotonically_increasing_id()),
+        "vectors",
     )
     total = vectors.count()
     # the code is a hash, so its first byte picks rows at random before the few that remain are ordered

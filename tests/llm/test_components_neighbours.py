@@ -103,3 +103,35 @@ def test_invalid_vectors_copies_and_ties(spark):
     assert got == want
     assert neighbours.found(table(spark, bad)).count() == 0
     assert neighbours.found(table(spark, [])).count() == 0
+
+
+def test_a_key_with_several_vectors_loses_no_neighbour(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=64)
+    near = lambda: [float(x) for x in base + 0.01 * rng.normal(size=64)]
+    rows = [("k000", near()) for _ in range(8)] + [(f"n{j}", near()) for j in range(4)] + [("a", near()), ("a", near())]
+    got = neighbours.neighbours(table(spark, rows), 3).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in got} == {k: 3 for k in ("k000", "a", "n0", "n1", "n2", "n3")}
+
+
+def test_dense_vectors_give_few_candidates():
+    rng = np.random.default_rng(9)
+    n = neighbours.INNER + 2000
+    x = rng.normal(size=64) + 0.02 * rng.normal(size=(n, 64))
+    short = np.rint(x * (127 / np.abs(x).max(1))[:, None]).astype(np.int8)
+    for tags in (np.arange(n) * 2 + 1, np.arange(n) * 2 + (np.arange(n) % 3 > 0)):
+        pairs = np.concatenate([np.stack(p) for p in neighbours._leaf_pairs(tags, short, 5, 0.9)], 1)
+        most = neighbours.INNER_LEAVES * neighbours.SPARE * 5
+        assert pairs.shape[1] <= most * n and (pairs[0] != pairs[1]).all()
+        assert set(np.unique(pairs[0])) == set(range(n)) and set(pairs[1]) <= set((tags >> 1)[tags % 2 == 1])
+
+
+def test_best_against_all_cosines():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(5000, 16)).astype(np.float32)
+    ids = np.arange(5000)
+    a, b = neighbours._best(ids[::50], x[::50], ids, x, 4, -np.inf)
+    s = x[::50] @ x.T
+    s[np.arange(100), ids[::50]] = -np.inf
+    want = {(i * 50, int(j)) for i in range(100) for j in np.argsort(-s[i])[:4]}
+    assert set(zip(a.tolist(), b.tolist())) == want
