@@ -85,7 +85,7 @@ def test_leaks(spark):
     rows = leak_rows()
     docs = documents(spark, [(i, t, None) for i, t, _ in rows] + [(1, rows[0][1], None)])
     got = sorted(map(tuple, leaks.found(docs, items).collect()))
-    assert got == sorted((i, k) for i, _, leaked in rows if leaked for k in (1, 4))
+    assert got == sorted([(i, k) for i, _, leaked in rows if leaked for k in (1, 4)] + [(5, 3)])  # one of two words is half of them
     assert leaks.found(docs, items.limit(0)).count() == 0 and leaks.found(documents(spark, []), items).count() == 0
 
 
@@ -93,7 +93,51 @@ def test_common_subsequence():
     seeds = leaks.Seeds([(1, "a b c d e f g h i j")])
     known = seeds.table
     for text, n in (("a b c d e f g h i j", 10), ("j i h", 1), ("a x c x e", 3), ("q", 0)):
-        assert seeds.common(0, [known.get(w, 0) for w in text.split()]) == n
+        assert leaks.common(seeds.bits[0], 10, [known.get(w, 0) for w in text.split()]) == n
+
+
+def edited(r, w, kind):
+    """An item's words, quoted in half and more, with changed words, with an insertion, or whole."""
+    n = len(w)
+    if kind == "half":
+        m = (n + 1) // 2
+        at = r.randint(0, n - m)
+        return w[at : at + m]
+    if kind == "changed":
+        return ["zzz" if k % 4 == 3 else x for k, x in enumerate(w)]
+    if kind == "inserted":
+        at = r.randint(0, n)
+        return w[:at] + ["one", "more", "remark"][: max(1, min(3, n // 3))] + w[at:]
+    return w
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_leaks_of_every_length(spark, monkeypatch, many):
+    r = random.Random(4)
+    items = {n: [f"w{r.randint(0, 400)}" for _ in range(n)] for n in range(1, 41)}
+    fill = lambda n: [f"f{r.randint(0, 99)}" for _ in range(n)]
+    docs, planted = [], set()
+    for n, w in items.items():
+        for kind in ("half", "changed", "inserted", "whole"):
+            docs.append((len(docs), " ".join(fill(30) + edited(r, w, kind) + fill(30)), None))
+            planted.add((len(docs) - 1, n))
+    if many:
+        monkeypatch.setattr(leaks, "FEW_WORDS", 0)
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, passage string")
+    got = {tuple(x) for x in leaks.found(documents(spark, docs), table).collect()}
+    ids = {}
+    of = lambda ws: [ids.setdefault(x, len(ids) + 1) for x in ws]
+    words = {i: of(t.split()) for i, t, _ in docs}
+
+    def brute(i, n, slack):
+        bits, text = leaks.bits_of(of(items[n])), words[i]
+        return any(2 * leaks.common(bits, n, text[k : k + n + slack]) >= n for k in range(len(text)))
+
+    tight = {(i, n) for i in words for n in items if brute(i, n, min(n, leaks.PLACE))}
+    loose = {(i, n) for i in words for n in items if brute(i, n, 2 * leaks.PLACE + 4)}
+    assert planted <= tight
+    assert {x for x in tight if x[1] < leaks.SHORT} <= got <= loose  # exact for short items
+    assert len(got & tight) >= 0.99 * len(tight) and len(got & planted) >= 0.99 * len(planted)
 
 
 # ---- languages ----
