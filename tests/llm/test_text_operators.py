@@ -423,6 +423,46 @@ def test_subjects(spark):
     assert subjects.found(t.limit(0), lines.limit(0), labels.limit(0), areas.limit(0)).count() == 0
 
 
+def test_only_pairs_of_terms_tell_the_class(spark):
+    r = random.Random(7)
+    pairs = {"sea": [("copper", "lamp"), ("silver", "chair")], "sky": [("copper", "chair"), ("silver", "lamp")]}
+    names = "Ann Bob Cid Dan Eve Fay Gus Hal".split()
+    say = lambda s: "{0} saw the {1} thing and then a {2} with {3}.".format(r.choice(names), *r.choice(pairs[s]), r.choice(names))
+    lines = [(s, False, subjects.terms(say(s))) for s in ("sea", "sky") for _ in range(150)]
+    rules = subjects.mine(spark.createDataFrame(lines, "class string, held boolean, items array<string>"), 6)
+    bodies = {(frozenset(b), s) for b, s, _, _ in rules}
+    assert all((frozenset(p), s) in bodies for s, x in pairs.items() for p in x)
+    assert all(len(b) == subjects.MAX_TERMS for b, _, c, n in rules if {"copper", "silver", "lamp", "chair"} & set(b))
+    areas = spark.createDataFrame([("sea", "none"), ("sky", "nothing")], "subject string, gloss string")
+    content = lambda s: "# Notes\n" + "\n\n".join(say(s) for _ in range(12))
+    kinds = ["sea", "sky"] * 60
+    files = spark.createDataFrame([(k, content(s), None) for k, s in enumerate(kinds)], "file_id long, content string, ingested_at timestamp")
+    labels = spark.createDataFrame([(k, s) for k, s in enumerate(kinds) if k < 60], "file_id long, subject string")
+    said = spark.createDataFrame([], "file_id long, extracted_categories string")
+    got = {(x["file_id"], x["subject"]) for x in subjects.found(files, said, labels, areas).collect()}
+    assert len(got & set(enumerate(kinds))) >= 115 and len(got) <= 125
+
+
+def test_rules_against_brute_force(spark):
+    r = random.Random(3)
+    lines = [(r.choice("AB"), [x for x in "abcdef" if r.random() < 0.5]) for _ in range(120)]
+    got = {(b, s): (c, n) for b, s, c, n in subjects.mine(spark.createDataFrame(lines, "class string, items array<string>"), 6)}
+    import itertools
+
+    conf, want = {}, {}
+    for size in (1, 2):
+        for body in itertools.combinations("abcdef", size):
+            on = [c for c, x in lines if set(body) <= set(x)]
+            for s in "AB":
+                conf[body, s] = on.count(s) / len(on) if on else 0
+                if len(on) < 6 or conf[body, s] < subjects.MIN_CONFIDENCE:
+                    continue
+                smooth = (on.count(s) + 1) / (len(on) + 2)
+                if size == 1 or all(smooth >= conf[(x,), s] + subjects.GAIN for x in body):
+                    want[body, s] = (conf[body, s], len(on))
+    assert got == want
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "Categories: 1. Law Office, 2. None found"), (2, "None"), (3, "Categories:\n- A-B\n- C"), (4, " CATEGORIES : x / y, etc."), (None, "q")], "file_id long, extracted_categories string")
     assert sorted(map(tuple, subjects.phrases(df).collect())) == [(1, "law office"), (1, "none found"), (3, "a-b"), (3, "c"), (4, "x"), (4, "y")]
