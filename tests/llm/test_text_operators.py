@@ -457,8 +457,8 @@ def test_rules_against_brute_force(spark):
                 conf[body, s] = on.count(s) / len(on) if on else 0
                 if len(on) < 6 or conf[body, s] < subjects.MIN_CONFIDENCE:
                     continue
-                smooth = (on.count(s) + 1) / (len(on) + 2)
-                if size == 1 or all(smooth >= conf[(x,), s] + subjects.GAIN for x in body):
+                worth = lambda part: subjects.gains(on.count(s), len(on), part)  # noqa: B023, E731
+                if size == 1 or all(worth(conf[(x,), s]) for x in body):
                     want[body, s] = (conf[body, s], len(on))
     assert got == want
 
