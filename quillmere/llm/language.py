@@ -22,7 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,24 +154,30 @@ class Model:
     least: float
 
     def __post_init__(self) -> None:
-        self.words: dict[str, tuple[np.ndarray, int]] = {}
-
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        known = self.words.get(w)
-        if known is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            ids = subwords(w)
-            known = self.words[w] = (self.scores[ids].sum(0, dtype=np.float64), len(ids))
-        return known
+        self.index: dict[str, int] = {}
+        self.vectors = np.zeros((CACHED_WORDS, len(LANGUAGES)))
+        self.sizes = np.zeros(CACHED_WORDS, np.int64)
+
+    def _add(self, w: str) -> int:
+        """The place of a new word in the table."""
+        k = len(self.index)
+        ids = subwords(w)
+        self.vectors[k] = self.scores[ids].sum(0, dtype=np.float64)
+        self.sizes[k] = len(ids)
+        self.index[w] = k
+        return k
 
     def classify(self, words: list[str]) -> tuple[int, float]:
         """Language and probability."""
         total, n = np.zeros(len(LANGUAGES)), 0
-        for w in words:
-            v, k = self.word(w)
-            total += v
-            n += k
+        for at in range(0, len(words), CACHED_WORDS // 2):
+            part = words[at : at + CACHED_WORDS // 2]
+            if len(self.index) + len(part) > CACHED_WORDS:
+                self.index.clear()
+            get, add = self.index.get, self._add
+            rows = [k if (k := get(w)) is not None else add(w) for w in part]
+            total += self.vectors[rows].sum(0)
+            n += int(self.sizes[rows].sum())
         z = (total / max(n, 1) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -202,9 +208,11 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, rng: np.random.Generato
             seen_o += grad**2
             out -= rate * grad / np.sqrt(seen_o)
             bias -= 0.1 * p.sum(0)
-            unique, where = np.unique(ids, return_inverse=True)
-            push = np.zeros((len(unique), DIMENSIONS), np.float32)
-            np.add.at(push, where, np.repeat(back, sizes, axis=0).astype(np.float32))
+            order_ = np.argsort(ids, kind="stable")
+            sorted_ = ids[order_]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1])
+            unique = sorted_[first]
+            push = np.add.reduceat(back.astype(np.float32)[np.repeat(np.arange(len(pick)), sizes)[order_]], first, axis=0)
             seen_e[unique] += (push**2).mean(1, keepdims=True)
             emb[unique] -= rate * push / np.sqrt(seen_e[unique])
     return emb @ out, bias
@@ -271,63 +279,65 @@ def sample(documents: DataFrame) -> list[tuple[str, str]]:
 SEGMENTS = "doc_id bigint, seg_no bigint, lang string, confidence double, label string, chars bigint"
 
 
-def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence, label, chars): segment 0 is the document, k >= 1 a paragraph with running text."""
+def parts_of(m: Model, text: str) -> tuple[int, float, int, list[tuple[int, int, float, int]]] | None:
+    """(language, confidence, characters, paragraphs) of a text, with (number, language, confidence, characters) of each paragraph."""
+    parts, sums = [], np.zeros(len(LANGUAGES))
+    every: list[str] = []
+    for number, words, chars in paragraphs(text):
+        every += words
+        if enough(words):
+            k, p = m.classify(words)
+            if p >= m.least:
+                sums[k] += chars
+                parts.append((number, k, p, chars))
+    if parts:
+        best = int(sums.argmax())
+        return best, sum(p * c for _, k, p, c in parts if k == best) / sums[best], int(sums.sum()), parts
+    if enough(every):  # only very short paragraphs
+        k, p = m.classify(every)
+        if p >= m.least:
+            return k, p, sum(map(len, every)), []
+    return None
+
+
+def _classified(documents: DataFrame, handle: Callable, schema: str, kinds: tuple) -> DataFrame:
+    """The rows that ``handle(doc_id, label, main language, confidence, characters, paragraphs)`` gives for each document with a language."""
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = fit(sample(documents))
     shipped = spark.sparkContext.broadcast((model.scores, model.bias, model.temperature, model.least))  # of fixed size
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shipped.value)
         for batch in batches:
             out: list[tuple] = []
             for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text:
-                    continue
-                parts, sums = [], np.zeros(len(LANGUAGES))
-                every: list[str] = []
-                for number, words, chars in paragraphs(text):
-                    every += words
-                    if not enough(words):
-                        continue
-                    k, p = m.classify(words)
-                    if p >= m.least:
-                        sums[k] += chars
-                        parts.append((doc, number, LANGUAGES[k], p, label, chars))
-                if not parts and enough(every):  # only very short paragraphs
-                    k, p = m.classify(every)
-                    if p >= m.least:
-                        sums[k] = sum(map(len, every))
-                        parts.append((doc, 0, LANGUAGES[k], p, label, int(sums[k])))
-                        out += parts
-                elif parts:
-                    k = int(sums.argmax())
-                    sure = sum(p * c for _, _, lang, p, _, c in parts if lang == LANGUAGES[k]) / sums[k]
-                    out.append((doc, 0, LANGUAGES[k], sure, label, int(sums.sum())))
-                    out += parts
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "seg_no", "lang", "confidence", "label", "chars"]
-            )
+                if text and (got := parts_of(m, text)):
+                    out += handle(doc, label, *got)
+            columns = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     rows = documents.where(F.length("text") > 0).select("doc_id", label_of(F.col("lang")).alias("label"), "text")
-    return rows.mapInArrow(run, SEGMENTS)
+    return rows.mapInArrow(run, schema)
+
+
+def segments(documents: DataFrame) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, label, chars): segment 0 is the document, k >= 1 a paragraph with running text."""
+
+    def handle(doc: int, label: str, main: int, sure: float, chars: int, parts: list) -> list[tuple]:
+        return [(doc, 0, LANGUAGES[main], sure, label, chars), *((doc, n, LANGUAGES[k], p, label, c) for n, k, p, c in parts)]
+
+    return _classified(documents, handle, SEGMENTS, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64()))
 
 
 def found(documents: DataFrame) -> DataFrame:
     """The documents of at least 60 characters whose label is missing or wrong, and the paragraphs in another language than the main one."""
-    long = documents.where(F.length("text") >= MIN_CHARS)
-    got = segments(long)
-    # segments of a document come from one row, so the main language is carried instead of joined
-    whole = got.groupBy("doc_id").agg(
-        F.first(F.when(F.col("seg_no") == 0, F.col("lang")), ignorenulls=True).alias("main"),
-        F.first("label").alias("label"),
-        F.collect_set(F.when(F.col("seg_no") > 0, F.struct("seg_no", "lang"))).alias("parts"),
-    )
-    zero = F.when(
-        F.col("label").isNull() | (F.col("label") != F.col("main")), F.array(F.struct(F.lit(0).cast("long").alias("seg_no"), F.col("main").alias("lang")))
-    ).otherwise(F.array().cast("array<struct<seg_no:bigint,lang:string>>"))
-    other = F.filter("parts", lambda x: x["lang"] != F.col("main"))
-    return whole.select("doc_id", F.inline(F.concat(zero, other)))
+
+    def handle(doc: int | None, label: str | None, main: int, sure: float, chars: int, parts: list) -> list[tuple]:
+        whole = [(doc, 0, LANGUAGES[main])] if label != LANGUAGES[main] else []
+        return whole + [(doc, n, LANGUAGES[k]) for n, k, _, _ in parts if k != main]
+
+    long = documents.where((F.length("text") >= MIN_CHARS) & F.col("doc_id").isNotNull())
+    # a document is one row, so nothing but its result moves; the sample is of all labelled rows of that length
+    return _classified(long, handle, "doc_id bigint, seg_no bigint, lang string", (pa.int64(), pa.int64(), pa.string())).distinct()
