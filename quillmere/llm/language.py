@@ -208,7 +208,7 @@ def _descend(bags: list[np.ndarray], labels: np.ndarray, rng: np.random.Generato
             seen_o += grad**2
             out -= rate * grad / np.sqrt(seen_o)
             bias -= 0.1 * p.sum(0)
-            order_ = np.argsort(ids, kind="stable")
+            order_ = np.argsort(ids.astype(np.uint16), kind="stable")  # there are 2^16 buckets
             sorted_ = ids[order_]
             first = np.concatenate([[0], np.flatnonzero(np.diff(sorted_)) + 1])
             unique = sorted_[first]
@@ -230,7 +230,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         texts += [(LANGUAGES.index(lang), w) for _, w, _ in paragraphs(text) if len(w) >= 6]
     own = [(k, running_words(s)) for k, lang in enumerate(LANGUAGES) for s in BUILT_IN[lang].split(". ")]
     table: dict[str, list[int]] = {}
-    bag = lambda ws: np.array([i for w in ws for i in table.setdefault(w, subwords(w))], np.int64)
+
+    def bag(ws: list[str]) -> np.ndarray:
+        for w in ws:
+            if w not in table:
+                table[w] = subwords(w)
+        return np.array([i for w in ws for i in table[w]], np.int64)
+
     own_bags, own_y = [bag(w) for _, w in own] * 3, np.array([k for k, _ in own] * 3)
     bags, y = [bag(w) for _, w in texts], np.array([k for k, _ in texts], np.int64)
     held = rng.random(len(bags)) < 0.2
