@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,8 +20,13 @@ def estimated(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-def exact(spark: SparkSession, ranks: str, pattern: str) -> Callable[[Column], Column]:
-    """A counter by a rank file; special tokens' strings are ordinary text."""
+#: Place of the rank file that ``exact`` reads if none is given, and how it divides a text before merging (a fixed value of that vocabulary).
+RANKS = os.environ.get("QUILLMERE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def exact(spark: SparkSession, ranks: str = RANKS, pattern: str = PATTERN) -> Callable[[Column], Column]:
+    """A counter by a public rank file, in Arrow batches; special tokens' strings are ordinary text."""
     shipped = spark.sparkContext.broadcast(open(ranks, "rb").read())
     made: dict[int, object] = {}
 

@@ -16,6 +16,24 @@ from quillmere.schemas import COLLECTION
 
 #: Query vectors a broadcast holds; more queries are answered block by block.
 QUERY_BLOCK = 8192
+#: Queries and vectors whose distances are held at once.
+SUB_BLOCK = 1024
+
+
+def _few_nearest(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the k nearest of each query, ties by place; the vectors are handled in blocks."""
+    row, col, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for b in range(0, len(x), SUB_BLOCK):
+        distance = 1 - q @ x[b : b + SUB_BLOCK].T
+        least = np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if distance.shape[1] > k else np.full((len(q), 1), np.inf)
+        r, c = np.nonzero(distance <= least)
+        row, col, value = np.concatenate([row, r]), np.concatenate([col, c + b]), np.concatenate([value, distance[r, c]])
+        order = np.lexsort((col, value, row))
+        row, col, value = row[order], col[order], value[order]
+        first = np.searchsorted(row, row)  # rows are sorted, so this is where each query begins
+        keep = np.arange(len(row)) - first < k
+        row, col, value = row[keep], col[keep], value[keep]
+    return row, col, value
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -39,12 +57,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
                 if not len(ids) or not len(names):
                     continue
                 order = np.argsort(ids, kind="stable")
-                ids, distance = ids[order], 1 - q @ x[order].T
-                best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                found = pa.array([n for n in names for _ in range(best.shape[1])])
-                yield pa.RecordBatch.from_arrays(
-                    [found, pa.array(ids[best].ravel()), pa.array(np.take_along_axis(distance, best, 1).ravel())], names=["query_id", "id", "distance"]
-                )
+                ids, x = ids[order], x[order]
+                for a in range(0, len(names), SUB_BLOCK):
+                    row, col, value = _few_nearest(q[a : a + SUB_BLOCK], x, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[a + r] for r in row.tolist()]), pa.array(ids[col]), pa.array(value)], names=["query_id", "id", "distance"]
+                    )
 
         answer = rows.mapInArrow(run, f"query_id {kind}, id {id_kind}, distance double")
         every = answer if every is None else every.union(answer)
@@ -62,14 +80,12 @@ def numbered(documents: DataFrame, start: int) -> DataFrame:
     """(id, document) with the ids doc{start + 1}, doc{start + 2} and so on, without moving the rows."""
     rows = cut(documents.select("document", F.monotonically_increasing_id().alias("place")), "numbered")
     part = F.shiftright("place", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a partition
-    before, total = {}, start
-    for r in sizes:
-        before[r["part"]] = total
-        total += r["n"]
-    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[part] if before else F.lit(start)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + start).alias("offset"))
     in_part = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.select(F.concat(F.lit("doc"), (offset + in_part + 1).cast("string")).alias("id"), "document")
+    with_offset = rows.withColumn("part", part).join(offsets, "part")
+    return with_offset.select(F.concat(F.lit("doc"), (F.col("offset") + in_part + 1).cast("string")).alias("id"), "document")
 
 
 class Collection:

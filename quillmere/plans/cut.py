@@ -1,12 +1,15 @@
 """Lineage cuts that survive the loss of an executor.
 
 Iterative operators write their intermediate tables as Parquet into the shared folder named by
-``spark.checkpoint.dir``; every executor can read them again.  Where the setting is missing (tests
-in local mode) a temporary folder is used and the setting is put into the session.
+``spark.checkpoint.dir``; every executor can read them again.  Where the setting is missing, a local
+session (tests) gets a temporary folder, which is removed at the end; on a cluster that is an error,
+as its executors share no machine's folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder."""
     place = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="quillmere-")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{KEY} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillmere-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = "file://" + folder
         spark.conf.set(KEY, place)
     return place.rstrip("/")
 

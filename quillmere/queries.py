@@ -96,17 +96,29 @@ _TIER = f"CASE WHEN {_N} <= 3500 THEN 'short' WHEN {_N} < 15000 THEN 'medium' WH
 _MODEL = f"CASE WHEN {_N} <= 3500 THEN 'gpt-3.5-turbo-1106' WHEN {_N} < 15000 THEN 'gpt-3.5-turbo-16k' END"
 
 
-def tier_counts(s: SparkSession, d: str) -> DataFrame:
+def _exact(s: SparkSession) -> Callable[[Column], Column]:
+    return tokens.exact(s)
+
+
+def _estimated(s: SparkSession) -> Callable[[Column], Column]:
+    return tokens.estimated
+
+
+def _counted(name: str, change: Callable[[Column], Column], counter: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: table(s, d, "documents").select("doc_id", counter(s)(F.col("text")).alias("n")).select("doc_id", change(F.col("n")).alias(name))
+
+
+def tier_counts(s: SparkSession, d: str, counter: Callable = _exact) -> DataFrame:
     """Flagship: clean the files, count tokens, sort into length tiers."""
-    n = tokens.estimated(markdown.clean(F.col("content")))
+    n = counter(s)(markdown.clean(F.col("content")))
     rows = table(s, d, "md_files").select(n.alias("n")).select("n", tokens.tier(F.col("n")).alias("tier"))
     return rows.where("n is not null").groupBy("tier").agg(F.count("*").alias("files"), F.sum("n").alias("n_tokens"))
 
 
-def embed_plan(s: SparkSession, d: str) -> DataFrame:
+def embed_plan(s: SparkSession, d: str, counter: Callable = _exact) -> DataFrame:
     files = table(s, d, "md_files").select("file_id", "content", cache.checksum(F.col("content")).alias("checksum"))
     known = cache.hits(files, table(s, d, "embedding_cache"))
-    n = tokens.estimated(markdown.prepare(F.col("content")))
+    n = counter(s)(markdown.prepare(F.col("content")))
     return known.where("content is not null").select("file_id", "checksum", n.alias("n_tokens"), "cached").withColumn(
         "action", tokens.embed_action(F.col("cached"), F.col("n_tokens"))
     )
@@ -196,10 +208,10 @@ def category_distinct(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def chat_messages(s: SparkSession, d: str) -> DataFrame:
+def chat_messages(s: SparkSession, d: str, counter: Callable = _exact) -> DataFrame:
     prepared = markdown.prepare(F.col("content"))
     rows = table(s, d, "md_files").where("content is not null").select("file_id", prepared.alias("p"))
-    rows = rows.withColumn("n", tokens.estimated(F.col("p"))).withColumn("model", tokens.chat_model(F.col("n")))
+    rows = rows.withColumn("n", counter(s)(F.col("p"))).withColumn("model", tokens.chat_model(F.col("n")))
     rows = rows.withColumn("messages", categories.messages(F.when(F.col("file_id") % 2 == 0, categories.SYSTEM).otherwise(""), categories.user_message(F.col("p"))))
     return rows.select(
         "file_id", "model", F.size("messages").cast("long").alias("n_messages"), F.col("messages")[0]["role"].alias("first_role"), F.element_at("messages", -1)["content"].alias("user")
@@ -264,9 +276,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "md_clean": _md(markdown.clean),
         "md_preprocess": _md(markdown.prepare),
         "doc_checksum": _doc("checksum", lambda: cache.checksum(F.col("text"))),
-        "doc_tokens": _doc("n_tokens", lambda: tokens.estimated(F.col("text"))),
-        "doc_tier": _doc("tier", lambda: tokens.tier(tokens.estimated(F.col("text")))),
-        "route_model": _doc("model", lambda: tokens.chat_model(tokens.estimated(F.col("text")))),
+        "doc_tokens": _counted("n_tokens", lambda n: n, _exact),
+        "doc_tier": _counted("tier", tokens.tier, _exact),
+        "route_model": _counted("model", tokens.chat_model, _exact),
+        # by the counter without vocabulary, which SQL has too
+        "tier_counts_estimated": lambda s, d: tier_counts(s, d, _estimated),
+        "doc_tokens_estimated": _counted("n_tokens", lambda n: n, _estimated),
+        "doc_tier_estimated": _counted("tier", tokens.tier, _estimated),
+        "route_model_estimated": _counted("model", tokens.chat_model, _estimated),
+        "embed_plan_estimated": lambda s, d: embed_plan(s, d, _estimated),
+        "chat_messages_estimated": lambda s, d: chat_messages(s, d, _estimated),
         "embed_plan": embed_plan,
         "cache_lookup": cache_lookup,
         "cache_upsert": cache_upsert,
@@ -320,7 +339,7 @@ _KNN_SQL = """(SELECT q.vec_id AS query_id, v.vec_id AS id, q.label AS wanted, v
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "tier_counts": f"""WITH n AS (SELECT CAST(ceil(length({_chain(_ABOVE, _ATTACH, _TRAIL, _FENCE, _BREAKS, _STRIP)}) / 4.0) AS BIGINT) AS n FROM md_files WHERE content IS NOT NULL)
+        "tier_counts_estimated": f"""WITH n AS (SELECT CAST(ceil(length({_chain(_ABOVE, _ATTACH, _TRAIL, _FENCE, _BREAKS, _STRIP)}) / 4.0) AS BIGINT) AS n FROM md_files WHERE content IS NOT NULL)
             SELECT CASE WHEN n <= 3500 THEN 'short' WHEN n < 15000 THEN 'medium' ELSE 'long' END AS tier, count(*) AS files, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY 1""",
         "md_above_header": _md_sql(_ABOVE),
         "md_attachments": _md_sql(_ATTACH),
@@ -330,10 +349,10 @@ def oracle_sql() -> dict[str, str]:
         "md_clean": _md_sql(_ABOVE, _ATTACH, _TRAIL, _FENCE, _BREAKS, _STRIP),
         "md_preprocess": _md_sql(_ATTACH, _TRAIL, _BREAKS, _IMAGES, _STRIP),
         "doc_checksum": "SELECT doc_id, sha256(text) AS checksum FROM documents",
-        "doc_tokens": f"SELECT doc_id, {_N} AS n_tokens FROM documents",
-        "doc_tier": f"SELECT doc_id, {_TIER} AS tier FROM documents",
-        "route_model": f"SELECT doc_id, {_MODEL} AS model FROM documents",
-        "embed_plan": f"""WITH f AS (SELECT file_id, sha256(content) AS checksum, CAST(ceil(length({_PREPARED}) / 4.0) AS BIGINT) AS n_tokens FROM md_files WHERE content IS NOT NULL),
+        "doc_tokens_estimated": f"SELECT doc_id, {_N} AS n_tokens FROM documents",
+        "doc_tier_estimated": f"SELECT doc_id, {_TIER} AS tier FROM documents",
+        "route_model_estimated": f"SELECT doc_id, {_MODEL} AS model FROM documents",
+        "embed_plan_estimated": f"""WITH f AS (SELECT file_id, sha256(content) AS checksum, CAST(ceil(length({_PREPARED}) / 4.0) AS BIGINT) AS n_tokens FROM md_files WHERE content IS NOT NULL),
             g AS (SELECT *, checksum IN (SELECT checksum FROM embedding_cache WHERE checksum IS NOT NULL) AS cached FROM f)
             SELECT *, CASE WHEN cached THEN 'reuse' WHEN n_tokens <= 8000 THEN 'embed' ELSE 'skip' END AS action FROM g""",
         "cache_lookup": """SELECT DISTINCT sha256(content) AS checksum, sha256(content) IN (SELECT checksum FROM embedding_cache WHERE checksum IS NOT NULL) AS cached
@@ -370,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
             regexp_extract_all('Filename: ' || filename || ' | ' || extracted_categories || chr(10), '\| Categories: (.+?)\n', 1), ', '), ', '))) AS c
             FROM category_lines WHERE filename IS NOT NULL AND extracted_categories IS NOT NULL)
             SELECT line_id, array_to_string(c, ', ') AS categories, CAST(len(c) AS BIGINT) AS n FROM t""",
-        "chat_messages": f"""WITH p AS (SELECT file_id, {_PREPARED} AS p FROM md_files WHERE content IS NOT NULL), n AS (SELECT *, CAST(ceil(length(p) / 4.0) AS BIGINT) AS n FROM p)
+        "chat_messages_estimated": f"""WITH p AS (SELECT file_id, {_PREPARED} AS p FROM md_files WHERE content IS NOT NULL), n AS (SELECT *, CAST(ceil(length(p) / 4.0) AS BIGINT) AS n FROM p)
             SELECT file_id, CASE WHEN n <= 3500 THEN 'gpt-3.5-turbo-1106' WHEN n < 15000 THEN 'gpt-3.5-turbo-16k' END AS model, CAST(CASE WHEN file_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_messages,
             CASE WHEN file_id % 2 = 0 THEN 'system' ELSE 'user' END AS first_role,
             'Name the categories of the following document. Answer as \"\"\"Categories: first, second\"\"\".' || chr(10) || '```markdown' || chr(10) || p || chr(10) || '```' AS "user" FROM n""",

@@ -118,3 +118,32 @@ def test_exact_counter(spark):
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     count = tokens.exact(spark, ranks, pattern)
     assert apply(spark, count, ["Hello world", "", None, "<|endoftext|>"]) == [2, 0, None, 7]
+
+
+def test_queries_count_like_the_library(spark):
+    import base64
+    import pathlib
+
+    import pytest
+
+    from quillmere import queries as Q
+
+    if not pathlib.Path(tokens.RANKS).exists() or not pathlib.Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no vocabulary or tables")
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokens.RANKS, "rb"))}
+    library = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=table, special_tokens={})
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {k: None if t is None else len(library.encode_ordinary(t)) for k, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in Q.queries()["doc_tokens"](spark, sf).collect()} == want
+    tier = lambda n: None if n is None else "short" if n <= 3500 else "medium" if n < 15000 else "long"
+    assert {r["doc_id"]: r["tier"] for r in Q.queries()["doc_tier"](spark, sf).collect()} == {k: tier(n) for k, n in want.items()}
+    cleaned = [r["result"] for r in Q.queries()["md_clean"](spark, sf).where("result is not null").collect()]
+    sums = {}
+    for t in cleaned:
+        n = len(library.encode_ordinary(t))
+        files, total = sums.get(tier(n), (0, 0))
+        sums[tier(n)] = (files + 1, total + n)
+    assert {r["tier"]: (r["files"], r["n_tokens"]) for r in Q.queries()["tier_counts"](spark, sf).collect()} == sums
