@@ -47,6 +47,10 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Known arcs that a worker keeps.
+KEPT_ARCS = 1_000_000
+
+
 class Automaton:
     """States after tokens, in the compact form that the gadgets leave behind."""
 
@@ -85,6 +89,8 @@ class Automaton:
         key = a * self.size + b
         known = self.arcs.get(key)
         if known is None:
+            if len(self.arcs) >= KEPT_ARCS:
+                self.arcs.clear()
             known = self.arcs[key] = self._walk(a, b)
         return known
 
