@@ -7,10 +7,10 @@ Method: class-association rules mined with parallel frequent-pattern growth.
   its class is the subject whose gloss terms its section names, or else the only label of its file.
 * Every term of at least ``MIN_SUPPORT`` lines takes part.  Terms are ordered by frequency; the lines of
   a term, with the more frequent terms in them, are its conditional base, and each base is grown by
-  itself, in parallel, up to bodies of ``MAX_TERMS`` terms.
-* A rule is redundant if its confidence, smoothed, isn't ``GAIN`` above that of each of its parts.  So a
-  term that is nearly sure by itself can't be in a longer rule and leaves the growth beforehand; terms that
-  tell nothing alone can tell a class together.  A fifth of the lines is held back and joins the counts
+  itself, in parallel, to bodies of any length.
+* A rule is redundant if its confidence, smoothed, isn't ``GAIN`` above that of each of its parts, all
+  shorter bodies in it.  The growth leaves out only what no such rule can hold (``least``, ``grow``); terms
+  that tell nothing alone can tell a class together.  A fifth of the lines is held back and joins the counts
   from which a rule's evidence, its smoothed log odds, is calibrated.
 * Every file is scored whole, by the evidence of the matching rules in each section.  Where two subjects
   have evidence enough, the section is divided into runs of sentences, each run one subject, so that the
@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 from math import log
 
 import numpy as np
@@ -44,7 +45,7 @@ TRAIN_FILES = 3000
 #: Of longer files nothing is learned; they are scored whole all the same.
 TRAIN_CHARS = 40_000
 MIN_SUPPORT = 6
-#: Terms of a rule.
+#: Terms of the rules that a test expects of lines told by pairs of words; the growth has no such bound.
 MAX_TERMS = 2
 #: Groups of conditional bases.
 BASES = 64
@@ -58,6 +59,10 @@ SHARE = 0.25
 CHANGE = 5.0
 MIN_WORDS = 30
 CLASS = "class:"
+#: More lines than any sample has.
+NEVER = 1 << 30
+#: Words of the bit sets that are made at once.
+BLOCK = 1 << 19
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -126,32 +131,144 @@ def lines_of(files: DataFrame, glosses: dict[str, str]) -> DataFrame:
 Rules = list[tuple[tuple[str, ...], str, float, int]]  # terms, class, confidence, support
 
 
-def grow(body: tuple[int, ...], classes: np.ndarray, owner: np.ndarray, items: np.ndarray, share: np.ndarray, support: float) -> Iterator[tuple]:
-    """Rules (body, class, lines of both, lines of the body) of the bodies that add terms to ``body``.
-
-    ``classes`` are those of the base's lines, ``items`` the terms in them, ``owner`` the line of each; ``share`` is the greatest
-    confidence of the parts known so far, by class."""
-    k = len(share)
-    names, where, n = np.unique(items, return_inverse=True, return_counts=True)
-    if not len(names):
-        return
-    counts = np.bincount(where * k + classes[owner], minlength=len(names) * k).reshape(-1, k)
-    for j in np.flatnonzero(n >= support):
-        more = (*body, int(names[j]))
-        yield more, counts[j], int(n[j])
-        sure = counts[j].max() / n[j]
-        if len(more) < MAX_TERMS and sure <= 1 - GAIN and n[j] >= 2 * support:
-            lines = np.zeros(len(classes), bool)
-            lines[owner[where == j]] = True
-            keep = lines[owner] & (items < names[j])  # each body once, its terms by falling frequency
-            yield from grow(more, classes, owner[keep], items[keep], share, support)
-
-
 def gains(k: np.ndarray | int, n: int, part: np.ndarray | float) -> np.ndarray | bool:
     """Whether k of n lines are worth a rule beside a part of that confidence."""
     return ((k + 1) / (n + 2) >= part + GAIN) & (k - n * part >= SURE * np.sqrt(n * part * (1 - part)))
 
 
+def least(part: np.ndarray, support: float) -> np.ndarray:
+    """Lines of a class that a body needs at least to be a rule, or a part of one, beside a part of that confidence: a rule gains most if
+    it has no other lines."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(part + GAIN < 1, (2 * (part + GAIN) - 1) / (1 - part - GAIN), NEVER)
+        sure = np.where(part < 1, SURE**2 * part / (1 - part), NEVER)
+    return np.ceil(np.clip(np.maximum(gain, sure), MIN_CONFIDENCE * support, NEVER) - 1e-6).astype(np.int32)
+
+
+def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, counts: np.ndarray, support: float) -> Iterator[tuple]:
+    """Rules (body, class, lines of both, lines of the body) of the bodies of any length whose rarest term is ``base``, by their parts
+    that are single or hold it.
+
+    ``classes`` are those of the base's lines, ``items`` the more frequent terms in them, ``owner`` the line of each; ``counts`` are the
+    lines of every term by class.  A body stays for a class while it has lines enough (``least``), all its parts stayed, and each of
+    its terms shuts out at least the square of SURE lines of other classes: with fewer, no rule that holds the body gains."""
+    here, of, sizes = np.unique(classes, return_inverse=True, return_counts=True)  # other classes can't have a rule
+    often = np.bincount(items, minlength=base) >= support
+    frequent = often[items]
+    owner, items, terms = owner[frequent], items[frequent], np.flatnonzero(often)
+    where = (np.cumsum(often) - 1)[items]
+    width, wide, apart = len(here), len(terms), SURE**2 - 1e-6
+
+    def told(k: np.ndarray, n: np.ndarray, part: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(k >= MIN_CONFIDENCE * n)
+        return at[gains(k[at], n[at], part[at])]
+
+    # bodies of two terms beside the terms alone; every row is a body and a class for which it stays, by class and last term
+    k = np.bincount(of[owner] * wide + where, minlength=width * wide)
+    n = np.tile(k.reshape(width, wide).sum(0), width)
+    one, every = counts[base, here].repeat(wide), counts[np.ix_(terms, here)].T.ravel()
+    of_one, of_every = counts[base].sum(), np.tile(counts[terms].sum(1), width)
+    part = np.maximum(one / of_one, every / np.maximum(1, of_every))
+    row = np.flatnonzero((k >= least(part, support)) & (np.minimum(of_one - one, of_every - every) - (n - k) >= apart))
+    k, n, part = k[row], n[row], part[row]
+    for j in told(k, n, part):
+        yield (base, int(terms[row[j] % wide])), int(here[row[j] // wide]), int(k[j]), int(n[j])
+    part = np.maximum(part, k / n)
+    low = least(part, support)
+    stay = np.flatnonzero(k >= low)
+    if len(stay) < 2:
+        return
+    row, k, n, part, low = row[stay], k[stay], n[stay], part[stay], low[stay]
+    # the lines of each body as bits, all of them and those of its class
+    used, at = np.unique(row % wide, return_inverse=True)
+    place = np.full(wide, -1)
+    place[used] = np.arange(len(used))
+    inside = np.flatnonzero(place[where] >= 0)
+    order = np.argsort(of, kind="stable")
+    nth = np.empty(len(of), np.int64)
+    nth[order] = np.arange(len(of))
+    flags = np.zeros((len(used), -(-len(of) // 64) * 64), bool)
+    flags[place[where[inside]], nth[owner[inside]]] = True
+    bits = np.packbits(flags, axis=1).view(np.uint64)[at]
+    cls = row // wide
+    own = np.zeros((len(row), -(-int(sizes.max()) // 64) * 64), bool)
+    for c, to in enumerate(np.cumsum(sizes)):
+        own[cls == c, : sizes[c]] = flags[at[cls == c], to - sizes[c] : to]
+    own = np.packbits(own, axis=1).view(np.uint64)
+    body = (row % wide)[:, None]  # positions in terms, by rising frequency
+    first = cls  # the row of the body without its last term, among the shorter ones
+    parts = cls[:, None]  # the rows of the body without each of its terms after the base
+    while len(body) > 1:
+        last, others, length = body[:, -1], n - k, body.shape[1]
+        keys = first * wide + last
+        begin = np.searchsorted(first, first)
+        pairs = np.arange(len(body)) - begin  # with the bodies that differ in a more frequent last term
+        total = np.cumsum(pairs)
+        edges = [0]
+        while edges[-1] < len(body):  # in blocks of bounded memory
+            done = total[edges[-1] - 1] if edges[-1] else 0
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + BLOCK // bits.shape[1], "right"))))
+        grown = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            q = np.repeat(np.arange(a, b), pairs[a:b])
+            w = np.arange(len(q)) + np.repeat(begin[a:b] - (total[a:b] - pairs[a:b] - (total[a] - pairs[a])), pairs[a:b])
+            need = np.maximum(low[q], low[w])
+            go = np.flatnonzero(np.minimum(k[q], k[w]) >= need)
+            q, w, need = q[go], w[go], need[go]
+            hits_ = np.bitwise_count(own[q] & own[w]).sum(1, dtype=np.int64)
+            go = np.flatnonzero(hits_ >= need)
+            q, w, hits_ = q[go], w[go], hits_[go]
+            lines = bits[q] & bits[w]
+            size = np.bitwise_count(lines).sum(1, dtype=np.int64)
+            rest = size - hits_
+            go = np.flatnonzero((size >= support) & (np.minimum(others[q], others[w]) - rest >= apart))
+            q, w, hits_, size, rest = q[go], w[go], hits_[go], size[go], rest[go]
+            best, known = np.maximum(part[q], part[w]), []
+            for x in range(length - 1):  # without an earlier term
+                key = parts[q, x] * wide + last[w]
+                found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                on = np.flatnonzero((keys[found] == key) & (others[found] - rest >= apart))
+                q, w, hits_, size, rest, go, found = q[on], w[on], hits_[on], size[on], rest[on], go[on], found[on]
+                best, known = np.maximum(best[on], part[found]), [*(y[on] for y in known), found]
+            for j in told(hits_, size, best):
+                yield (base, *terms[body[q[j]]].tolist(), int(terms[last[w[j]]])), int(here[cls[q[j]]]), int(hits_[j]), int(size[j])
+            best = np.maximum(best, hits_ / size)
+            below = least(best, support)
+            on = np.flatnonzero(hits_ >= below)
+            known = np.column_stack([*known, w, q])[on]
+            q, w = q[on], w[on]
+            grown.append((np.column_stack([body[q], last[w]]), q, known, cls[q], lines[go[on]], own[q] & own[w], hits_[on], size[on], best[on], below[on]))
+        body, first, parts, cls, bits, own, k, n, part, low = map(np.concatenate, zip(*grown))
+
+
+def lines_with(transactions: DataFrame, bodies: list[tuple[str, ...]]) -> dict[tuple[str, ...], Counter]:
+    """Lines of each body by class; the first term of a body is its rarest."""
+    found: dict[tuple[str, ...], Counter] = defaultdict(Counter)
+    if not bodies:
+        return found
+    shipped = transactions.sparkSession.sparkContext.broadcast(bodies)  # bounded by the sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = defaultdict(list)
+        for k, body in enumerate(shipped.value):
+            book[body[0]].append((k, frozenset(body[1:])))
+        lines: Counter = Counter()
+        for batch in batches:
+            for c, terms_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                have = set(terms_)
+                for x in have & book.keys():
+                    for k, rest in book[x]:
+                        if rest <= have:
+                            lines[k, c] += 1
+        body, of, n = zip(*((k, c, n) for (k, c), n in lines.items())) if lines else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(body, pa.int32()), pa.array(of, pa.string()), pa.array(n, pa.int64())], names=["body", "class", "n"])
+
+    rows = transactions.select("class", "items").mapInArrow(run, "body int, class string, n bigint")
+    for r in rows.collect():  # bounded by the sample
+        found[bodies[r["body"]]][r["class"]] += r["n"]
+    return found
+
+
 def mine(transactions: DataFrame, support: float) -> Rules:
     """Class-association rules of (class, items) rows, without the redundant ones."""
     counts = transactions.select("class", F.explode("items").alias("item")).groupBy("item", "class").count()
@@ -161,17 +278,16 @@ def mine(transactions: DataFrame, support: float) -> Rules:
         known[r["item"]][r["class"]] += r["count"]
     classes = sorted({c for x in known.values() for c in x})
     rules: dict[tuple[tuple[str, ...], str], tuple[float, int]] = {}
-    single: dict[str, dict[str, float]] = {}
     for item, x in known.items():
         n = sum(x.values())
-        single[item] = {c: k / n for c, k in x.items()}
         for c, k in x.items():
             if k >= MIN_CONFIDENCE * n:
                 rules[(item,), c] = (k / n, n)
-    # what is nearly sure alone can't gain
-    names = sorted((i for i in known if max(single[i].values()) <= 1 - GAIN), key=lambda i: (-sum(known[i].values()), i))
-    share = np.array([[single[i].get(c, 0.0) for c in classes] for i in names]).reshape(-1, max(1, len(classes)))
-    shipped = transactions.sparkSession.sparkContext.broadcast(({i: k for k, i in enumerate(names)}, classes, share))  # bounded by the sample
+    names = sorted(known, key=lambda i: (-sum(known[i].values()), i))
+    lines = np.array([[known[i][c] for c in classes] for i in names], np.int64).reshape(-1, max(1, len(classes)))
+    can = (lines >= least(lines / np.maximum(1, lines.sum(1, keepdims=True)), support)).any(1)  # the others are in no longer rule
+    names, lines = [i for i, x in zip(names, can) if x], lines[can]
+    shipped = transactions.sparkSession.sparkContext.broadcast(({i: k for k, i in enumerate(names)}, classes, lines))  # bounded by the sample
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, order, _ = shipped.value
@@ -189,7 +305,7 @@ def mine(transactions: DataFrame, support: float) -> Rules:
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(of, pa.int32()), pa.array(before, pa.list_(pa.int32()))], names=["item", "class", "before"])
 
     def grown(table: pa.Table) -> pa.Table:
-        share = shipped.value[2]
+        lines = shipped.value[2]
         lists = table.column("before").combine_chunks()
         of, item = table.column("class").to_numpy().astype(np.int64), table.column("item").to_numpy()
         starts, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
@@ -200,13 +316,7 @@ def mine(transactions: DataFrame, support: float) -> Rules:
             at, base = order[a:b], int(item[order[a]])
             sizes = starts[at + 1] - starts[at]
             inside = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            pairs: dict[tuple[int, int], np.ndarray] = {}
-            for body, k, n in grow((base,), of[at], np.repeat(np.arange(len(at)), sizes), values[inside], share[base], support):
-                if len(body) == 2:
-                    pairs[body] = k / n
-                parts = np.max([share[list(body)].max(0)] + [pairs[base, y] for y in body[1:] if len(body) > 2 and (base, y) in pairs], axis=0)
-                for c in np.flatnonzero((k >= MIN_CONFIDENCE * n) & gains(k, n, parts)):
-                    out.append((list(body), int(c), int(k[c]), n))
+            out += grow(base, of[at], np.repeat(np.arange(len(at)), sizes), values[inside], lines, support)
         columns = list(zip(*out)) if out else [[]] * 4
         kinds = (pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64())
         return pa.table([pa.array(v, t) for v, t in zip(columns, kinds)], names=["body", "class", "k", "n"])
@@ -214,11 +324,15 @@ def mine(transactions: DataFrame, support: float) -> Rules:
     # terms by rank, so that every group of bases has frequent and rare ones; of a bounded sample
     rows = transactions.select("class", "items").mapInArrow(bases, "item int, class int, before array<int>")
     more = rows.groupBy(F.pmod("item", F.lit(BASES)).alias("base")).applyInArrow(grown, "body array<int>, class int, k bigint, n bigint").collect()  # bounded by the sample
-    for r in sorted(more, key=lambda r: (len(r["body"]), r["body"], r["class"])):
-        body, subject, confidence = tuple(names[i] for i in r["body"]), classes[r["class"]], r["k"] / r["n"]
-        parts = [tuple(sorted(x for x in body if x != gone)) for gone in body]
-        if all(gains(r["k"], r["n"], rules[p, subject][0]) for p in parts if (p, subject) in rules):
-            rules[tuple(sorted(body)), subject] = (confidence, r["n"])
+    # a base knows its own lines only: the parts without it are counted over all lines
+    bodies = [tuple(names[i] for i in r["body"]) for r in more]
+    unknown = {x for body in bodies for size in range(2, len(body)) for x in combinations(body[1:], size)}
+    counted = lines_with(transactions, sorted(unknown, key=lambda x: (len(x), x)))
+    for body, r in zip(bodies, more):
+        subject = classes[r["class"]]
+        parts = (counted[x] for size in range(2, len(body)) for x in combinations(body[1:], size))
+        if all(gains(r["k"], r["n"], x[subject] / sum(x.values())) for x in parts):
+            rules[tuple(sorted(body)), subject] = (r["k"] / r["n"], r["n"])
     return [(body, subject, *v) for (body, subject), v in sorted(rules.items())]
 
 
@@ -227,13 +341,14 @@ class RuleBook:
 
     def __init__(self, rules: list[tuple[tuple[str, ...], str, float]]):
         self.single: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        self.more: dict[str, list[tuple[frozenset[str], str, float]]] = defaultdict(list)
+        self.more: dict[str, list[tuple[str, frozenset[str], str, float]]] = defaultdict(list)  # by the rarest part: the next, the others
         uses = Counter(x for body, _, _ in rules if len(body) > 1 for x in body)
         for body, subject, evidence in rules:
             if len(body) == 1:
                 self.single[body[0]].append((subject, evidence))
             else:
-                self.more[min(body, key=lambda x: (uses[x], x))].append((frozenset(body), subject, evidence))
+                x, y, *others = sorted(body, key=lambda x: (uses[x], x))
+                self.more[x].append((y, frozenset(others), subject, evidence))
         self.parts = frozenset(uses)
         self.near: dict[str, dict[str, str]] = defaultdict(dict)  # pairs of neighbouring words, by the first and the second
         for x in (*self.single, *self.parts):
@@ -241,27 +356,28 @@ class RuleBook:
             if b:
                 self.near[a][b] = x
 
-    def evidence(self, line: str) -> Counter:
+    def evidence(self, line: str) -> dict[str, float]:
         """By subject: a pair of neighbouring words with a rule of its own stands for its words."""
-        found: Counter = Counter()
+        found: dict[str, float] = {}
         words = _WORD.findall(line.lower())
+        every = set(words)
         near = [x for a, b in zip(words, words[1:]) if a in self.near and (x := self.near[a].get(b))]
         single, parts = self.single, self.parts
-        own = {w for w in words if w in single}
+        own = every & single.keys()
         if near:
             pairs = {x for x in near if x in single}
             own = own.difference(w for x in pairs for w in x.split(" ")) | pairs
         for x in own:
             for subject, v in single[x]:
-                found[subject] += v
-        have = {w for w in words if w in parts}
+                found[subject] = found.get(subject, 0.0) + v
+        have = every & parts
         if near:
             have.update(x for x in near if x in parts)
         if len(have) > 1:
-            for x in have:
-                for body, subject, v in self.more.get(x, ()):
-                    if body <= have:
-                        found[subject] += v
+            for x in have & self.more.keys():
+                for y, others, subject, v in self.more[x]:
+                    if y in have and (not others or others <= have):
+                        found[subject] = found.get(subject, 0.0) + v
         return found
 
 
@@ -332,19 +448,20 @@ def runs(evidence: list[dict[str, float]]) -> list[str]:
 def shares(section: list[str], book: RuleBook) -> tuple[dict[str, int], int]:
     """Words of a section by subject, and all its words."""
     count = lambda text: sum(map(_has_word, text.split()))
-    n, total = 0, Counter()
+    n, total, told = 0, Counter(), []
     for line in section:
         n += count(line)
-        for subject, v in book.evidence(line).items():
+        told.append(book.evidence(line))
+        for subject, v in told[-1].items():
             total[subject] += v
     if not total:
         return {}, n
     first, *others = sorted(total, key=lambda s: (-total[s], s))
     if not others or total[others[0]] <= CHANGE:  # no run of another subject could pay for its change
         return {first: n}, n
-    units = [u for line in section for u in _SENTENCE.split(line)]
+    units = [(u, e if u == line else book.evidence(u)) for line, e in zip(section, told) for u in _SENTENCE.split(line)]
     found: Counter = Counter()
-    for unit, subject in zip(units, runs([book.evidence(u) for u in units])):
+    for (unit, _), subject in zip(units, runs([e for _, e in units])):
         found[subject] += count(unit)
     if not found:  # only rules whose terms stand in different sentences
         return {first: n}, n

@@ -463,6 +463,33 @@ def test_rules_against_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_of_any_length_against_brute_force(spark, seed):
+    import itertools
+
+    r = random.Random(seed)
+    lines = []
+    for _ in range(900):
+        x = [y for y in "abcdefg" if r.random() < 0.55] + [y for y in "hij" if r.random() < 0.3]
+        told = "C" if {"e", "f"} <= set(x) and "a" not in x and r.random() < 0.8 else "B" if r.random() < 0.95 else r.choice("ABC")
+        # h alone is nearly sure of B, and of A beside both i and j
+        lines.append(("A" if {"a", "b", "c", "d"} <= set(x) or {"h", "i", "j"} <= set(x) else "B" if "h" in x else told, x))
+    rules = subjects.mine(spark.createDataFrame(lines, "class string, items array<string>"), 6)
+    got = {(b, s): (c, n) for b, s, c, n in rules}
+    conf, want = {}, {}
+    sets = [(c, frozenset(x)) for c, x in lines]
+    for size in range(1, 8):
+        for body in itertools.combinations("abcdefghij", size):
+            on = [c for c, x in sets if x.issuperset(body)]
+            for s in "ABC":
+                conf[body, s] = on.count(s) / len(on) if on else 0
+                parts = (p for k in range(1, size) for p in itertools.combinations(body, k))
+                if len(on) >= 6 and on.count(s) >= subjects.MIN_CONFIDENCE * len(on) and all(subjects.gains(on.count(s), len(on), conf[p, s]) for p in parts):
+                    want[body, s] = (conf[body, s], len(on))
+    assert got == want
+    assert (("a", "b", "c", "d"), "A") in got and (("h", "i", "j"), "A") in got and conf[("h",), "B"] > 1 - subjects.GAIN
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "Categories: 1. Law Office, 2. None found"), (2, "None"), (3, "Categories:\n- A-B\n- C"), (4, " CATEGORIES : x / y, etc."), (None, "q")], "file_id long, extracted_categories string")
     assert sorted(map(tuple, subjects.phrases(df).collect())) == [(1, "law office"), (1, "none found"), (3, "a-b"), (3, "c"), (4, "x"), (4, "y")]
