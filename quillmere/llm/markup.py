@@ -48,6 +48,7 @@ _ATX = re.compile(r"[ ]{0,3}#{1,6}[ \t]+\S")
 _WIKI_H = re.compile(r"[ ]{0,3}h([1-6])\.[ \t]+\S")
 _EQUALS = re.compile(r"[ ]{0,3}(={1,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$")
 _SETEXT = re.compile(r"[ ]{0,3}(?:={2,}|-{2,})[ \t]*$")
+_UNDER, _MARKS = frozenset(" =-"), frozenset("-*_+#|{")
 _BULLET = re.compile(r"([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]+(?=\S)")
 _WIKI_LIST = re.compile(r"[ \t]*(?:[*#]+|-+)[ \t]+(?=\S)")
 _TEX_H = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\{")
@@ -200,9 +201,13 @@ def parse(text: str, render: bool = False, words_only: bool = False) -> Parsed:
 
     text = _replace(text, _FORMULA_TRIGGER, _FORMULA, formula)
     lines = text.split("\n")
-    jira = sum(1 for x in lines if _WIKI_H.match(x))
-    media = sum(1 for x in lines if _EQUALS.match(x)) + 2 * text.count("{|")
-    wiki = jira + media > sum(1 for x in lines if _ATX.match(x))  # where a run of # lines is a list
+    wiki: bool | None = None  # where a run of # lines is a list; asked only there
+
+    def is_wiki() -> bool:
+        jira = sum(1 for x in lines if _WIKI_H.match(x))
+        media = sum(1 for x in lines if _EQUALS.match(x)) + 2 * text.count("{|")
+        return jira + media > sum(1 for x in lines if _ATX.match(x))
+
     parsed = Parsed()
     out: list[str] = []
     add = parsed.elements.append
@@ -246,15 +251,19 @@ def parse(text: str, render: bool = False, words_only: bool = False) -> Parsed:
                 out += ["```", back, "```", ""]
             continue
         following = lines[k + 1] if k + 1 < len(lines) else ""
-        heading = None
-        if m := _WIKI_H.match(body):
+        first, heading = body.lstrip()[0], None  # a pattern is tried only where it can match
+        listed = first == "#" and (following.startswith("# ") or (k and lines[k - 1].startswith("# ")))
+        if listed and wiki is None:
+            wiki = is_wiki()
+        if first == "h" and (m := _WIKI_H.match(body)):
             heading = body[m.end() - 1 :]
-        elif m := _EQUALS.match(body):
+        elif first == "=" and (m := _EQUALS.match(body)):
             heading = m[2]
-        elif _ATX.match(body) and not (wiki and (following.startswith("# ") or (k and lines[k - 1].startswith("# ")))):
+        elif first == "#" and _ATX.match(body) and not (wiki and listed):
             heading = re.sub(r"[ \t]#+[ \t]*$", "", body.strip().lstrip("#"))
         elif (
-            _SETEXT.match(following)
+            following[:1] in _UNDER
+            and _SETEXT.match(following)
             and not _BULLET.match(body)
             and not body.lstrip().startswith(("|", "<", "{", "\\"))
             and not _SETEXT.match(body)
@@ -270,10 +279,10 @@ def parse(text: str, render: bool = False, words_only: bool = False) -> Parsed:
             k, blank = k + 1, True
             continue
         blank = False
-        if _RULE.match(body) or body.lstrip().startswith(("|-", "{|", "|}")):
+        if first in _MARKS and (_RULE.match(body) or body.lstrip().startswith(("|-", "{|", "|}"))):
             k += 1
             continue
-        item = _BULLET.match(body) or _WIKI_LIST.match(body)
+        item = (first in _MARKS or first.isdecimal()) and (_BULLET.match(body) or _WIKI_LIST.match(body))
         if item:
             rest = body[item.end() :]
             if rest[:1] == "[":
@@ -294,7 +303,7 @@ def parse(text: str, render: bool = False, words_only: bool = False) -> Parsed:
                 body = _TEX_ITEM.sub("- ", _TEX_LAYOUT.sub("", _TEX_H.sub("# ", body)))
             if render and "<" in body:
                 body = _ROW.sub(" / ", _CELL.sub(" | ", _OPEN_LI.sub("- ", _OPEN_H.sub("# ", body))))
-        if body.lstrip().startswith("|"):
+        if first in "|\\<" and body.lstrip().startswith("|"):  # or what was taken away stood before it
             body = re.sub(r"\s*\|+\s*", " | ", body.strip()).strip(" |")
         shown = fill(body.removesuffix("}") if body.startswith("# ") and tex else body)
         if shown:

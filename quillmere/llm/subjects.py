@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import log
 
 import numpy as np
@@ -63,16 +63,18 @@ CLASS = "class:"
 NEVER = 1 << 30
 #: Words of the bit sets that are made at once.
 BLOCK = 1 << 19
+#: Characters that are scored at once.
+CHARS = 1 << 18
+#: Characters that a line counts for besides its own.
+LINE = 32
+#: Tokens that a worker knows at a time.
+TOKENS = 1 << 17
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SIGN = frozenset("|-–—+*/=<>&#.:")
 
 
-def _has_word(token: str) -> bool:
-    return len(token) > 1 or token not in _SIGN
-
-
 def sections(text: str) -> list[list[str]]:
     """The lines of each section of a file: its heading first, code and formulas aside."""
     found: list[list[str]] = []
@@ -145,6 +147,14 @@ def least(part: np.ndarray, support: float) -> np.ndarray:
     return np.ceil(np.clip(np.maximum(gain, sure), MIN_CONFIDENCE * support, NEVER) - 1e-6).astype(np.int32)
 
 
+def common(bits: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Lines that both have: a column of bits for each body."""
+    found = np.zeros(len(q), np.int64)
+    for word in bits:
+        found += np.bitwise_count(word[q] & word[w])
+    return found
+
+
 def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, counts: np.ndarray, support: float) -> Iterator[tuple]:
     """Rules (body, class, lines of both, lines of the body) of the bodies of any length whose rarest term is ``base``, by their parts
     that are single or hold it.
@@ -189,12 +199,12 @@ def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, c
     nth[order] = np.arange(len(of))
     flags = np.zeros((len(used), -(-len(of) // 64) * 64), bool)
     flags[place[where[inside]], nth[owner[inside]]] = True
-    bits = np.packbits(flags, axis=1).view(np.uint64)[at]
+    bits = np.packbits(flags, axis=1).view(np.uint64).T[:, at].copy()
     cls = row // wide
     own = np.zeros((len(row), -(-int(sizes.max()) // 64) * 64), bool)
     for c, to in enumerate(np.cumsum(sizes)):
         own[cls == c, : sizes[c]] = flags[at[cls == c], to - sizes[c] : to]
-    own = np.packbits(own, axis=1).view(np.uint64)
+    own = np.packbits(own, axis=1).view(np.uint64).T.copy()
     body = (row % wide)[:, None]  # positions in terms, by rising frequency
     first = cls  # the row of the body without its last term, among the shorter ones
     parts = cls[:, None]  # the rows of the body without each of its terms after the base
@@ -207,19 +217,15 @@ def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, c
         edges = [0]
         while edges[-1] < len(body):  # in blocks of bounded memory
             done = total[edges[-1] - 1] if edges[-1] else 0
-            edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + BLOCK // bits.shape[1], "right"))))
-        grown = []
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + BLOCK // len(bits), "right"))))
+        grown, sets = [], []
         for a, b in zip(edges[:-1], edges[1:]):
             q = np.repeat(np.arange(a, b), pairs[a:b])
             w = np.arange(len(q)) + np.repeat(begin[a:b] - (total[a:b] - pairs[a:b] - (total[a] - pairs[a])), pairs[a:b])
-            need = np.maximum(low[q], low[w])
-            go = np.flatnonzero(np.minimum(k[q], k[w]) >= need)
-            q, w, need = q[go], w[go], need[go]
-            hits_ = np.bitwise_count(own[q] & own[w]).sum(1, dtype=np.int64)
-            go = np.flatnonzero(hits_ >= need)
+            hits_ = common(own, q, w)
+            go = np.flatnonzero(hits_ >= np.maximum(low[q], low[w]))
             q, w, hits_ = q[go], w[go], hits_[go]
-            lines = bits[q] & bits[w]
-            size = np.bitwise_count(lines).sum(1, dtype=np.int64)
+            size = common(bits, q, w)
             rest = size - hits_
             go = np.flatnonzero((size >= support) & (np.minimum(others[q], others[w]) - rest >= apart))
             q, w, hits_, size, rest = q[go], w[go], hits_[go], size[go], rest[go]
@@ -228,7 +234,7 @@ def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, c
                 key = parts[q, x] * wide + last[w]
                 found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 on = np.flatnonzero((keys[found] == key) & (others[found] - rest >= apart))
-                q, w, hits_, size, rest, go, found = q[on], w[on], hits_[on], size[on], rest[on], go[on], found[on]
+                q, w, hits_, size, rest, found = q[on], w[on], hits_[on], size[on], rest[on], found[on]
                 best, known = np.maximum(best[on], part[found]), [*(y[on] for y in known), found]
             for j in told(hits_, size, best):
                 yield (base, *terms[body[q[j]]].tolist(), int(terms[last[w[j]]])), int(here[cls[q[j]]]), int(hits_[j]), int(size[j])
@@ -237,8 +243,10 @@ def grow(base: int, classes: np.ndarray, owner: np.ndarray, items: np.ndarray, c
             on = np.flatnonzero(hits_ >= below)
             known = np.column_stack([*known, w, q])[on]
             q, w = q[on], w[on]
-            grown.append((np.column_stack([body[q], last[w]]), q, known, cls[q], lines[go[on]], own[q] & own[w], hits_[on], size[on], best[on], below[on]))
-        body, first, parts, cls, bits, own, k, n, part, low = map(np.concatenate, zip(*grown))
+            grown.append((np.column_stack([body[q], last[w]]), q, known, cls[q], hits_[on], size[on], best[on], below[on]))
+            sets.append((bits[:, q] & bits[:, w], own[:, q] & own[:, w]))
+        body, first, parts, cls, k, n, part, low = map(np.concatenate, zip(*grown))
+        bits, own = (np.concatenate(x, axis=1) for x in zip(*sets))
 
 
 def lines_with(transactions: DataFrame, bodies: list[tuple[str, ...]]) -> dict[tuple[str, ...], Counter]:
@@ -336,49 +344,134 @@ def mine(transactions: DataFrame, support: float) -> Rules:
     return [(body, subject, *v) for (body, subject), v in sorted(rules.items())]
 
 
+def blocks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """The ends of runs of lines of bounded size."""
+    at = size = 0
+    for k, line in enumerate(lines, 1):
+        size += len(line) + LINE
+        if size >= CHARS or k == len(lines):
+            yield at, k
+            at, size = k, 0
+
+
+class Tokens(dict):
+    """By token, between blanks: the number of its word; -1 of words that no rule has, -2 of none, -3 of a lone sign; else, from -4 down,
+    the place of its words in ``several``."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.several = number, []
+
+    def __missing__(self, token: str) -> int:
+        ids = [self.number.get(w, -1) for w in _WORD.findall(token.lower())]
+        if not ids:
+            code = -3 if token in _SIGN else -2
+        elif len(ids) == 1 or max(ids) < 0:
+            code = ids[0]
+        else:
+            code = -4 - len(self.several)
+            self.several.append(ids)
+        if len(self) < TOKENS:
+            self[token] = code
+        return code
+
+
 class RuleBook:
-    """Rules with their evidence, found by their terms."""
+    """Rules with their evidence, for many lines at once.
+
+    Terms are numbers, words before pairs of neighbouring words.  Evidence is kept to 2**-32, so that its sums are the same in any order.
+    A body has one subject at most, as MIN_CONFIDENCE is more than a half."""
 
     def __init__(self, rules: list[tuple[tuple[str, ...], str, float]]):
-        self.single: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        self.more: dict[str, list[tuple[str, frozenset[str], str, float]]] = defaultdict(list)  # by the rarest part: the next, the others
+        self.names = sorted({subject for _, subject, _ in rules}) or [""]
+        every = {x for body, _, _ in rules for x in body}
+        number = {w: k for k, w in enumerate(sorted({w for x in every for w in x.split(" ")}))}
+        self.tokens, self.wide = Tokens(dict(number)), len(number)
+        near = sorted((number[a] * self.wide + number[b], x) for x in every if " " in x for a, b in [x.split(" ")])
+        number |= {x: self.wide + k for k, (_, x) in enumerate(near)}
+        self.near, self.terms = np.array([k for k, _ in near], np.int64), len(number)
+        self.begins, self.ends, self.used = np.zeros(self.wide, bool), np.zeros(self.wide, bool), np.zeros(self.terms, bool)
+        self.begins[self.near // max(1, self.wide)] = self.ends[self.near % max(1, self.wide)] = True
+        self.used[[number[x] for x in every]] = True
+        of = {s: k for k, s in enumerate(self.names)}
+        self.subject, self.value = np.full(self.terms, -1), np.zeros(self.terms)  # of the rules of one term
         uses = Counter(x for body, _, _ in rules if len(body) > 1 for x in body)
+        more = []  # by the rarest part
         for body, subject, evidence in rules:
-            if len(body) == 1:
-                self.single[body[0]].append((subject, evidence))
+            first, *others = (number[x] for x in sorted(body, key=lambda x: (uses[x], x)))
+            value = round(evidence * 2**32) / 2**32
+            if others:
+                more.append((first, others, of[subject], value))
             else:
-                x, y, *others = sorted(body, key=lambda x: (uses[x], x))
-                self.more[x].append((y, frozenset(others), subject, evidence))
-        self.parts = frozenset(uses)
-        self.near: dict[str, dict[str, str]] = defaultdict(dict)  # pairs of neighbouring words, by the first and the second
-        for x in (*self.single, *self.parts):
-            a, _, b = x.partition(" ")
-            if b:
-                self.near[a][b] = x
-
-    def evidence(self, line: str) -> dict[str, float]:
-        """By subject: a pair of neighbouring words with a rule of its own stands for its words."""
-        found: dict[str, float] = {}
-        words = _WORD.findall(line.lower())
-        every = set(words)
-        near = [x for a, b in zip(words, words[1:]) if a in self.near and (x := self.near[a].get(b))]
-        single, parts = self.single, self.parts
-        own = every & single.keys()
-        if near:
-            pairs = {x for x in near if x in single}
-            own = own.difference(w for x in pairs for w in x.split(" ")) | pairs
-        for x in own:
-            for subject, v in single[x]:
-                found[subject] = found.get(subject, 0.0) + v
-        have = every & parts
-        if near:
-            have.update(x for x in near if x in parts)
-        if len(have) > 1:
-            for x in have & self.more.keys():
-                for y, others, subject, v in self.more[x]:
-                    if y in have and (not others or others <= have):
-                        found[subject] = found.get(subject, 0.0) + v
-        return found
+                self.subject[first], self.value[first] = of[subject], value
+        more.sort()
+        self.begin = np.searchsorted([x for x, *_ in more], np.arange(self.terms + 1))
+        self.others = np.full((len(more), max((len(x) for _, x, *_ in more), default=0)), -1)
+        for k, (_, others, _, _) in enumerate(more):
+            self.others[k, : len(others)] = others
+        self.more_subject, self.more_value = np.array([x[2] for x in more], np.int64), np.array([x[3] for x in more], float)
+
+    def read(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word as its number, -1 if no rule has it, and its line; the tokens of each line that aren't lone signs."""
+        if len(self.tokens) >= TOKENS or len(self.tokens.several) >= TOKENS:
+            self.tokens = Tokens(self.tokens.number)
+        split = [line.split() for line in lines]
+        sizes = np.array([*map(len, split)], np.int64)
+        ids = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        line = np.repeat(np.arange(len(lines)), sizes)
+        sizes -= np.bincount(line[ids == -3], minlength=len(lines))
+        word = (ids >= -1) | (ids <= -4)
+        ids, line = ids[word], line[word]
+        if len(at := np.flatnonzero(ids <= -4)):
+            several = [self.tokens.several[-4 - k] for k in ids[at].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[at] = [*map(len, several)]
+            ids, line = np.repeat(ids, times), np.repeat(line, times)
+            ids[ids <= -4] = [*chain.from_iterable(several)]
+        return ids, line, sizes
+
+    def evidence(self, lines: list[str], owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words by owner of the lines, and evidence by owner and subject: a pair of neighbouring words with a rule of its own stands for
+        its words in a line."""
+        ids, line, words = self.read(lines)
+        at = np.flatnonzero(ids >= 0)
+
+        def place(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where sorted numbers have the keys, and whether they do."""
+            if not len(among):
+                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            k = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+            return k, among[k] == keys
+
+        a, b = at[:-1], at[1:]
+        near = a[(b - a == 1) & (line[a] == line[b]) & self.begins[ids[a]] & self.ends[ids[b]]]
+        pair, on = place(self.near, ids[near] * self.wide + ids[near + 1])
+        near, pair = near[on], self.wide + pair[on]
+        at = at[self.used[ids[at]]]
+        have = np.sort(np.concatenate([line[at] * self.terms + ids[at], line[near] * self.terms + pair]))
+        have = have[np.append(True, have[1:] != have[:-1])[: len(have)]]
+        own = self.subject[term := have % max(1, self.terms)] >= 0
+        alone = near[self.subject[pair] >= 0]
+        for word in (ids[alone], ids[alone + 1]):
+            k, on = place(have, line[alone] * self.terms + word)
+            own[k[on]] = False
+        line = have - term
+        to = owner[line // max(1, self.terms)] * len(self.names)
+        found = np.zeros(size * len(self.names))
+        found += np.bincount(to[own] + self.subject[term[own]], self.value[term[own]], len(found))
+        has = np.flatnonzero(many := self.begin[term + 1] - self.begin[term])
+        many, total = many[has], np.cumsum(many[has])
+        a = done = 0
+        while a < len(has):  # in blocks of bounded memory
+            b = max(a + 1, int(np.searchsorted(total, done + BLOCK, "right")))
+            i = np.repeat(has[a:b], many[a:b])
+            rule = np.arange(len(i)) + np.repeat(self.begin[term[has[a:b]]] - (total[a:b] - many[a:b] - done), many[a:b])
+            for n in range(self.others.shape[1]):
+                other = self.others[rule, n]
+                on = (other < 0) | place(have, line[i] + other)[1]
+                i, rule = i[on], rule[on]
+            found += np.bincount(to[i] + self.more_subject[rule], self.more_value[rule], len(found))
+            a, done = b, int(total[b - 1])
+        return np.bincount(owner, words, size).astype(np.int64), found.reshape(size, -1)
 
 
 def train(files: DataFrame, labels: DataFrame, areas: DataFrame) -> list[tuple[tuple[str, ...], str, float]]:
@@ -445,27 +538,35 @@ def runs(evidence: list[dict[str, float]]) -> list[str]:
     return found[::-1]
 
 
-def shares(section: list[str], book: RuleBook) -> tuple[dict[str, int], int]:
-    """Words of a section by subject, and all its words."""
-    count = lambda text: sum(map(_has_word, text.split()))
-    n, total, told = 0, Counter(), []
-    for line in section:
-        n += count(line)
-        told.append(book.evidence(line))
-        for subject, v in told[-1].items():
-            total[subject] += v
-    if not total:
-        return {}, n
-    first, *others = sorted(total, key=lambda s: (-total[s], s))
-    if not others or total[others[0]] <= CHANGE:  # no run of another subject could pay for its change
-        return {first: n}, n
-    units = [(u, e if u == line else book.evidence(u)) for line, e in zip(section, told) for u in _SENTENCE.split(line)]
-    found: Counter = Counter()
-    for (unit, _), subject in zip(units, runs([e for _, e in units])):
-        found[subject] += count(unit)
-    if not found:  # only rules whose terms stand in different sentences
-        return {first: n}, n
-    return found, n
+def shares(parts: list[list[str]], book: RuleBook) -> list[tuple[dict[str, int], int]]:
+    """Words by subject, and all words, of each section."""
+    lines = [line for section in parts for line in section]
+    owner = np.repeat(np.arange(len(parts)), [len(section) for section in parts])
+    words, total = np.zeros(len(parts), np.int64), np.zeros((len(parts), len(book.names)))
+    for a, b in blocks(lines):
+        own = slice(owner[a], owner[b - 1] + 1)
+        n, evidence = book.evidence(lines[a:b], owner[a:b] - owner[a], own.stop - own.start)
+        words[own] += n
+        total[own] += evidence
+    order = np.argsort(-total, axis=1, kind="stable")[:, :2]  # of equal ones the first by name
+    best = np.take_along_axis(total, order, 1)
+    found = [({book.names[s]: n} if v > 0 else {}, n) for s, v, n in zip(order[:, 0].tolist(), best[:, 0].tolist(), words.tolist())]
+    several = np.flatnonzero(best[:, 1:].sum(1) > CHANGE).tolist()  # else no run of another subject could pay for its change
+    units = [[u for line in parts[k] for u in _SENTENCE.split(line)] for k in several]
+    every, sizes, told = [*chain.from_iterable(units)], [], []
+    for a, b in blocks(every):
+        n, evidence = book.evidence(every[a:b], np.arange(b - a), b - a)
+        sizes += n.tolist()
+        told += [{book.names[s]: v for s, v in enumerate(e) if v > 0} for e in evidence.tolist()]
+    at = 0
+    for k, own in zip(several, units):
+        deals: Counter = Counter()
+        for n, subject in zip(sizes[at : at + len(own)], runs(told[at : at + len(own)])):
+            deals[subject] += n
+        at += len(own)
+        if deals:  # else only rules whose terms stand in different sentences
+            found[k] = deals, found[k][1]
+    return found
 
 
 SCORED = "file_id bigint, ingested bigint, text_key bigint, words bigint, open bigint, subjects map<string, bigint>"
@@ -479,18 +580,26 @@ def score(files: DataFrame, rules: list[tuple[tuple[str, ...], str, float]]) ->
         book = RuleBook(shipped.value)
         kinds = (pa.int64(),) * 5 + (pa.map_(pa.string(), pa.int64()),)
         for batch in batches:
-            out = []
-            for file, when, text in zip(*(c.to_pylist() for c in batch.columns)):
-                total, unknown, found = 0, 0, Counter()
-                for section in sections(text):
-                    held, n = shares(section, book)
-                    total += n
+            files_, waiting, size = [], [], 0
+
+            def settle(waiting: list[tuple[list, list[str]]]) -> None:
+                for (row, _), (held, n) in zip(waiting, shares([section for _, section in waiting], book)):
+                    row[3] += n
                     if not held:
-                        unknown += n
-                    for subject, k in held.items():
-                        found[subject] += k
+                        row[4] += n
+                    row[5].update(held)
+
+            for file, when, text in zip(*(c.to_pylist() for c in batch.columns)):
                 key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-                out.append((file, when, key, total, unknown, sorted(found.items())))
+                files_.append([file, when, key, 0, 0, Counter()])
+                for section in sections(text):
+                    waiting.append((files_[-1], section))
+                    size += sum(map(len, section)) + LINE * len(section)
+                    if size >= CHARS:
+                        settle(waiting)
+                        waiting, size = [], 0
+            settle(waiting)
+            out = [(*row, sorted(subjects.items())) for *row, subjects in files_]
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], names=["file_id", "ingested", "text_key", "words", "open", "subjects"]

@@ -1,6 +1,10 @@
 import base64
+import itertools
 import random
+import re
+import time
 
+import numpy as np
 import pytest
 
 from quillmere.llm import clean_markup, language, leaks, main_body, markup, subjects, tokenize
@@ -495,6 +499,92 @@ def test_phrases(spark):
     assert sorted(map(tuple, subjects.phrases(df).collect())) == [(1, "law office"), (1, "none found"), (3, "a-b"), (3, "c"), (4, "x"), (4, "y")]
 
 
+def _read_line_by_line(rules, section):
+    """Words and evidence by subject of a section, by its lines one after another."""
+    import collections
+
+    single, more = collections.defaultdict(list), collections.defaultdict(list)
+    for body, subject, v in rules:
+        (single if len(body) == 1 else more)[body[0]].append((frozenset(body), subject, v))
+    found, n = collections.Counter(), 0
+    for line in section:
+        n += sum(1 for x in line.split() if len(x) > 1 or x not in "|-–—+*/=<>&#.:")
+        words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", line.lower())
+        near = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        have = {*words, *near}
+        own = (set(words) & single.keys()) - {w for x in near & single.keys() for w in x.split()} | near & single.keys()
+        for x in own:
+            for _, subject, v in single[x]:
+                found[subject] += v
+        for x in have & more.keys():
+            for body, subject, v in more[x]:
+                if body <= have:
+                    found[subject] += v
+    return n, {s: v for s, v in found.items() if v}
+
+
+def _rules_and_sections(words, many):
+    r = random.Random(11)
+    vocabulary = [a + b for a in "ba ce di fo gu ha".split() for b in ("l n r s t x Σ ß é-a é".split() + ["İk"])[:words]]
+    known = [*dict.fromkeys(v.lower() for v in vocabulary if v.isalpha() and v.lower().isalpha() or "-" in v)]
+    near = [f"{a} {b}" for a, b in itertools.product(known, known) if r.random() < 0.1]
+    bodies = [(x,) for x in r.sample([*known, *near], len(known) + len(near) // 2)]
+    bodies += [*{tuple(sorted(r.sample([*known, *near[:40]], k))) for k in (2, 2, 2, 3, 4) for _ in range(60)}]
+    rules = [(body, r.choice("ABCDE"), r.randint(1, 60) / 8) for body in bodies]
+    ends = ["", "", "", "", ",", ".", "/", " - ", " 7 ", " | ", "_x", "/" + vocabulary[0], " &"]
+    line = lambda: " ".join(r.choice([str.lower, str.title, str])(r.choice([*vocabulary, "unknown"])) + r.choice(ends) for _ in range(r.randint(1, 16)))
+    return rules, [[line() for _ in range(r.randint(1, 9))] for _ in range(many)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_evidence_of_many_lines_is_that_of_each(monkeypatch, small):
+    rules, sections = _rules_and_sections(11, 150)
+    if small:  # many blocks, and tokens are forgotten
+        for name, value in (("CHARS", 300), ("BLOCK", 3), ("TOKENS", 9)):
+            monkeypatch.setattr(subjects, name, value)
+    book = subjects.RuleBook(rules)
+    want = [_read_line_by_line(rules, x) for x in sections]
+    for section, (n, evidence) in zip(sections, want):
+        words, got = book.evidence(section, np.zeros(len(section), np.int64), 1)
+        assert (int(words[0]), {s: v for s, v in zip(book.names, got[0].tolist()) if v}) == (n, evidence)
+    got = subjects.shares(sections, book)
+    assert sum(len(held) > 1 for held, _ in got) > 20 and [n for _, n in got] == [n for n, _ in want]
+    assert got == [x for section in sections for x in subjects.shares([section], book)]
+    for (held, n), (_, evidence), section in zip(got, want, sections):
+        top = sorted(evidence, key=lambda s: (-evidence[s], s))
+        if len(top) < 2 or evidence[top[1]] <= subjects.CHANGE:
+            assert held == ({top[0]: n} if top else {})
+        else:
+            units = [_read_line_by_line(rules, [u]) for line in section for u in re.split(r"(?<=[.!?])\s+", line)]
+            deals = {}
+            for (k, _), s in zip(units, subjects.runs([e for _, e in units])):
+                deals[s] = deals.get(s, 0) + k
+            assert held == (deals or {top[0]: n})
+    assert subjects.shares([], book) == [] and subjects.shares([["a b -"]], subjects.RuleBook([])) == [({}, 2)]
+
+
+def test_evidence_of_many_lines_costs_less_than_of_each():
+    rules, sections = _rules_and_sections(8, 600)
+    rules = [(body, "A", v) for body, _, v in rules]
+    book = subjects.RuleBook(rules)
+    spent = {}
+    for what, run in (("each", lambda: [_read_line_by_line(rules, x) for x in sections]), ("all", lambda: subjects.shares(sections, book))):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        spent[what] = min(times)
+    assert spent["all"] < 0.2 * spent["each"]
+
+
+def test_equal_evidence_is_equal_in_any_order():
+    values = [0.1, 0.2, 0.3, 0.7]  # as floats their sum depends on the order
+    rules = [((f"{s}{k}",), s, v) for s, order in (("b", values), ("a", values[::-1])) for k, v in zip("wxyz", order)]
+    held = subjects.shares([["bw bx by bz aw ax ay az"], ["aw ax ay az bw bx by bz"], ["bx ay"], ["bw bx by ax ay az"]], subjects.RuleBook(rules))
+    assert held == [({"a": 8}, 8), ({"a": 8}, 8), ({"a": 2}, 2), ({"a": 6}, 6)]
+
+
 def test_runs_against_brute_force():
     import itertools
 
